@@ -82,10 +82,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = END
 def token_rows(spark: SparkSession, path: str) -> DataFrame:
     """The rows of the files, with each document's start among all ids."""
     rows = spark.read.schema(FILE_SCHEMA).parquet(path)
-    shards = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # a row for each shard
+    shards = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # a row for each shard: as many as write_token_files dealt, which bounds the broadcast
     before = F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = shards.select("shard", before.alias("shard_start"))
-    return rows.join(starts, "shard").withColumn("start", F.col("shard_start") + F.col("local")).drop("shard_start")
+    return rows.join(F.broadcast(starts), "shard").withColumn("start", F.col("shard_start") + F.col("local")).drop("shard_start")
 
 
 def decoded(batch: pa.RecordBatch, sizes: str = "n_tokens", blocks: str = "blocks", words: str = "words") -> tuple[np.ndarray, np.ndarray]:

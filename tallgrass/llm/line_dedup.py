@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import documents, fresh, row_digest
+from tallgrass.llm.common import documents, fresh, materialise, row_digest
 
 ROLL = 2
 MEAN = 4
@@ -49,7 +49,8 @@ def repeated_chunks(docs: DataFrame, *keys: str) -> DataFrame:
     narrow = used.select(F.explode(F.transform(several(chunks()), lambda c: c["hash"])).alias("hash"))
     twice = narrow.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     each = used.select(*keys, F.explode(several(chunks(bodies=True))).alias("c")).select(*keys, "c.hash", "c.first", "c.lines", "c.body")
-    found = each.join(twice, "hash", "left_semi")
+    # written once: few chunks are left, and both the groups and their members are read from here
+    found = materialise(each.join(twice, "hash", "left_semi"), "chunks")
     place = F.struct(*keys, "first")
     firsts = found.groupBy("hash", "body").agg(F.min(place).alias("earliest"), F.count("*").alias("n")).where("n > 1")
     same = found.join(firsts.select("hash", "body", "earliest"), ["hash", "body"])

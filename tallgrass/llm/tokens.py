@@ -3,8 +3,8 @@
 Byte-level BPE splits a text into pre-tokens and encodes each by itself. Before a single space between two characters
 that are not white space there is always such a split, and on both sides of a single newline between two such
 characters. Texts are cut there, and the library's ids of each piece are kept in a bounded memo (a piece of letters alone
-is one pre-token and goes straight to the library's model; a comma or full stop after a letter or digit, before white
-space, is a pre-token too). A text with any other white space pattern (runs, tabs, white space at an end) or a special
+is one pre-token and goes straight to the library's model; ASCII marks after a letter or digit, before white space,
+are one pre-token too). A text with any other white space pattern (runs, tabs, white space at an end) or a special
 token's string is encoded whole by the library, or, when long, in pieces cut at such single spaces only. Ids are the same
 as those of encoding the whole text, which the tests assert.
 """
@@ -12,6 +12,7 @@ as those of encoding the whole text, which the tests assert.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
@@ -27,7 +28,8 @@ _CUT = re.compile(r"(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])")
 _DOUBTFUL = frozenset("\u180e\u200b\u200c\u200d\u2060\ufeff")
 
 
-_STOPS = (",", ".")
+#: ASCII marks: none of them is a letter, a digit or white space.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Characters below this are letters, or not, in every version of Unicode.
 _PLAIN = "\u0250"
 
@@ -40,6 +42,7 @@ def _visible() -> dict[int, str]:
 
 
 _VISIBLE = _visible()
+_SPACE = _VISIBLE[32]
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -62,8 +65,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.special = self.tokenizer.model, [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.limit, self.memo = memo, {}
-        self.newline, *stops = self.library(["\n", *_STOPS])
-        self.stops = dict(zip(_STOPS, stops, strict=True))
+        self.newline, self.marks = self.library(["\n"])[0], {}
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -79,20 +81,20 @@ class Encoder:
     def word(self, text: str) -> bytes:
         """The ids of one pre-token: letters, with a space before them or not."""
         raw = text if text.isascii() else text.encode().decode("latin-1").translate(_VISIBLE)
-        return np.array([t.id for t in self.model.tokenize(raw.replace(" ", _VISIBLE[32]))], np.uint32).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(raw.replace(" ", _SPACE))]).tobytes()
 
     def learn(self, p: str) -> bytes | None:
         """The ids of a part that the memo lacks; None for one whose neighbourhood is irregular."""
         memo = self.memo
-        if p[-1:] in _STOPS and p[-2:-1].isalnum():  # a stop after a letter or digit is a pre-token of its own
-            core = p[:-1]
-            ids = memo.get(core) or self.learn(core)
-            return ids and ids + self.stops[p[-1]]
+        core = p.rstrip(_MARKS)
+        if core != p and core[-1:].isalnum():  # marks after a letter or digit and before white space are one pre-token
+            ids, marks = memo.get(core) or self.learn(core), p[len(core) :]
+            return ids and ids + (self.marks.get(marks) or self._mark(marks))
         line = p[:1] == "\n"
         body = p[1:] if line else p
         if not body or not _solid(body[0]) or not _solid(body[-1]):
             return None
-        if body.isalpha() and max(body) < _PLAIN:
+        if body.isalpha() and (body.isascii() or max(body) < _PLAIN):
             ids = self.newline + self.word(body) if line else self.word(f" {body}")
         else:
             ids = self.library([p if line else f" {p}"])[0]
@@ -102,6 +104,14 @@ class Encoder:
             memo[p] = ids
         return ids
 
+    def _mark(self, marks: str) -> bytes:
+        ids = self.library([marks])[0]
+        if len(marks) <= 8:
+            if len(self.marks) >= 10_000:
+                self.marks.clear()
+            self.marks[marks] = ids
+        return ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out, get, learn = [], self.memo.get, self.learn

@@ -4,21 +4,27 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df written to the folder that the cluster shares (spark.checkpoint.dir; in local tests one of our own), so that a loop's plan stays short and survives lost executors."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir; in local tests a folder of our own), deleted when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         import tempfile
 
-        base = f"file://{tempfile.mkdtemp(prefix='tallgrass-loop-')}"
-    path = f"{base.rstrip('/')}/tallgrass/loop-{uuid.uuid4().hex}"
+        base = f"file://{tempfile.mkdtemp(prefix='tallgrass-')}"
+    path = f"{base.rstrip('/')}/tallgrass/{tag}-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again, so that a loop's plan stays short and survives lost executors."""
+    spark = df.sparkSession
+    path = shared_path(spark, "loop")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

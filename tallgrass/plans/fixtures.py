@@ -145,3 +145,12 @@ def _local(c: Column) -> Column:
 
 fixture("s4_file_index", {"a/b.PY": "x", "Dockerfile": "x", "m.tf": "x", "r.md": "x", "q.bin": "x", "s.css": "x"}, corpus.indexed, "path file_type language size", [("a/b.PY", "code", "python", 1), ("Dockerfile", "config", "unknown", 1), ("m.tf", "infrastructure", "unknown", 1), ("r.md", "documentation", "markdown", 1), ("q.bin", "other", "unknown", 1), ("s.css", "web", "css", 1)], size="BIGINT")
 fixture("k_skip_rules", {"a.js": "x", "node_modules/a.js": "x", "target/a.rs": "x", ".hidden": "x", ".env": "x", "venv/x.py": "x", "a.min.js": "x", "api/.config": "x", "vendor/y.py": "x"}, lambda f: f.select("path", corpus.skipped().alias("general"), corpus.skipped_by_services().alias("services"), corpus.skipped_by_ports().alias("ports"), corpus.skipped_by_secrets().alias("secrets")), "path general services ports secrets", [("a.js", False, False, False, False), ("node_modules/a.js", True, True, True, True), ("target/a.rs", True, True, True, True), (".hidden", True, True, True, True), (".env", True, True, False, True), ("venv/x.py", False, True, True, True), ("a.min.js", True, True, False, True), ("api/.config", True, True, False, True), ("vendor/y.py", False, False, False, True)])
+
+
+def _parsed(f: DataFrame) -> DataFrame:
+    from tallgrass.sources.parsers import parsed_files
+
+    return parsed_files(f).withColumns(joined("resources"))
+
+
+fixture("s8_parsers", {"main.tf": 'resource "aws_s3_bucket" "b" {}\n', "cloudformation.yml": "AWSTemplateFormatVersion: x\nResources:\n  Fn:\n    Type: T\n  Bucket:\n    Type: U\nOutputs:\n  O:\n", ".github/workflows/ci.yml": "on: push\n", "a.toml": "x=1\n", "README": "x", "a.kt": "x", "b.bin": "x"}, _parsed, "path kind format platform provider resources", [("main.tf", "infrastructure", None, None, "aws", "aws_s3_bucket"), ("cloudformation.yml", "infrastructure", None, None, "aws", "Fn|Bucket"), (".github/workflows/ci.yml", "ci_cd", None, "github", None, ""), ("a.toml", "config", "toml", None, None, ""), ("README", "documentation", None, None, None, ""), ("a.kt", "code", None, None, None, ""), ("b.bin", "other", None, None, None, "")])

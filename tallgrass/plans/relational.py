@@ -148,3 +148,26 @@ plan("t4_due_jobs", "SELECT o_orderkey AS id, o_orderdate AS next_run FROM order
 def _expired(h: Hosts) -> DataFrame:
     now = h.table("events").agg(F.max("ts").alias("now")).first()["now"]
     return T.expired(h.progress, F.lit(now), 3600).select("repository_id", "event_id")
+
+
+@plan("t1_stream_progress", PLANS["t1_latest_progress"][1])
+def _streamed(h: Hosts) -> DataFrame:
+    """The same by a stream: the event files as they come, state of one row for each key, the result as its last table."""
+    out, events = P.shared_path(h.spark, "stream"), h.table("events")
+    stream = h.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{h.dir}/events*.parquet")
+    progress = stream.select(
+        F.col("user_id").alias("repository_id"), "event_id", F.col("event_type").alias("step_name"), F.col("ts").alias("last_updated"), "value", F.when(F.col("event_type").isin("purchase", "logout"), "complete").otherwise("running").alias("status")
+    )
+    query = T.latest(progress).writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", P.shared_path(h.spark, "stream-state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return h.spark.read.parquet(out)
+
+
+@plan("s9_plugin_elements", "SELECT file_path, name, line_number FROM (VALUES ('a.flow', 'start', 1), ('b.flow', 'stop', 1)) t(file_path, name, line_number)")
+def _plugin(h: Hosts) -> DataFrame:
+    from tallgrass.plans.fixtures import files_of
+    from tallgrass.sources import plugins
+
+    plugins.register(h.spark, "flow_plugin", lambda path, content: [(content.split()[1], "function", 1, "flow")])
+    files = files_of(h.spark, {"a.flow": "step start", "b.flow": "step stop", "c.flow": ""})
+    return plugins.plugin_elements(files, "flow_plugin").select("file_path", "name", "line_number")

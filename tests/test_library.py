@@ -92,18 +92,20 @@ def test_yaml():
 
 def test_graph_properties(spark):
     files = files_of(spark, {"package.json": PACKAGE, "s.js": "app.listen(3000)\napp.get('/x', h)\nimport a from \"express\"\n"})
-    deps = manifests.dependencies(files).withColumn("id", F.col("name"))
-    p, e = ports.detect_ports(files), endpoints.detect_endpoints(files)
+    kept = lambda df: spark.createDataFrame(df.collect(), df.schema)  # noqa: E731  detectors run once
+    deps = kept(manifests.npm(files).withColumn("id", F.col("name")))
+    p, e, c = kept(ports.detect_ports(files)), kept(endpoints.detect_endpoints(files)), kept(code.code_elements(files))
     repos = spark.createDataFrame([("r", "repo", "u")], "id string, name string, url string")
-    nodes, edges = graph.build_graph({"repositories": repos, "dependencies": deps, "ports": p, "endpoints": e, "code_elements": code.code_elements(files)})
+    nodes, edges = graph.build_graph({"repositories": repos, "dependencies": deps, "ports": p, "endpoints": e, "code_elements": c})
+    nodes, edges = kept(nodes), kept(edges)
     ids = {r.id for r in nodes.collect()}
     rows = edges.collect()
     assert len(ids) == nodes.count() and all(r.source_node_id in ids and r.target_node_id in ids for r in rows)
     assert sum(r.degree for r in aggregates.degrees(nodes, edges).collect()) == 2 * len(rows)
     assert {r.edge_type for r in rows} == {"uses_package_manager", "has_port", "has_endpoint", "endpoint_uses_port"}
     assert graph.neighbors(nodes, edges, "unknown").count() == 0
-    rolled, kept = graph.rolled_up(nodes, edges, ("module",))
-    assert kept.where("edge_type = 'has_child'").count() == 1 and rolled.where("node_type = 'code_group'").count() == 1
+    rolled, left = graph.rolled_up(nodes, edges, ("module",))
+    assert left.where("edge_type = 'has_child'").count() == 1 and rolled.where("node_type = 'code_group'").count() == 1
     page = report.render("T<>", {"dependencies": deps, "endpoints": e}, nodes, edges)
     assert "T&lt;&gt;" in page and "express" in page
 

@@ -223,6 +223,7 @@ def near_duplicates(docs: DataFrame, *keep: str, radius: int = RADIUS, blocks: i
     of_root = known.groupBy("root").agg(F.min("rep").alias("component"))
     grouped = known.join(of_root, "root").select("fp", "root", "component")
     per = reps.join(grouped, "fp", "left").select("fp", F.coalesce("component", "rep").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    per = materialise(per, "components")  # a join of two written tables, whose hot fingerprints Spark can split
     return fps.join(per, "fp").select(*(keep or ("doc_id",)), "fp", "component_id", "root")
 
 

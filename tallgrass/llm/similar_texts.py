@@ -1,0 +1,165 @@
+"""Texts of a Jaccard similarity of 0.8 or more: MinHash bands propose, whole shingle sets confirm.
+
+A-Z are lower-cased and words are as in `simhash`. A text is the set of its 5-word shingles, as XXH64 values (seed 42; a text
+of fewer words is one shingle; of none, the set is empty). Two texts are linked if their sets' Jaccard similarity is
+`SIMILARITY` or more, and documents are grouped by what they reach over links. A 64-bit SimHash can't propose such pairs:
+at 0.8 about ten bits differ, and parts of the fingerprint that agree are then too short to tell texts apart.
+
+Equal sets count once. Each set has `BANDS` keys, a hash of `ROWS` minima each; a pair of similarity 0.8 shares none with
+probability (1 - 0.8^ROWS)^BANDS = 0.0007, and less above it. Sets that share keys, directly or over others, form a
+cluster (star links to each key's smallest, never pairs). Within a cluster every two sets are compared exactly, whether or
+not they share a key: the only pairs that can be missed are those that no chain of shared keys joins. A cluster of more
+than `GROUP` sets or `SHINGLES` shingles is cut into pieces by hash and every two pieces are compared in a task of their
+own; tasks give a spanning forest of their links.
+
+Null and empty texts have the empty set and form a group. A null doc_id stays null. Rows that share a doc_id are judged
+each by its text. Empty tables give an empty result. Further columns are kept.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+
+from tallgrass.llm.common import fresh, materialise, partitions, row_digest, small_batches
+from tallgrass.llm.simhash import SEED, _whole_groups, components
+
+WORDS = 5
+SIMILARITY = 0.8
+BANDS = 24
+ROWS = 6
+GROUP = 1024
+SHINGLES = 1 << 20
+
+_RANDOM = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """The sorted set of a text's shingle hashes."""
+    from xxhash import xxh64_intdigest as digest
+
+    w = text.lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    parts = [b" ".join(w)] if len(w) < WORDS else map(b" ".join, zip(*[w[k:] for k in range(WORDS)]))  # noqa: B905
+    return np.unique(np.fromiter((digest(s, SEED) for s in parts), np.uint64))
+
+
+def bands(found: np.ndarray) -> list[int]:
+    """Keys as signed 64-bit integers; none of an empty set."""
+    from xxhash import xxh64_digest as digest
+
+    if not len(found):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for k in range(0, len(found), 4096):
+        least = np.minimum(least, ((found[k : k + 4096, None] ^ _RANDOM[0]) * _RANDOM[1]).min(axis=0))
+    keys = b"".join(digest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS)))
+    return np.frombuffer(keys, ">i8").tolist()
+
+
+def similar(sets: list[np.ndarray], low: np.ndarray, high: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """For each set the smallest one that it reaches over links with others in [low, high) of its row."""
+    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    parts = np.split(ids, np.cumsum(sizes)[:-1])
+    own = np.zeros(int(ids.max(initial=-1)) + 1, np.int64)
+    label = np.arange(n)
+    for i in range(n):
+        j = np.arange(low[i], high[i])
+        near = np.minimum(sizes[j], sizes[i]) >= similarity * np.maximum(sizes[j], sizes[i])
+        j = j[near & (label[j] != label[i]) & (sizes[j] > 0)]
+        if not len(j):
+            continue
+        own[parts[i]] = 1
+        common = np.add.reduceat(own[np.concatenate([parts[k] for k in j])], np.cumsum(sizes[j]) - sizes[j])
+        own[parts[i]] = 0
+        joined = np.unique(label[j[common >= similarity * (sizes[i] + sizes[j] - common)]])
+        if len(joined):
+            label[np.isin(label, [*joined, label[i]])] = min(label[i], joined[0])
+    return label
+
+
+def signatures(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns `keep`, fp (a hash of the shingle set), n (its size) and bands."""
+    small_batches(docs.sparkSession)
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_digest as digest
+
+        for b in batches:
+            sets = [shingles(t.as_py() or b"") for t in b.column(0).cast(pa.binary())]
+            fps = np.frombuffer(b"".join(digest(s.tobytes(), SEED) for s in sets), ">i8").astype(np.int64)
+            cols = [pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols], names=[*keep, "fp", "n", "bands"])
+
+    schema = StructType([docs.schema[c] for c in keep] + [StructField("fp", LongType()), StructField("n", LongType()), StructField("bands", ArrayType(LongType()))])
+    return docs.select("text", *keep).mapInArrow(signed, schema)
+
+
+def _sets(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns `keep` and shingles: the sorted set's bytes."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py() or b"").tobytes() for t in b.column(0).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(sets, pa.binary())], names=[*keep, "shingles"])
+
+    schema = StructType([docs.schema[c] for c in keep] + [StructField("shingles", BinaryType())])
+    return docs.select("text", *keep).mapInArrow(made, schema)
+
+
+def _with_roots(tree: DataFrame) -> DataFrame:
+    return tree.select(F.col("node").alias("fp"), "root").union(tree.select(F.col("root").alias("fp"), "root").distinct())
+
+
+def similar_links(clustered: DataFrame, group: int = GROUP) -> DataFrame:
+    """Links (a, b) within the clusters of clustered (root, fp, n, shingles): a spanning forest for each two pieces of one."""
+    sizes = clustered.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / group), F.ceil(F.sum("n") / SHINGLES), F.lit(1).cast("long")).alias("pieces"))
+    own = clustered.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("pieces")))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    dealt = dealt.select("root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "fp", "shingles")
+    dealt = dealt.repartition(partitions(clustered.sparkSession), "root", "a", "b").sortWithinPartitions("root", "a", "b", "own")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for root, a, b, own, fp, raw in _whole_groups(batches, 256):
+            edge = np.flatnonzero(np.concatenate(([True], (root[1:] != root[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+            for x, y in zip(edge, [*edge[1:], len(fp)], strict=True):
+                n, first = y - x, int((own[x:y] == a[x]).sum())
+                rows = np.arange(n)
+                low = rows + 1 if a[x] == b[x] else np.full(n, first)
+                high = np.full(n, n) if a[x] == b[x] else np.where(rows < first, n, first)
+                reached = similar([np.frombuffer(s, np.uint64) for s in raw[x:y]], low, high)
+                child = np.flatnonzero(reached != rows)
+                yield pa.RecordBatch.from_arrays([pa.array(fp[x:y][child]), pa.array(fp[x:y][reached[child]])], names=["a", "b"])
+
+    return dealt.mapInArrow(compared, "a long, b long").distinct()
+
+
+def without_similar_texts(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """docs with one row of each group: one of the smallest doc_id there, null last, and of such rows the one of smallest digest."""
+    none, number, digest = fresh(docs, "key_none"), fresh(docs, "key_number"), fresh(docs, "key_digest")
+    marked = docs.withColumns({number: F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), digest: row_digest("doc_id", "text")})
+    signed = materialise(signatures(marked.withColumn(none, F.col("doc_id").isNull()), none, number, digest), "signatures")
+    first = F.min(F.struct(F.col(none).alias("none"), F.col(number).alias("number"), F.col(digest).alias("digest"), "n", "bands"))
+    sets = materialise(signed.groupBy("fp").agg(first.alias("x")).select("fp", "x.*"), "sets")
+
+    filed = sets.select("fp", F.explode("bands").alias("key"))
+    lowest = filed.groupBy("key").agg(F.min("fp").alias("b"), F.count("*").alias("m")).where("m > 1").select("key", "b")
+    shared = filed.join(lowest, "key").where("fp > b").select(F.col("fp").alias("a"), "b")
+    clusters = _with_roots(components(shared)).join(sets.select("fp", "number", "digest", "n"), "fp")
+    clusters = materialise(clusters.select("fp", "root", F.col("number").alias(number), F.col("digest").alias(digest), "n"), "clusters")
+    # equal rows repeat; one is enough
+    texts = marked.select("text", number, digest).join(clusters.hint("shuffle_hash"), [number, digest])
+    clustered = materialise(_sets(texts, "root", "fp", "n").dropDuplicates(["fp"]).select("root", "fp", "n", "shingles"), "clustered")
+
+    roots = materialise(_with_roots(components(similar_links(clustered, group))), "roots")
+    grouped = sets.select("fp", "none", "number", "digest").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    best = grouped.groupBy("root").agg(F.min(F.struct("none", "number", "digest")).alias("best"))
+    kept = best.select(F.col("best.number").alias(number), F.col("best.digest").alias(digest)).hint("shuffle_hash")
+    return marked.join(kept, [number, digest], "left_semi").dropDuplicates([number, digest]).select(*docs.columns)

@@ -14,8 +14,11 @@ A group's documents are counted by grid cell before anything is shuffled, so tha
 (2.5 million by its bounds, some hundreds in practice) whatever the group's size, and every document counts. The fit is
 exact for the gridded vectors: a cell on the border of the chosen share counts in part.
 
-Null and empty texts have no words and fail. A null lang or source is a group like any other. Groups of fewer than
-`MIN_GROUP` documents have no estimate and keep what passes the base rules. Repeated rows count as often as they occur.
+A group of fewer than `MIN_GROUP` documents is judged by the estimate of all documents of its language, and where these
+are too few by that of all documents, so that every document is judged at every size.
+
+Null and empty texts have no words and fail. A null lang or source is a group like any other. Repeated rows count as often
+as they occur.
 Empty tables give an empty result. Further columns are not read by `judged` and are kept by `without_outliers`.
 """
 
@@ -173,18 +176,36 @@ def mcd(x: np.ndarray, w: np.ndarray, floor: np.ndarray, share: float = SHARE) -
 
 def outlying_cells(stats: DataFrame) -> DataFrame:
     """lang, source and cell of what the method rejects."""
-    counted = stats.where(~F.col("base_failed")).groupBy("lang", "source", *CELL).agg(F.count("*").alias("n"))
+    group = ("lang", "source")
+    counted = stats.where(~F.col("base_failed")).groupBy(*group, *CELL).agg(F.count("*").alias("n"))
+    counted = materialise(counted, "cells")
+    none = [F.lit(None).cast(stats.schema[c].dataType).alias(c) for c in group]
+    pools = [("lang", "source"), ("lang", none[1]), (none[0], none[1])]
+    of = F.array(*[F.struct(F.lit(k).alias("level"), *[F.col(c) if isinstance(c, str) else c for c in x]) for k, x in enumerate(pools)])
+    pooled = counted.select(F.explode(of).alias("p"), *CELL, "n").groupBy("p.level", "p.lang", "p.source", *CELL).agg(F.sum("n").alias("n"))
 
     def fitted(pdf):
         pdf = pdf.sort_values(list(CELL))
         w = pdf["n"].to_numpy(float)
-        if w.sum() < MIN_GROUP:
-            return pdf.iloc[:0][["lang", "source", *CELL]]
+        if w.sum() < MIN_GROUP and pdf["level"].iloc[0] < 2:
+            return pdf.iloc[:0][["level", *group, *CELL]]
         x = (pdf[list(CELL)].to_numpy(float) + 0.5) * STEP
         mean, cov = mcd(x, w, SCALE)
-        return pdf[_distances(x, mean, cov) > chi2_quantile(CUTOFF, len(STEP))][["lang", "source", *CELL]]
-
-    return counted.groupBy("lang", "source").applyInPandas(fitted, StructType([stats.schema[c] for c in ("lang", "source", *CELL)]))
+        return pdf[_distances(x, mean, cov) > chi2_quantile(CUTOFF, len(STEP))][["level", *group, *CELL]]
+
+    schema = StructType([StructField("level", IntegerType())] + [stats.schema[c] for c in (*group, *CELL)])
+    out = pooled.groupBy("level", *group).applyInPandas(fitted, schema)
+    # each group's level: the narrowest pool of enough documents
+    size = counted.groupBy(*group).agg(F.sum("n").alias("n"))
+    wide = size.groupBy("lang").agg(F.sum("n").alias("wide")).withColumnRenamed("lang", "w_lang")
+    size = size.join(wide, size["lang"].eqNullSafe(wide["w_lang"]))
+    level = F.when(F.col("n") >= MIN_GROUP, 0).when(F.col("wide") >= MIN_GROUP, 1).otherwise(2)
+    size = size.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), level.alias("g_level"))
+    rows = counted.join(size, counted["lang"].eqNullSafe(size["g_lang"]) & counted["source"].eqNullSafe(size["g_source"])).select(*group, *CELL, "g_level")
+    o = out.select(*[F.col(c).alias(f"o_{c}") for c in out.columns])
+    on = [rows["g_level"] == o["o_level"]] + [rows[c] == o[f"o_{c}"] for c in CELL]
+    on += [F.when(rows["g_level"] <= k, rows[c]).eqNullSafe(o[f"o_{c}"]) for c, k in (("lang", 1), ("source", 0))]
+    return rows.join(o, on, "left_semi").select(*group, *CELL)
 
 
 def judged(docs: DataFrame, *keep: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallgrass.llm.common import documents, small_batches
-from tallgrass.llm.tokens import Encoder, tokenizer_path
+from tallgrass.llm.tokens import encoder, tokenizer_path
 
 RESULT = ", n_tokens long, n_sections long, n_crossing long, section_tokens array<long>"
 
@@ -53,8 +53,8 @@ def section_counts(rows: DataFrame, key: str, text: Column, lengths: Column | No
     df = rows.select(F.col(key), F.coalesce(text, F.lit("")).alias("body"), *([lengths.alias("lengths")] if lengths is not None else []))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(path)
-        size = coder.byte_lengths()
+        coder = encoder(path)
+        size = coder.byte_lengths
         for b in batches:
             texts, totals, sections, crossings, counts = b.column(1).to_pylist(), [], [], [], []
             cuts = b.column(2).to_pylist() if b.num_columns > 2 else [None] * len(texts)

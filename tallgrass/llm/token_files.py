@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.llm import simple8b
 from tallgrass.llm.common import documents, partitions, shared_path, small_batches
-from tallgrass.llm.tokens import Encoder, tokenizer_path
+from tallgrass.llm.tokens import encoder, tokenizer_path
 
 END = 2
 FILE_SCHEMA = "doc_id long, shard int, local long, n_tokens long, blocks binary, words binary"
@@ -60,7 +60,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = END
     dealt = dealt.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", F.spark_partition_id().alias("shard"), "text")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, local, stop = Encoder(tokenizer), 0, np.array([end], np.uint32).tobytes()
+        coder, local, stop = encoder(tokenizer), 0, np.array([end], np.uint32).tobytes()
         for b in batches:
             at = 0
             for group in _chunks(b.column(2).to_pylist()):

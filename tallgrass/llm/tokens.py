@@ -1,10 +1,12 @@
-"""Whole texts to token ids with the tokenizers library, each distinct piece encoded by it once per worker.
+"""Whole texts to token ids with the tokenizers library, each frequent piece encoded by it once per worker process.
 
 Byte-level BPE splits a text into pre-tokens and encodes each by itself. Before a single space between two characters
 that are not white space there is always such a split, and on both sides of a single newline between two such
-characters. Texts are cut there, and the library's ids of each piece are kept in a bounded memo (a piece of letters alone
-is one pre-token and goes straight to the library's model; ASCII marks after a letter or digit, before white space,
-are one pre-token too). A text with any other white space pattern (runs, tabs, white space at an end) or a special
+characters. Texts are cut there, and the library's ids of each piece are kept in a bounded memo of two generations: when
+the newer is full it becomes the older, and what is asked for again comes back from there, so that frequent pieces stay
+(a piece of letters alone is one pre-token and goes straight to the library's model; ASCII marks after a letter or digit,
+before white space, are one pre-token too). `encoder` keeps one encoder per tokenizer in a worker process, for all of its
+tasks. A text with any other white space pattern (runs, tabs, white space at an end) or a special
 token's string is encoded whole by the library, or, when long, in pieces cut at such single spaces only. Ids are the same
 as those of encoding the whole text, which the tests assert.
 """
@@ -13,11 +15,12 @@ from __future__ import annotations
 
 import re
 from array import array
+from functools import cache, cached_property
 
 import numpy as np
 
-#: Entries of the memo, about 250 bytes each; it starts anew when full.
-MEMO = 400_000
+#: Entries of each of the memo's two generations, about 200 bytes each.
+MEMO = 300_000
 #: Longer pieces are not kept.
 PIECE = 48
 #: Texts longer than this are cut, where a single space parts two words, before the library encodes them.
@@ -64,7 +67,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.special = self.tokenizer.model, [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.limit, self.memo = memo, {}
+        self.limit, self.memo, self.older = memo, {}, {}
         self.newline, self.marks = self.library(["\n"])[0], {}
 
     def library(self, texts: list[str]) -> list[bytes]:
@@ -84,25 +87,27 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(raw.replace(" ", _SPACE))]).tobytes()
 
     def learn(self, p: str) -> bytes | None:
-        """The ids of a part that the memo lacks; None for one whose neighbourhood is irregular."""
-        memo = self.memo
+        """The ids of a part that the newer memo lacks; None for one whose neighbourhood is irregular."""
+        ids = self.older.get(p) or self._made(p)
+        if ids and len(p) <= PIECE:
+            if len(self.memo) >= self.limit:
+                self.older = dict(self.memo)
+                self.memo.clear()  # the same object, which encode() reads
+            self.memo[p] = ids
+        return ids
+
+    def _made(self, p: str) -> bytes | None:
         core = p.rstrip(_MARKS)
         if core != p and core[-1:].isalnum():  # marks after a letter or digit and before white space are one pre-token
-            ids, marks = memo.get(core) or self.learn(core), p[len(core) :]
+            ids, marks = self.memo.get(core) or self.learn(core), p[len(core) :]
             return ids and ids + (self.marks.get(marks) or self._mark(marks))
         line = p[:1] == "\n"
         body = p[1:] if line else p
         if not body or not _solid(body[0]) or not _solid(body[-1]):
             return None
         if body.isalpha() and (body.isascii() or max(body) < _PLAIN):
-            ids = self.newline + self.word(body) if line else self.word(f" {body}")
-        else:
-            ids = self.library([p if line else f" {p}"])[0]
-        if len(p) <= PIECE:
-            if len(memo) >= self.limit:
-                memo.clear()
-            memo[p] = ids
-        return ids
+            return self.newline + self.word(body) if line else self.word(f" {body}")
+        return self.library([p if line else f" {p}"])[0]
 
     def _mark(self, marks: str) -> bytes:
         ids = self.library([marks])[0]
@@ -131,6 +136,7 @@ class Encoder:
                     out.append(b"".join(ids))
         return out
 
+    @cached_property
     def byte_lengths(self) -> np.ndarray:
         """By id, how many bytes of text a token covers: byte-level vocabularies write each byte as one character."""
         out = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
@@ -139,3 +145,9 @@ class Encoder:
         for i, token in self.tokenizer.get_added_tokens_decoder().items():
             out[i] = len(token.content.encode())
         return out
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """This process's encoder for the tokenizer at path: Python workers outlive tasks, and so does the memo."""
+    return Encoder(path)

@@ -70,7 +70,7 @@ def test_files_hold_documents_in_order(spark):
 
 
 def test_token_spans_are_the_librarys(coder):
-    lengths = coder.byte_lengths()
+    lengths = coder.byte_lengths
     for t in [*ODD, "naïve façade\nélan – 日本語 𝒳 x"]:
         e = coder.tokenizer.encode(t, add_special_tokens=False)
         first, end = token_counts.token_spans(t.encode(), np.array(e.ids, np.int64), lengths)

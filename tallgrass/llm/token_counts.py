@@ -82,7 +82,7 @@ def line_counts(docs: DataFrame, key: str = "doc_id", tokenizer: str | None = No
 def field_counts(rows: DataFrame, key: str, fields: list[str], tokenizer: str | None = None) -> DataFrame:
     """Sections are the fields, in order; each but the last takes the newline that follows it."""
     parts = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
-    lengths = [F.length(p) + (k + 1 < len(parts)) for k, p in enumerate(parts)]
+    lengths = [F.length(p) + F.lit(int(k + 1 < len(parts))) for k, p in enumerate(parts)]
     return section_counts(rows, key, F.concat_ws("\n", *parts), F.array(*[x.cast("long") for x in lengths]), tokenizer)
 
 

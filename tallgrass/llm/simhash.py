@@ -7,9 +7,10 @@ reach over links.
 
 Only distinct fingerprints are compared. The 64 bits are cut into `BLOCKS` parts; two fingerprints within the radius
 agree in at least BLOCKS - RADIUS of them, so each fingerprint is filed once for every choice of so many parts, and only
-those filed together are compared. A file of more than `GROUP` is cut into pieces by hash and every two pieces are
-compared in a task of their own; tasks give a spanning forest of their links, never the pairs. Inside a task the
-fingerprints' bits stand in vertical planes of 64 lanes; carry-save counters add up a lane's differing bits for 64
+those filed together are compared. In a file of more than `GROUP` the rows within the radius of its smallest fingerprint
+are linked to that and meet the others alone, and the others meet all, in pieces by hash with a task for every two; tasks
+give a spanning forest of their links, never the pairs. So a file that is one dense group costs in proportion to its rows;
+the rows away from its smallest one enter by their number squared over `GROUP`. Inside a task the fingerprints' bits stand in vertical planes of 64 lanes; carry-save counters add up a lane's differing bits for 64
 fingerprints at once, and a word of lanes is given up as soon as all its lanes are beyond the radius.
 
 Groups are found by large-star and small-star steps over the links until nothing changes, each step written to the
@@ -27,7 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallgrass.llm.common import documents, fresh, materialise, partitions, row_digest, small_batches
@@ -85,11 +86,13 @@ def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def planes(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bit planes: by bit and word of 64 lanes; and the bits by bit and row."""
-    bits = np.ascontiguousarray(np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).T)
-    lanes = -(-len(fps) // 64) * 64
-    wide = np.zeros((64, lanes), np.uint8)
-    wide[:, : len(fps)] = bits
+    """Bit planes of fingerprints of one 64-bit word, or of a row of words: by bit and word of 64 lanes; and the bits by bit and row."""
+    n = len(fps)
+    words = fps[:, None] if fps.ndim == 1 else fps
+    raw = words.astype(">u8").view(np.uint8).reshape(n, 8 * words.shape[1])
+    bits = np.ascontiguousarray(np.unpackbits(raw, axis=1).T)
+    wide = np.zeros((len(bits), -(-n // 64) * 64), np.uint8)
+    wide[:, :n] = bits
     return np.packbits(wide, axis=1, bitorder="little").view("<u8"), bits
 
 
@@ -110,7 +113,7 @@ def links(fps: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int = RADI
         mask = (full << from_lane.astype(np.uint64)) & (full >> (64 - to_lane).astype(np.uint64))
         counter = [np.full(len(task), full if spare >> k & 1 else np.uint64(0)) for k in range(digits)]
         over = ~mask
-        for p in range(64):
+        for p in range(len(plane)):
             carry = plane[p][word] ^ (np.uint64(0) - bits[p][row].astype(np.uint64))
             for k in range(digits):
                 counter[k], carry = counter[k] ^ carry, counter[k] & carry
@@ -145,37 +148,80 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return label
 
 
-def block_keys(blocks: int, radius: int) -> list:
-    """A key for each choice of blocks - radius parts: the choice's number above the parts' bits, mixed to one long."""
+def block_masks(blocks: int, radius: int) -> list[tuple[int]]:
+    """For each choice of blocks - radius of the parts of 64 bits, the mask of their bits."""
     edges = [64 * k // blocks for k in range(blocks + 1)]
-    part = [F.expr(f"shiftrightunsigned(fp, {lo}) & {(1 << (hi - lo)) - 1}L") for lo, hi in zip(edges, edges[1:], strict=False)]
-    return [F.xxhash64(F.lit(k), *[part[i] for i in chosen]) for k, chosen in enumerate(combinations(range(blocks), blocks - radius))]
-
-
-def candidate_links(reps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, group: int = GROUP) -> DataFrame:
-    """Links (a, b) among the distinct fp of reps: a spanning forest for each two pieces of a file."""
-    spark = reps.sparkSession
-    filed = reps.select("fp", F.explode(F.array(*block_keys(blocks, radius))).alias("key"))
-    sizes = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    own = filed.join(sizes, "key").withColumn("pieces", F.ceil(F.col("n") / group)).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("pieces")))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "fp")
-    dealt = dealt.repartition(partitions(spark), "key", "a", "b").sortWithinPartitions("key", "a", "b", "own")
+    part = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:], strict=False)]
+    return [(sum(part[i] for i in chosen),) for chosen in combinations(range(blocks), blocks - radius)]
+
+
+def file_keys(masks: list[tuple], bits: tuple[str, ...]) -> list[Column]:
+    """A key for each mask over the columns bits: the mask's number and the bits that it lets through, mixed to one long."""
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
+    return [F.xxhash64(F.lit(k), *[F.col(c).bitwiseAND(signed(m)) for c, m in zip(bits, mask, strict=True)]) for k, mask in enumerate(masks)]
+
+
+def dealt(rows: DataFrame, files: DataFrame, file: str, near: Column, heads: DataFrame, *payload: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (file, fp, load, payload) dealt to tasks (file, a, b) in which every two rows that may be linked meet; and links (a, b) found on the way.
+
+    files (file, load) has the sums of load; a file of a load of up to 1 is one task. In a larger one each row is first held
+    against the file's head, a row of heads (file, h_fp and what `near` reads). The rows near it are linked to it, so that they
+    need not meet each other: they meet the others only, and the others meet all, piece by piece. Of a file that is one dense
+    group each row is thus sent once or twice, however large it is; only the others' number enters by its square.
+    """
+    spark = rows.sparkSession
+    zero = F.lit(0).cast("long")
+    alone = rows.join(files.where("load <= 1").select(file), file).select(file, zero.alias("a"), zero.alias("b"), zero.alias("own"), "fp", *payload)
+    big = materialise(files.where("load > 1").select(file), "big-files")
+    found = None
+    if not big.isEmpty():
+        hot = rows.join(big, file).join(heads, file).withColumn("ball", near)
+        hot = materialise(hot.select(file, "fp", "h_fp", "load", "ball", *payload), "hot-files")
+        found = hot.where("ball and fp != h_fp").select(F.col("fp").alias("a"), F.col("h_fp").alias("b"))
+        part = lambda c: F.ceil(F.coalesce(F.sum(F.when(c, F.col("load"))), F.lit(0.0)))
+        sizes = hot.groupBy(file).agg(part(F.col("ball")).alias("balls"), part(~F.col("ball")).alias("others")).where("others > 0")
+        own = F.when(F.col("ball"), F.pmod(F.xxhash64("fp"), "balls")).otherwise(F.col("balls") + F.pmod(F.xxhash64("fp"), "others"))
+        meets = F.sequence(F.when(F.col("ball"), F.col("balls")).otherwise(zero), F.col("balls") + F.col("others") - 1)
+        pieces = hot.join(sizes, file).withColumn("own", own).withColumn("other", F.explode(meets))
+        pieces = pieces.select(file, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "fp", *payload)
+        alone = alone.union(pieces)
+    return alone.repartition(partitions(spark), file, "a", "b").sortWithinPartitions(file, "a", "b", "own"), found
+
+
+def tasks_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Portions of whole tasks of dealt rows: their columns, each task's first row and length, and each row's partners [low, high)."""
+    for cols in _whole_groups(batches, most):
+        file, a, b, own = cols[:4]
+        n = len(file)
+        edge = np.flatnonzero(np.concatenate(([True], (file[1:] != file[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        size = np.diff(np.concatenate((edge, [n])))
+        first = np.bincount(np.repeat(np.arange(len(edge)), size), weights=own == a).astype(np.int64)
+        same, mine = a == b, own == a
+        low = np.where(same, np.arange(n) + 1, np.repeat(edge + first, size))
+        high = np.where(same | mine, np.repeat(edge + size, size), low)
+        yield cols, edge, size, low, high
+
+
+def candidate_links(reps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, group: int = GROUP, masks: list[tuple] | None = None, bits: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """Links (a, b) among the distinct fp of reps, whose columns bits hold the fingerprints' words: a spanning forest for each two pieces of a file."""
+    masks = block_masks(blocks, radius) if masks is None else masks
+    more = [c for c in bits if c != "fp"]
+    filed = reps.select("fp", *more, F.lit(1.0 / group).alias("load"), F.explode(F.array(*file_keys(masks, bits))).alias("key"))
+    files = filed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("h_fp")).where("n > 1").withColumn("load", F.col("n") / F.lit(float(group)))
+    heads = files.where("load > 1").select("key", "h_fp").join(reps.select(F.col("fp").alias("h_fp"), *[F.col(c).alias(f"h_{c}") for c in more]), "h_fp")
+    near = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"h_{c}"))) for c in bits), F.lit(0)) <= radius
+    rows, found = dealt(filed, files, "key", near, heads, *more)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, a, b, own, fp in _whole_groups(batches):
-            edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-            size = np.diff(np.concatenate((edge, [len(fp)])))
-            end = np.repeat(edge + size, size)
-            first = np.bincount(np.repeat(np.arange(len(edge)), size), weights=own == a).astype(np.int64)
-            same, mine = a == b, own == a
-            low = np.where(same, np.arange(len(fp)) + 1, np.repeat(edge + first, size))
-            high = np.where(same | mine, end, low)
-            root = forest(len(fp), links(fp.view(np.uint64), low, high, radius))
+        for cols, _, _, low, high in tasks_of(batches, 1 << 14):
+            fp = cols[4]
+            words = np.stack(cols[5:] or [fp], axis=1).view(np.uint64)
+            root = forest(len(fp), links(words, low, high, radius))
             child = np.flatnonzero(root != np.arange(len(fp)))
             yield pa.RecordBatch.from_arrays([pa.array(fp[child]), pa.array(fp[root[child]])], names=["a", "b"])
 
-    return dealt.mapInArrow(compared, "a long, b long").distinct()
+    out = rows.mapInArrow(compared, "a long, b long")
+    return (out if found is None else out.union(found)).distinct()
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], most: int = 1 << 14) -> Iterator[list[np.ndarray]]:
@@ -197,15 +243,17 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], most: int = 1 << 14) -> Ite
 
 def components(edges: DataFrame) -> DataFrame:
     """For each node of edges (a, b) other than its group's smallest: node, root (the smallest node that it reaches)."""
+    spark = edges.sparkSession
+    once = lambda df: df.repartition(partitions(spark), "u", "v").distinct()  # noqa: E731  after a join dealt by one node: the links of a node in many groups' midst are spread again
     now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = once(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v"))
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u")
-        step = small.select("u", F.col("m").alias("v")).union(small.select("v", "m").where("v > m")).distinct()
+        step = once(small.select("u", F.col("m").alias("v")).union(small.select("v", "m").where("v > m")))
         now = materialise(step, "links")
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if seen == mark:

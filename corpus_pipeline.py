@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tallgrass.llm.common import materialise
 from tallgrass.llm.decontaminate import without_contaminated
 from tallgrass.llm.mixing import mixed_documents
+from tallgrass.llm.near_texts import without_similar_texts
 from tallgrass.llm.quality import without_outliers
-from tallgrass.llm.similar_texts import without_similar_texts
 from tallgrass.llm.token_files import tokenised
 
 
@@ -18,7 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    """One document of each group of texts near by SimHash whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
     return without_similar_texts(docs)
 
 

@@ -6,9 +6,12 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from tallgrass.llm import quality
 from tallgrass.llm.common import materialise
 from tallgrass.llm.tokens import Encoder, tokenizer_path
 from tests.llm import brute
+from tests.llm.test_corpus import distances
+from tests.llm.test_near_texts import roots, shingles
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -24,12 +27,11 @@ def test_stages_by_brute_force(spark):
         if k < 4:
             assert docs.columns == names and all(r == rows[r.doc_id] for r in out[name])
     ids = lambda name: sorted(r.doc_id for r in out[name])
-    # quality: no (lang, source) has 50 documents here, so that the base rules decide alone
-    good = [i for i in sorted(rows) if not brute.quality(rows[i].text)[5]]
-    assert ids("quality rules") == good
-    root = brute.groups([brute.fingerprint(rows[i].text) for i in good])
-    single = sorted({good[r] for r in root})
-    assert ids("near duplicates") == single
+    far = distances([(r.doc_id, r.text, r.lang, r.source) for r in rows.values()])
+    good = sorted(i for i, d in far.items() if d <= quality.chi2_quantile(quality.CUTOFF, 4))
+    assert ids("quality rules") == good and len(good) < len(far)  # the method rejects some that pass the base rules
+    single = sorted({good[r] for r in roots([shingles(rows[i].text) for i in good])})
+    assert ids("near duplicates") == single and len(single) < len(good)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clean = [i for i in single if not brute.decontaminated(rows[i].text, items)[4]]
     assert ids("decontamination") == clean

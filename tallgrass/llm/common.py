@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Rows in one Arrow batch. Texts are read whole, so that this bounds a Python worker's memory.
 ARROW_ROWS = 256
 
+#: Rows of a few numbers each that a join may broadcast.
+BROADCAST_ROWS = 500_000
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: White space that parts words, as a Java and RE2 class.
@@ -50,6 +53,11 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, written: DataFrame | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast if the written table that it is, or comes from, has at most `most` rows; else left to a shuffle."""
+    return F.broadcast(df) if (df if written is None else written).count() <= most else df
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches that later plans of this session send to Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tallgrass.llm import line_dedup, mixing, quality, simhash
+from tallgrass.llm.common import row_digest
 from tests.llm import brute
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -220,38 +221,81 @@ def test_positions_invert_the_schedule(spark):
     assert statistics.fmean(early) < 0.6
 
 
-
-
-def test_line_dedup(spark):
-    rng = random.Random(9)
-    line = lambda: " ".join(rng.choice(WORDS) for _ in range(6))
+def plain_line_dedup(rows):
+    """Text by row (doc_id, digest, text), in order of place: boundaries by whole windows, groups by bytes, runs by single lines."""
+    import xxhash
+
+    rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    found, lines_of = {}, {}
+    for r in rows:
+        if r[2] is None or "\n" not in r[2]:
+            continue
+        lines = lines_of[r] = r[2].split("\n")
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in lines]
+        turned = lambda x, k: (x << k | x >> (64 - k)) & (1 << 64) - 1
+        cut = []
+        for i in range(1, len(h)):
+            x = h[i] ^ turned(h[i - 1], 1)
+            if (x - (x >> 63 << 64)) % 3 < 2:
+                cut.append(i)
+        ends = cut if cut and cut[-1] == len(h) - 1 else [*cut, len(h) - 1]
+        for k, e in enumerate(ends):
+            begin = ends[k - 1] + 1 if k else 0
+            if e - begin >= 1:
+                found.setdefault((1, *lines[begin : e + 1]), []).append((r, begin, e + 1, begin, e + 1))
+            if e in cut:
+                found.setdefault((0, lines[e - 1], lines[e]), []).append((r, e - 1, e + 1, max(0, min(begin, e - 1) - 1), ends[k + 1] + 1 if k + 1 < len(ends) else len(lines)))
+    gone = {r: set() for r in rows}
+    for places in found.values():
+        places.sort(key=lambda p: (rows.index(p[0]), p[1]))
+        first, a, b, lo, hi = places[0]
+        for r, x, y, left, right in places[1:]:
+            gone[r].update(range(x, y))
+            k = 1
+            while x - k >= left and a - k >= lo and lines_of[r][x - k] == lines_of[first][a - k]:
+                gone[r].add(x - k)
+                k += 1
+            k = 0
+            while y + k < right and b + k < hi and lines_of[r][y + k] == lines_of[first][b + k]:
+                gone[r].add(y + k)
+                k += 1
+    return {r: (r[2] if not gone[r] else "\n".join(x for i, x in enumerate(lines_of[r]) if i not in gone[r]), len(gone[r])) for r in rows}
+
+
+@pytest.mark.parametrize("seed", [9, 10])
+def test_line_dedup(spark, seed):
+    rng = random.Random(seed)
+    line = lambda: " ".join(rng.choice(WORDS) for _ in range(rng.randint(2, 9)))
     shared = [line() for _ in range(40)]
+    short = [[line() for _ in range(n)] for n in (2, 2, 3, 3, 4, 5)]
     rows = []
-    for i in range(30):
-        own = [line() for _ in range(rng.randint(0, 6))]
+    for i in range(60):
+        own = [line() for _ in range(rng.randint(0, 9))]
         at = rng.randint(0, len(own))
-        rows.append((i, "\n".join([*own[:at], *(shared if i % 3 == 0 else []), *own[at:]]), "k"))
-    rows += [(100, None, "k"), (101, "", "k"), (102, "one line", "k"), (103, "one line", "k"), (None, "\n".join(shared), "k"), (104, "\n" * 5, "k"), (105, "\n" * 5, "k"), (5, rows[5][1], "k"), (106, "\n".join([shared[0], "x"] * 300), "k")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lines string")
-    cut = {(r.doc_id, tuple(r.text.split("\n"))): [(c.first, c.lines) for c in r.c] for r in df.where("text is not null").select("doc_id", "text", line_dedup.chunks().alias("c")).collect()}
-    seen, want = {}, {}
-    order = sorted({(i, t) for i, t, _ in rows if t is not None}, key=lambda x: (x[0] is None, x[0] or 0))
-    for i, t in order:
-        lines = t.split("\n")
-        spans = cut[(i, tuple(lines))]
-        assert [a for a, _ in spans] == np.cumsum([0, *[n for _, n in spans]])[:-1].tolist() and sum(n for _, n in spans) == len(lines)
-        out = []
-        for a, n in spans:
-            body = tuple(lines[a : a + n])
-            if n < 2 or body not in seen:
-                out += body
-            if n >= 2:
-                seen.setdefault(body, i)
-        want[i, t] = "\n".join(out) if len(out) < len(lines) else t
-    for r, (i, t, _) in zip(sorted(line_dedup.dedup_lines(df).collect(), key=lambda r: str((r.doc_id, r.n_lines))), sorted(rows, key=lambda r: str((r[0], 0 if not r[1] else r[1].count("\n") + 1))), strict=True):
-        assert r.doc_id == i and r.text == (want[i, t] if t is not None else None) and r.lines == "k"
-        assert r.n_removed == (0 if not t else t.count("\n") - r.text.count("\n") + (1 if r.text == "" else 0))
-    # most of the passage goes from the later documents, wherever it stands in them
-    left = {r.doc_id: sum(x in r.text.split("\n") for x in shared) for r in line_dedup.dedup_lines(df).where("doc_id % 3 = 0 and doc_id < 30").collect()}
-    assert left[0] == 40 and all(left[i] < 15 for i in range(3, 30, 3))
+        rows.append((i, "\n".join([*own[:at], *(shared if i % 3 == 0 else rng.choice(short)), *own[at:]])))
+    rows += [(100, None), (101, ""), (102, "one line"), (103, "one line"), (None, "\n".join(shared)), (104, "\n" * 5), (105, "\n" * 5), (5, rows[5][1]), (5, "\n".join(shared[3:9]))]
+    rows += [(106, "\n".join([shared[0], "x"] * 300)), (107, "\n".join(line() for _ in range(2000))), (108, "two\nlines"), (109, "two\nlines"), (109, "two\nlines\n"), (110, "w " * 300_000 + "\nof\none")]
+    df = spark.createDataFrame([(*r, "k", "own") for r in rows], "doc_id long, text string, lines string, n_removed string")
+    key = {(r.doc_id, r.text): r.d for r in df.select("doc_id", "text", row_digest("doc_id", "text").alias("d")).collect()}
+    want = plain_line_dedup([(i, key[i, t], t) for i, t in rows])
+    by = {}
+    for (i, d, t), x in want.items():
+        by.setdefault((i, len((t or "").split("\n")) if t else 0), []).append(x)
+    got = line_dedup.dedup_lines(df)
+    assert got.columns == [*df.columns, "n_lines", "_n_removed"]
+    got = got.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.text, r._n_removed) in by[r.doc_id, r.n_lines] and r.lines == "k" and r.n_removed == "own"
+    # whole passages go from the later documents, wherever they stand in them
+    left = {r.doc_id: sum(x in r.text.split("\n") for x in shared) for r in got if r.doc_id is not None and r.doc_id % 3 == 0 and r.doc_id < 60}
+    assert left[0] == 40 and not any(left[i] for i in range(3, 60, 3))
+    kept = {x for r in got if r.text for x in r.text.split("\n")}
+    assert kept >= {x for _, t in rows if t for x in t.split("\n") if x}  # no line's last copy goes
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_line_dedup_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "bounded", lambda df, written=None: df)
+    df = spark.createDataFrame([(i, f"a{i}\none\ntwo\nthree\nfour\nb{i}") for i in range(5)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(df).collect()} == {0: 0, 1: 8, 2: 8, 3: 8, 4: 8}

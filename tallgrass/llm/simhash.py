@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import documents, fresh, materialise, partitions, row_digest, small_batches
+from tallgrass.llm.common import bounded, documents, fresh, materialise, partitions, row_digest, small_batches
 
 RADIUS = 3
 BLOCKS = 5
@@ -250,9 +250,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = once(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v"))
+        least = bounded(materialise(least, "least"))  # written, so that Spark can split the rows of a node with many links
+        large = materialise(once(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")), "large")
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u")
+        small = large.join(bounded(materialise(lower, "lower")), "u")
         step = once(small.select("u", F.col("m").alias("v")).union(small.select("v", "m").where("v > m")))
         now = materialise(step, "links")
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -264,15 +265,15 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *keep: str, radius: int = RADIUS, blocks: int = BLOCKS, group: int = GROUP) -> DataFrame:
     """The columns `keep` (doc_id among them), fp, and component_id: the smallest doc_id that the row's text reaches."""
     fps = materialise(fingerprints(docs, *keep), "fingerprints")
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    reps = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     tree = components(candidate_links(reps, radius, blocks, group))
     roots = tree.select(F.col("node").alias("fp"), "root").union(tree.select(F.col("root").alias("fp"), "root").distinct())
-    known = reps.join(roots, "fp").select("fp", "root", "rep")
-    of_root = known.groupBy("root").agg(F.min("rep").alias("component"))
-    grouped = known.join(of_root, "root").select("fp", "root", "component")
+    known = materialise(reps.join(roots, "fp").select("fp", "root", "rep"), "known")
+    of_root = materialise(known.groupBy("root").agg(F.min("rep").alias("component")), "roots")
+    grouped = known.join(bounded(of_root), "root").select("fp", "root", "component")
     per = reps.join(grouped, "fp", "left").select("fp", F.coalesce("component", "rep").alias("component_id"), F.coalesce("root", "fp").alias("root"))
     per = materialise(per, "components")  # a join of two written tables, whose hot fingerprints Spark can split
-    return fps.join(per, "fp").select(*(keep or ("doc_id",)), "fp", "component_id", "root")
+    return fps.join(bounded(per), "fp").select(*(keep or ("doc_id",)), "fp", "component_id", "root")
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:

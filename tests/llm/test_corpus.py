@@ -58,6 +58,13 @@ def test_near_duplicates(spark, group):
     assert simhash.without_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_one_fingerprint_on_half_the_rows(spark):
+    rows = [(i, "the same few words here" if i % 2 else f"quite {i} another {i * 7} text {i * 13} each {i * 17} time", "k") for i in range(400)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, root string"), "doc_id").collect()}
+    root = brute.groups([brute.fingerprint(t) for _, t, _ in rows])
+    assert got == {i: root[i] for i in range(400)} and sum(v == 1 for v in got.values()) >= 200
+
+
 def test_chains_and_large_groups_of_near_copies(spark):
     chain = [0]
     for k in range(60):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -10,8 +11,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. Texts are read whole, so that this bounds a Python worker's memory.
+#: Rows and bytes in one Arrow batch (one row at least). Texts are read whole, so that these bound a Python worker's memory.
 ARROW_ROWS = 256
+ARROW_BYTES = 16 << 20
 
 #: Rows of a few numbers each that a join may broadcast.
 BROADCAST_ROWS = 500_000
@@ -26,10 +28,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (local tests) a folder of our own."""
+    """The folder in spark.checkpoint.dir; where that is unset, for a local master alone, a folder of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master := spark.sparkContext.master):
+        raise RuntimeError(f"spark.checkpoint.dir is unset: executors of {master} share no local folder for what is written between steps")
     app = spark.sparkContext.applicationId
     if app not in _own:
         folder = tempfile.mkdtemp(prefix="tallgrass-")
@@ -61,6 +65,7 @@ def bounded(df: DataFrame, written: DataFrame | None = None, most: int = BROADCA
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches that later plans of this session send to Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -5,30 +5,35 @@ all its windows of `n` consecutive words, or, where it has fewer words but some,
 to the executors as a map from a 64-bit rolling hash to the windows that have it. Each document is scanned once for each
 window length: a rolling hash over vocabulary numbers proposes windows, the words themselves confirm them.
 
-The map is broadcast only while it holds `BLOCK_GRAMS` n-grams at most. A larger benchmark is dealt into blocks of items
-by hash, each within that bound, and the documents pass through one block after another (written to the shared folder
-between passes), so that the result is the same for a benchmark of any size.
+A broadcast holds `BLOCK_WORDS` benchmark words at most, 16 bytes each and their vocabulary: items are filled into blocks one
+after another, and an item longer than a block is cut into parts that share their border windows. A benchmark of one block
+takes one scan and nothing else. Of more blocks each takes a scan that writes what it hits alone (keys, spans and items, no
+texts); hits are then merged by document and joined to the documents once, by broadcast while they are few. So the result is
+the same for a benchmark of any size, and the scans are as many as its blocks.
 
 Null and empty texts have no words, no hits, and are not contaminated. An empty benchmark hits nothing. Items that repeat
 count once by item_id; an item without item_id marks words as hit, and counts as an item whose id is the empty string.
-Repeated documents are judged each for themselves; further columns are passed through `scan` untouched.
+Repeated documents are judged each for themselves; further columns are passed through `scan` untouched. A very long text is
+scanned whole, in memory of a few times its size, and Arrow batches are bounded by bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from tallgrass.llm.common import LOWER, UPPER, documents, fresh, materialise, small_batches
+from tallgrass.llm.common import LOWER, UPPER, bounded, documents, fresh, materialise, row_digest, small_batches
 
 WINDOW = 13
-#: The n-grams that one broadcast may hold: about 150 bytes each.
-BLOCK_GRAMS = 400_000
+#: The benchmark words that one broadcast may hold.
+BLOCK_WORDS = 2_000_000
 #: A document is contaminated if this many times its hit words reach its words.
 SHARE = 20
 
@@ -41,29 +46,30 @@ def split_words(text: bytes) -> list[bytes]:
 
 
 class Grams:
-    """The benchmark's n-grams: for each window length, sorted hashes, and by hash the windows with their items."""
+    """The n-grams of parts of benchmark items (item, words): for each window length the sorted hashes of its windows, and where each stands."""
 
-    def __init__(self, items: list[tuple], n: int):
-        self.n = n
+    def __init__(self, parts: list[tuple[str, list[bytes]]], n: int):
         self.vocabulary: dict[bytes, int] = {}
-        windows: dict[int, dict[tuple, set]] = {}
-        for item, words in items:
-            ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words)
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                windows.setdefault(size, {}).setdefault(ids[i : i + size], set()).add(item)
+        number = self.vocabulary.setdefault
+        self.items = sorted({item for item, _ in parts})
+        place = {item: k for k, item in enumerate(self.items)}
+        lengths = np.array([len(words) for _, words in parts], np.int64)
+        self.tokens = np.array([number(w, len(self.vocabulary) + 1) for _, words in parts for w in words], np.uint32)
+        owner = np.repeat(np.array([place[item] for item, _ in parts], np.uint32), lengths)
+        size = np.repeat(np.minimum(lengths, n), lengths)
+        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(self.tokens))  # words from here to the part's end
         self.by_length = {}
-        for size, found in windows.items():
-            table: dict[int, list] = {}
-            for key, owners in found.items():
-                table.setdefault(int(rolling(np.array(key, np.uint64), size)[0]), []).append((key, tuple(sorted(owners))))
-            self.by_length[size] = (np.array(sorted(table), np.uint64), table)
+        for k in np.unique(size).tolist():
+            at = np.flatnonzero((size == k) & (left >= k))
+            hashes = rolling(self.tokens.astype(np.uint64), k)[at]
+            order = np.argsort(hashes, kind="stable")
+            self.by_length[k] = (hashes[order], at[order].astype(np.uint32), owner[at[order]])
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set]:
         """Which words are hit, and the items whose windows occur."""
-        hit, items, get = np.zeros(len(words), bool), set(), self.vocabulary.get
-        ids = np.array([get(w, 0) for w in words], np.uint64)
-        for size, (hashes, table) in self.by_length.items():
+        hit, items = np.zeros(len(words), bool), set()
+        ids = np.array(list(map(self.vocabulary.get, words, repeat(0))), np.uint64)
+        for size, (hashes, at, owner) in self.by_length.items():
             if len(ids) < size:
                 continue
             unknown = np.concatenate(([0], np.cumsum(ids == 0)))
@@ -71,15 +77,15 @@ class Grams:
             if not len(starts):
                 continue
             got = rolling(ids, size)[starts]
-            at = np.minimum(np.searchsorted(hashes, got), len(hashes) - 1)
-            for k in np.flatnonzero(hashes[at] == got):
-                i = int(starts[k])
-                key = tuple(ids[i : i + size].tolist())
-                for window, owners in table[int(got[k])]:
-                    if window == key:
-                        hit[i : i + size] = True
-                        items.update(owners)
-        return hit, items
+            low = np.searchsorted(hashes, got)
+            near = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == got)
+            high = np.searchsorted(hashes, got[near], side="right")
+            for i, lo, hi in zip(starts[near].tolist(), low[near].tolist(), high.tolist(), strict=True):
+                same = (self.tokens[at[lo:hi, None].astype(np.int64) + np.arange(size)] == ids[i : i + size]).all(axis=1)
+                if same.any():
+                    hit[i : i + size] = True
+                    items.update(owner[lo:hi][same].tolist())
+        return hit, {self.items[k] for k in items}
 
 
 def rolling(ids: np.ndarray, size: int) -> np.ndarray:
@@ -100,46 +106,67 @@ HIT = "struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,items:
 _HIT = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
 
-def gram_blocks(benchmark: DataFrame, n: int, block_grams: int) -> int:
-    """How many blocks of items keep each broadcast within block_grams, by a count over the whole benchmark."""
-    words = F.size(F.filter(F.split(F.translate("text", UPPER, LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != ""))
-    total = benchmark.where(F.col("text").isNotNull()).select(F.sum(words.cast("long")).alias("n")).first()["n"] or 0
-    return max(1, -(-int(total) // block_grams))
+def blocks(items: Iterator[tuple[str, list[bytes]]], n: int, most: int) -> Iterator[Grams]:
+    """The items' n-grams in blocks of at most `most` words (or n, if that is more)."""
+    most, held, size = max(most, n), [], 0
+    for item, words in items:
+        for at in range(0, max(1, len(words) - n + 1), most - n + 1):
+            part = words[at : at + most]
+            if held and size + len(part) > most:
+                yield Grams(held, n)
+                held, size = [], 0
+            held.append((item, part))
+            size += len(part)
+    yield Grams(held, n)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_grams: int = BLOCK_GRAMS, result: str = "hits", keep: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_words: int = BLOCK_WORDS, result: str = "hits", keep: list[str] | None = None) -> DataFrame:
     """docs (its columns `keep`, or all) and a column `result`: n_words, the hit words as spans of word numbers, and the items hit, sorted."""
-    spark = docs.sparkSession
+    spark, keep = docs.sparkSession, keep or docs.columns
     small_batches(spark)
-    bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").alias("body"), F.xxhash64("item_id", "text").alias("h"))
-    count, out = gram_blocks(benchmark.select("text"), n, block_grams), docs
-    for k in range(count):
-        part = bench.where(F.col("body").isNotNull() & (F.pmod("h", F.lit(count)) == k)).select("item", "body").distinct()
-        grams = Grams([(r["item"], split_words(r["body"].encode())) for r in part.toLocalIterator()], n)
-        last = k + 1 == count
-        out = _pass(out, spark.sparkContext.broadcast(grams), result, k > 0, keep if last and keep else docs.columns)
-        if not last:
-            out = materialise(out, "decontaminate")
-    return out
-
-
-def _pass(docs: DataFrame, grams, result: str, again: bool, keep: list[str]) -> DataFrame:
+    bench = benchmark.where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").alias("body")).distinct()
+    each = blocks(((r["item"], split_words(r["body"].encode())) for r in bench.toLocalIterator()), n, block_words)
+    first, second = next(each), next(each, None)
+    if second is None:
+        return _pass(docs, spark.sparkContext.broadcast(first), result, keep)
+    number, digest, hits = fresh(docs, "key_number"), fresh(docs, "key_digest"), fresh(docs, "part_hits")
+    keyed = docs.withColumns({number: F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), digest: row_digest("doc_id", "text")})
+    parts = None
+    for grams in chain((first, second), each):
+        shared = spark.sparkContext.broadcast(grams)
+        part = _pass(keyed, shared, hits, [number, digest]).where(F.size(f"{hits}.spans") > 0)
+        part = materialise(part.select(number, digest, f"{hits}.*"), "hits")
+        shared.unpersist()
+        parts = part if parts is None else parts.union(part)
+    flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))  # noqa: E731  of one document's blocks
+    merged = parts.groupBy(number, digest).agg(flat("spans").alias("spans"), F.array_sort(flat("items")).alias("items"))
+    merged = materialise(merged.select(number, digest, F.expr(_MERGED).alias("spans"), "items"), "hits")
+    words = F.size(F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")).cast("long")
+    none = [F.array().cast(kind) for kind in ("array<struct<start:bigint,end:bigint>>", "array<string>")]
+    m = merged.select(F.col(number), F.col(digest), F.struct("spans", "items").alias(hits))
+    found = F.struct(words.alias("n_words"), F.coalesce(f"{hits}.spans", none[0]).alias("spans"), F.coalesce(f"{hits}.items", none[1]).alias("items"))
+    return keyed.join(bounded(m, merged), [number, digest], "left").withColumn(result, found).select(*keep, result)
+
+
+#: Spans put in order and joined where they meet.
+_MERGED = """aggregate(array_sort(spans), cast(array() as array<struct<start:bigint,end:bigint>>), (a, s) ->
+  if(size(a) > 0 and s.start <= element_at(a, -1).end,
+     concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end)))),
+     concat(a, array(named_struct('start', s.start, 'end', s.end)))))"""
+
+
+def _pass(docs: DataFrame, grams: Broadcast, result: str, keep: list[str]) -> DataFrame:
     columns = docs.columns
     schema = StructType([docs.schema[c] for c in keep] + [StructField(result, _parse_datatype_string(HIT))])
-    at, before, kept = columns.index("text"), columns.index(result) if again else -1, [columns.index(c) for c in keep]
+    at, kept = columns.index("text"), [columns.index(c) for c in keep]
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = grams.value
         for b in batches:
-            old = b.column(before).to_pylist() if again else [None] * b.num_rows
             found = []
-            for text, was in zip(b.column(at).cast(pa.binary()), old, strict=True):
+            for text in b.column(at).cast(pa.binary()):
                 words = split_words(text.as_py() or b"")
                 hit, items = g.scan(words)
-                if was:
-                    items.update(was["items"])
-                    for s in was["spans"]:
-                        hit[s["start"] : s["end"]] = True
                 found.append({"n_words": len(words), "spans": [{"start": s, "end": e} for s, e in spans(hit)], "items": sorted(items)})
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(found, _HIT)], names=[*keep, result])
 

@@ -33,11 +33,11 @@ ITEMS = [(1, " ".join(f"w{i}" for i in range(20))), (22, "Tiny item"), (3, None)
 TEXTS = [" ".join(f"W{i}" for i in range(3, 18)), "a tiny, item b " * 3, "x " * 500 + "tiny item", None, "", "...", "w1 w2 w3", "lost words here", "été " + " ".join(f"w{i}" for i in range(20)) * 2]
 
 
-@pytest.mark.parametrize("block_grams", [10**6, 7])
-def test_decontamination(spark, block_grams):
+@pytest.mark.parametrize("block_words", [10**6, 15, 7])
+def test_decontamination(spark, block_words):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(TEXTS)] + [(None, TEXTS[1], "k"), (0, TEXTS[0], "k")], "doc_id long, text string, items string")
-    got = decontaminate.scan(docs, bench, block_grams=block_grams).collect()
+    got = decontaminate.scan(docs, bench, block_words=block_words).collect()
     assert len(got) == len(TEXTS) + 2 and got[0].items == "k"
     for r in got:
         n, hit, count, sha, _ = brute.decontaminated(r.text, ITEMS)

@@ -1,53 +1,45 @@
 """License scans: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-Units are a document's lines, its paragraphs (parted by blank lines) and the whole text. A unit is normalised (A-Z
-lower-cased; words are `[0-9a-z]` and non-ASCII characters) to its set of word bigrams. A template can only reach
-`THRESHOLD` if the sizes of both sets are near enough: 2 min(a, b) / (a + b) >= threshold. These size bounds are checked
-first on a unit's words, before any bigram is made, and then on the sets, template by template. Of the templates that
-reach the threshold the unit takes the one of highest Dice, of equal ones the first by name.
+Text is normalised to words (A-Z lower-cased; `[0-9a-z]` and non-ASCII characters), line ends and marks apart, so that a
+notice within a line, over several lines or over paragraphs is read alike. A template of m words is held against windows of
+m words (fewer at the text's end), each by its set of word bigrams; those that begin with one of the template's bigrams are
+enough, for the others hold no more of them. Of each template the best window counts (the first of equal ones), if it
+reaches `THRESHOLD`; of templates whose windows overlap the one of higher Dice stays, of equal ones the first by name.
+
+Sizes prune before any window is made. A set reaches the threshold only within size bounds, 2 min(a, b) / (a + b) >= threshold,
+and so with a least number of common bigrams: a text without any of a few words, of which every match has one (`gate`),
+matches nothing; a template is dropped where text and template share fewer bigrams than that; a window is dropped where the
+hits in it are fewer.
 
 Everything is one projection over the scan: DataFrame expressions, no shuffle, no Python.
 
-Null and empty texts, and units of fewer than two words, match nothing; such documents have n_matches 0 and null licence.
-Rows are independent: repeated rows repeat, a null doc_id stays, an empty table gives an empty result, and further columns
-are not read.
+Null and empty texts, and those of fewer than two words, match nothing: n_matches 0, null licence. A very long text is split
+to words once if it passes the gate; windows are made only around hits. Rows are independent: repeated rows repeat, a null
+doc_id stays, an empty table gives an empty result, and further columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallgrass.llm.common import LOWER, UPPER, documents
+from tallgrass.llm.license_texts import TEMPLATES
 
 THRESHOLD = 0.85
 
-#: Wording of well-known licences and notices.
-TEMPLATES = {
-    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
-    "BSD": "Released under the BSD License.",
-    "BSD-2-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-}
-
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-PARAGRAPH = r"\n[ \t\r]*\n"
 
 
-def bigrams(text: str) -> list[str]:
+def words_of(text: str) -> list[str]:
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
-    words = "".join(c if c in "0123456789abcdefghijklmnopqrstuvwxyz" or c >= "\x80" else " " for c in low).split()
+    return "".join(c if c in "0123456789abcdefghijklmnopqrstuvwxyz" or c >= "\x80" else " " for c in low).split()
+
+
+def bigrams(text: str) -> list[str]:
+    words = words_of(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})  # noqa: B905
 
 
@@ -57,42 +49,69 @@ def size_bounds(size: int, threshold: float) -> tuple[int, int]:
     return min(fits), max(fits)
 
 
+def least_common(size: int, threshold: float) -> int:
+    """How many bigrams of a template of this size any match has at least."""
+    return math.ceil(threshold * (size_bounds(size, threshold)[0] + size) / 2 - 1e-9)
+
+
+def gate(grams: list[str], threshold: float) -> set[str]:
+    """Words of which every match has one: they stand in more of the bigrams than a match can lack. Long ones first."""
+    open_, chosen = set(grams), set()
+    lacking = len(grams) - least_common(len(grams), threshold)
+    while len(grams) - len(open_) <= lacking:
+        words = sorted({w for g in open_ for w in g.split()})
+        best = max(words, key=lambda w: (min(len(w), 6), sum(w in g.split() for g in open_)))
+        chosen.add(best)
+        open_ = {g for g in open_ if best not in g.split()}
+    return chosen
+
+
 def _quoted(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def scan_licenses(docs: DataFrame, templates=None, threshold: float = THRESHOLD, *keep: str) -> DataFrame:
-    """keep, n_matches (units with a licence), the best licence with its dice, and all licences found, sorted."""
-    templates = {k: bigrams(v) for k, v in (templates or TEMPLATES).items()}
+def _array(values) -> str:
+    return f"array({', '.join(map(_quoted, values))})"
+
+
+def _best_window(name: str, words: int, grams: list[str], threshold: float) -> str:
+    """SQL: of the bigrams b of a text, the template's best window: (dice, minus its start, its end), or null."""
+    lo, hi = size_bounds(len(grams), threshold)
+    least, t = least_common(len(grams), threshold), _array(grams)
+    dice = f"2 * size(array_intersect(s.set, {t})) / cast(size(s.set) + {len(grams)} as double)"
+    hits = f"filter(sequence(0, size(b) - 1), i -> array_contains({t}, b[i]))"
+    dense = f"filter(transform(p, (i, k) -> if(k + {least} <= size(p) and p[k + {least - 1}] - i <= {words - 2}, i, null)), i -> i is not null)"
+    sets = f"filter(transform(q, i -> named_struct('at', i, 'set', array_distinct(slice(b, i + 1, {words - 1})))), s -> size(s.set) between {lo} and {hi})"
+    scored = f"transform({sets}, s -> named_struct('dice', {dice}, 'start', -1 * s.at, 'end', least(s.at + {words}, size(b) + 1)))"
+    best = f"array_max(filter({scored}, x -> x.dice >= {threshold}D))"
+    return f"if(size(array_intersect(u, {t})) < {least}, null, transform(array({hits}), p -> transform(array({dense}), q -> {best})[0])[0])"
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, *keep: str) -> DataFrame:
+    """keep, n_matches (templates found), the best licence with its dice, and all licences found, sorted."""
+    templates = templates or TEMPLATES
     keep = keep or ("doc_id",)
-    bounds = {k: size_bounds(len(v), threshold) for k, v in templates.items()}
-    # a unit has more words than bigrams, and at least as many different bigrams as different words less one
-    least, most = min(lo for lo, _ in bounds.values()) + 1, max(hi for _, hi in bounds.values()) + 1
+    sets = {k: bigrams(templates[k]) for k in sorted(templates)}
+    words = set().union(*(gate(g, threshold) for g in sets.values()))
+    words = [w for w in sorted(words) if not any(v != w and v in w for v in words)]
+    every = sorted(set().union(*sets.values()))
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.split(text, "\n")
-    paragraphs = F.when(text.rlike(PARAGRAPH), F.split(text, PARAGRAPH)).otherwise(F.array().cast("array<string>"))
-    whole = F.when(F.size(lines) > 1, F.array(text)).otherwise(F.array().cast("array<string>"))
-    units = docs.select(*keep, F.concat(lines, F.filter(paragraphs, lambda p: F.instr(p, "\n") > 0), whole).alias("units"))
-    words = F.transform("units", lambda u: F.filter(F.split(F.translate(u, UPPER, LOWER), BREAK), lambda w: w != ""))
-    sized = units.select(*keep, words.alias("words")).select(*keep, F.filter("words", lambda w: (F.size(w) >= least) & (F.size(F.array_distinct(w)) <= most)).alias("words"))
-    sets = F.transform("words", lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))))
-    made = sized.select(*keep, sets.alias("sets"))
-    scores = ", ".join(
-        f"if(size(s) between {lo} and {hi}, struct(2 * size(array_intersect(s, array({', '.join(map(_quoted, templates[k]))}))) / cast(size(s) + {len(templates[k])} as double) as dice, {_quoted(k)} as license), null)"
-        for k, (lo, hi) in bounds.items()
-    )
-    found = made.selectExpr(
-        *[f"`{k}`" for k in keep],
-        f"filter(transform(sets, s -> array_max(transform(filter(array({scores}), c -> c.dice >= {threshold}D), c -> struct(c.dice as dice, -1 * array_position(array({', '.join(map(_quoted, sorted(templates)))}), c.license) as place, c.license as license)))), m -> m is not null) as matches",
-    )
-    best = F.array_max("matches")
-    return found.select(
-        *keep,
-        F.size("matches").cast("long").alias("n_matches"),
-        best["license"].alias("license"),
-        best["dice"].alias("dice"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",").alias("licenses"),
-    )
+    low = F.lower(text)  # of other letters than A-Z too, which lets some more texts pass
+    passes = F.lit(False)
+    for w in words:
+        passes = passes | low.contains(w)
+    split = F.filter(F.split(F.translate(text, UPPER, LOWER), BREAK), lambda w: w != "")
+    df = docs.select(*keep, F.when(passes, split).otherwise(F.array().cast("array<string>")).alias("words"))
+    pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b))
+    df = df.select(*keep, F.when(F.size("words") > 1, pairs).otherwise(F.array().cast("array<string>")).alias("b"))
+    df = df.select(*keep, "b", F.expr(f"array_intersect(b, {_array(every)})").alias("u"))
+    found = ", ".join(f"named_struct('license', {_quoted(k)}, 'place', {i}, 'w', {_best_window(k, len(words_of(templates[k])), g, threshold)})" for i, (k, g) in enumerate(sets.items()))
+    df = df.select(*keep, F.expr(f"if(size(u) = 0, null, filter(array({found}), x -> x.w is not null))").alias("m"))
+    beaten = "exists(m, y -> y.place != x.place and y.w.end > -x.w.start and -y.w.start < x.w.end and (y.w.dice > x.w.dice or (y.w.dice = x.w.dice and y.place < x.place)))"
+    df = df.select(*keep, F.expr(f"filter(m, x -> not {beaten})").alias("m"))
+    best: Column = F.array_max(F.transform("m", lambda x: F.struct(x["w"]["dice"].alias("dice"), (-x["place"]).alias("place"), x["license"].alias("license"))))
+    names = F.array_join(F.transform("m", lambda x: x["license"]), ",")
+    return df.select(*keep, F.coalesce(F.size("m"), F.lit(0)).cast("long").alias("n_matches"), best["license"].alias("license"), best["dice"].alias("dice"), F.coalesce(names, F.lit("")).alias("licenses"))
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,24 +119,23 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    rows = ", ".join(f"('{k}', [{', '.join(chr(39) + b.replace(chr(39), chr(39) * 2) + chr(39) for b in bigrams(v))}])" for k, v in TEMPLATES.items())
+    listed = lambda v: "[" + ", ".join("'" + b.replace("'", "''") + "'" for b in v) + "]"
+    rows = ", ".join(f"('{k}', {len(words_of(v))}, {listed(bigrams(v))})" for k, v in sorted(TEMPLATES.items()))
     return rf"""
-WITH t(license, grams) AS (VALUES {rows}),
-d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-u AS (
-  SELECT r, unnest(string_split(text, chr(10))) AS unit FROM d
-  UNION ALL SELECT r, p FROM (SELECT r, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) AS p FROM d WHERE regexp_matches(text, '\n[ \t\r]*\n')) WHERE contains(p, chr(10))
-  UNION ALL SELECT r, text FROM d WHERE contains(text, chr(10))),
-w AS (SELECT r, row_number() OVER () AS unit_no, list_filter(regexp_split_to_array(translate(unit, '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM u),
-g AS (SELECT r, unit_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM w WHERE len(w) >= 2),
-s AS (
-  SELECT r, unit_no, license, 2 * len(list_intersect(g.grams, t.grams)) / CAST(len(g.grams) + len(t.grams) AS DOUBLE) AS dice
-  FROM g JOIN t ON 2 * least(len(g.grams), len(t.grams)) >= {THRESHOLD} * (len(g.grams) + len(t.grams))),
-m AS (SELECT r, dice, license FROM (SELECT *, row_number() OVER (PARTITION BY r, unit_no ORDER BY dice DESC, license) AS k FROM s WHERE dice >= {THRESHOLD}) WHERE k = 1),
-best AS (SELECT r, count(*) AS n_matches, max(dice) AS dice, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM m GROUP BY r),
-top AS (SELECT r, min(license) AS license FROM m JOIN best USING (r, dice) GROUP BY r)
+WITH t(license, m, grams) AS (VALUES {rows}),
+d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT r, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS b FROM d WHERE len(w) >= 2),
+p AS (SELECT r, b, unnest(b) AS gram, generate_subscripts(b, 1) AS i FROM b),
+g AS (SELECT license, m, grams, unnest(grams) AS gram FROM t),
+h AS (SELECT r, license, m, grams, i, list_distinct(b[i:i + m - 2]) AS s, least(i + m, len(b) + 2) AS e FROM p JOIN g USING (gram)),
+s AS (SELECT r, license, i, e, 2 * len(list_intersect(s, grams)) / CAST(len(s) + len(grams) AS DOUBLE) AS dice FROM h),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r, license ORDER BY dice DESC, i) AS k FROM s WHERE dice >= {THRESHOLD}) WHERE k = 1),
+kept AS (SELECT * FROM top x WHERE NOT EXISTS (
+  SELECT 1 FROM top y WHERE y.r = x.r AND y.license <> x.license AND y.e > x.i AND y.i < x.e AND (y.dice > x.dice OR (y.dice = x.dice AND y.license < x.license)))),
+best AS (SELECT r, count(*) AS n_matches, max(dice) AS dice, string_agg(license, ',' ORDER BY license) AS licenses FROM kept GROUP BY r),
+name AS (SELECT r, min(license) AS license FROM kept JOIN best USING (r, dice) GROUP BY r)
 SELECT doc_id, coalesce(n_matches, 0) AS n_matches, license, dice, coalesce(licenses, '') AS licenses
-FROM d LEFT JOIN best USING (r) LEFT JOIN top USING (r)"""
+FROM d LEFT JOIN best USING (r) LEFT JOIN name USING (r)"""
 
 
 SQL = _sql()

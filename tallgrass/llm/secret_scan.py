@@ -3,17 +3,20 @@
 Three shapes are matched, leftmost and non-overlapping each: `assign` (a keyword, `:` or `=`, and a value of 6 characters
 or more), `access` (AKIA and capitals or digits, 20 characters or more) and `hex` (24 or more of 0-9a-f).
 
-Candidates for entropy are runs of 20 or more of `[A-Za-z0-9+/_=-]` with a letter and a digit. Their characters decide
-the class (hex, alnum, base64), each with a threshold of its own. A window of `WINDOW` characters moves over a candidate;
-the counts of its characters and the sum of c log2 c change with the character that enters and the one that leaves, and
-are never made anew. From the first window at or over the threshold to the last one is a span of kind entropy_<class>,
-unless an entry of the allow list fits the candidate or what stands before it, or the span meets one of the shapes'.
-Sums are whole numbers (millionths), so that reruns agree.
+Candidates for entropy are runs of 20 or more of `[A-Za-z0-9+/_=-]`. What the allow list finds within one (placeholders,
+counting strings, dates) is cut out; the allow list's whole shapes (UUIDs, paths of plain words), and what it knows from the
+text before (public digests), suppress a candidate altogether. The remaining pieces of 20 characters or more with a letter
+and a digit are scanned. Their characters decide the class (hex, alnum, base64), each with a threshold of its own. A window
+of `WINDOW` characters moves over a piece; the counts of its characters (5 bits each, packed in longs) and the sum of
+c log2 c change with the character that enters and the one that leaves, and are never made anew. From the first window at or
+over the threshold to the last one is a span of kind entropy_<class>, unless it meets one of the shapes' spans. Sums are whole
+numbers (millionths), so that reruns agree.
 
 Positions come from splitting the text at the matches and adding up lengths, in code points. Everything is one
 projection over the scan: DataFrame expressions, no shuffle, no Python.
 
-Null and empty texts have no spans. Rows are independent: repeated rows repeat, a null doc_id stays, an empty table gives
+Null and empty texts have no spans. A very long text is read whole, in time near its length; of what stands before a match
+only 24 characters are kept. Rows are independent: repeated rows repeat, a null doc_id stays, an empty table gives
 an empty result, and further columns are not read.
 """
 
@@ -35,15 +38,18 @@ WINDOW = 20
 #: By class: bits a character that a window must reach.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.7}
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
-#: Candidates that are no secrets: UUIDs, placeholders, counting strings, dates and paths of plain words.
+#: Candidates that are no secrets: UUIDs and paths of plain words.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|sample|placeholder|changeme|dummy|lorem|your[_-]",
-    r"(.)\1{7,}",
-    r"0123456789|abcdefghij|ABCDEFGHIJ",
-    r"^[A-Za-z]*[-_/=]*\d{4}-\d{2}-\d{2}",
     r"^(?:[a-z]+[-_/])*[a-z]+[-_/]?\d{0,4}$",
 )
+#: Parts of candidates that are no secrets: placeholders, one character again and again, counting strings, dates.
+ALLOWED_PARTS = (
+    r"(?i:example|sample|placeholder|changeme|dummy|lorem|your[_-])",
+    r"([A-Za-z0-9+/_=-])\1{7,}",
+    r"0123456789|abcdefghij|ABCDEFGHIJ",
+    r"\d{4}-\d{2}-\d{2}",
+)
 #: What may stand before a public digest.
 ALLOWED_BEFORE = r"(?i)(?:sha-?\d+|md5|commit|digest|checksum|etag|integrity|revision)[\"']?[\x20:=-]*$"
 
@@ -67,7 +73,7 @@ def prefix_sums(values: str) -> str:
 
 
 def located(df: DataFrame, name: str, pattern: str, group: int | None = None) -> DataFrame:
-    """df (with body) and column name: start, end, value and the piece before, for each match; value is of a group."""
+    """df (with body) and column name: start, end, value and the 24 characters before, for each match; value is of a group."""
     pat = F.lit(pattern)
     has = F.col("body").rlike(pattern)
     none = F.array().cast("array<string>")
@@ -75,32 +81,52 @@ def located(df: DataFrame, name: str, pattern: str, group: int | None = None) ->
     df = df.withColumns({hits: F.when(has, F.regexp_extract_all("body", pat, F.lit(0))).otherwise(none)})
     df = df.withColumns({pieces: F.when(F.size(hits) > 0, F.split("body", pattern, -1)).otherwise(none), value: F.col(hits) if group is None else F.when(F.size(hits) > 0, F.regexp_extract_all("body", pat, F.lit(group))).otherwise(none)})
     lengths = f"transform(slice({pieces}, 1, size({hits})), (p, i) -> cast(length(p) + length({hits}[i]) as bigint))"
-    made = f"if(size({hits}) = 0, array(), transform({prefix_sums(lengths)}, (b, i) -> struct(b + length({pieces}[i]) as start, b + length({pieces}[i]) + length({hits}[i]) as end, {value}[i] as value, {pieces}[i] as before)))"
+    made = f"if(size({hits}) = 0, array(), transform({prefix_sums(lengths)}, (b, i) -> struct(b + length({pieces}[i]) as start, b + length({pieces}[i]) + length({hits}[i]) as end, {value}[i] as value, substring({pieces}[i], -24, 24) as before)))"
     return df.withColumn(name, F.expr(made)).drop(hits, pieces, value)
 
 
 def _class(value: Column) -> Column:
     mixed = value.rlike("[a-z]") & value.rlike("[A-Z]") & value.rlike("[0-9]")
-    return F.when(value.rlike("^[0-9a-fA-F]+$"), F.lit("hex")).when(mixed, F.lit("base64")).otherwise(F.lit("alnum"))
+    return F.when(value.rlike("^[0-9a-fA-F]+$"), F.lit("hex")).when(mixed | value.rlike("[^A-Za-z0-9]"), F.lit("base64")).otherwise(F.lit("alnum"))
+
+
+#: Counts of 5 bits in a long.
+_PACKED = 12
 
 
 def entropy_span(value: str, limit: str, window: int = WINDOW) -> str:
     """SQL: struct(first, last): the start of the first window at the limit and the end of the last one, or -1."""
+    assert 0 < window < 32, "counts have 5 bits"
     table = f"array({', '.join(f'{_scaled(c)}L' for c in range(window + 2))})"
     codes = f"transform(split({value}, ''), c -> instr('{ALPHABET}', c) - 1)"
-    start = f"named_struct('n', array_repeat(0, {len(ALPHABET)}), 's', 0L, 'first', -1, 'last', -1)"
+    start = f"named_struct('n', array_repeat(0L, {-(-len(ALPHABET) // _PACKED)}), 's', 0L, 'first', -1, 'last', -1)"
     enter, leave = "w.c[i]", f"if(i >= {window}, w.c[i - {window}], -1)"
-    change = "if(e = l, 0L, w.x[a.n[e] + 1] - w.x[a.n[e]] + if(l >= 0, w.x[a.n[l] - 1] - w.x[a.n[l]], 0L))"
+    count = lambda x: f"cast(shiftrightunsigned(a.n[cast({x} div {_PACKED} as int)], 5 * ({x} % {_PACKED})) & 31L as int)"
+    one = lambda x: f"if({x} >= 0 and k = {x} div {_PACKED}, shiftleft(1L, 5 * ({x} % {_PACKED})), 0L)"
+    change = f"if(e = l, 0L, w.x[{count('e')} + 1] - w.x[{count('e')}] + if(l >= 0, w.x[{count('l')} - 1] - w.x[{count('l')}], 0L))"
     step = (
         f"transform(array({enter}), e -> transform(array({leave}), l -> transform(array(a.s + {change}), s -> named_struct("
-        "'n', if(e = l, a.n, transform(a.n, (v, k) -> v + if(k = e, 1, 0) - if(k = l, 1, 0))), 's', s,"
+        f"'n', if(e = l, a.n, transform(a.n, (v, k) -> v + {one('e')} - {one('l')})), 's', s,"
         f" 'first', if(a.first < 0 and i >= {window - 1} and s <= w.m, i - {window - 1}, a.first),"
         f" 'last', if(i >= {window - 1} and s <= w.m, i + 1, a.last)))[0])[0])[0]"
     )
     return f"transform(array(named_struct('c', {codes}, 'x', {table}, 'm', {limit})), w -> aggregate(sequence(0, size(w.c) - 1), {start}, (a, i) -> {step}, a -> named_struct('first', a.first, 'last', a.last)))[0]"
 
 
-def scan_secrets(docs: DataFrame, *keep: str, thresholds: dict[str, float] = THRESHOLDS, allowed=ALLOWED, window: int = WINDOW) -> DataFrame:
+def _pieces(m: Column, parts: str) -> Column:
+    """The pieces of a candidate (start, value) between the matches of parts, with their starts."""
+    hits, between = F.regexp_extract_all(m["value"], F.lit(parts), F.lit(0)), F.split(m["value"], parts, -1)
+    cut = F.struct(m["start"].alias("start"), hits.alias("hits"), between.alias("between"))
+
+    def placed(c: Column) -> Column:
+        before = lambda k: F.aggregate(F.zip_with(F.slice(c["between"], 1, k), F.slice(c["hits"], 1, k), lambda p, h: F.length(p) + F.length(h)), F.lit(0), lambda a, n: a + n)
+        return F.transform(c["between"], lambda p, k: F.struct((c["start"] + before(k)).alias("start"), p.alias("value")))
+
+    one = F.array(F.struct(m["start"].alias("start"), m["value"].alias("value")))
+    return F.when(m["value"].rlike(parts), F.element_at(F.transform(F.array(cut), placed), 1)).otherwise(one)
+
+
+def scan_secrets(docs: DataFrame, *keep: str, thresholds: dict[str, float] = THRESHOLDS, allowed=ALLOWED, allowed_parts=ALLOWED_PARTS, window: int = WINDOW) -> DataFrame:
     """keep and spans: an array of (start, kind number of KINDS, end), sorted; those of kind 0 to 2 are the shapes'."""
     keep = keep or ("doc_id",)
     df = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("body"))
@@ -115,7 +141,7 @@ def scan_secrets(docs: DataFrame, *keep: str, thresholds: dict[str, float] = THR
 
     def wanted(m: Column) -> Column:
         v = m["value"]
-        ok = v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~F.substring(m["before"], -24, 24).rlike(ALLOWED_BEFORE)
+        ok = v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~m["before"].rlike(ALLOWED_BEFORE)
         for a in allowed:
             ok = ok & ~v.rlike(a)
         return ok
@@ -123,6 +149,9 @@ def scan_secrets(docs: DataFrame, *keep: str, thresholds: dict[str, float] = THR
     order = list(thresholds)
     limit = "case k " + " ".join(f"when '{c}' then {window_limit(t, window)}L" for c, t in thresholds.items()) + " end"
     df = df.withColumn("candidate", F.filter("candidate", wanted))
+    parts = "|".join(allowed_parts)
+    df = df.withColumn("candidate", F.flatten(F.transform("candidate", lambda m: _pieces(m, parts)))) if parts else df
+    df = df.withColumn("candidate", F.filter("candidate", lambda m: (F.length(m["value"]) >= window) & m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]")))
     df = df.withColumn("candidate", F.transform("candidate", lambda m: F.struct(m["start"].alias("start"), m["value"].alias("value"), _class(m["value"]).alias("class"))))
     kind = "case m.class " + " ".join(f"when '{c}' then {KINDS.index(f'entropy_{c}')}" for c in order) + " end"
     windows = f"transform(candidate, m -> struct(m.start as start, {kind} as kind, {entropy_span('m.value', limit.replace('case k', 'case m.class'), window)} as at))"

@@ -2,11 +2,13 @@
 
 The automaton reads each URL once, A-Z lower-cased. A term counts only where the characters on both sides are not ASCII
 letters or digits (or are the URL's ends). Terms count once each. A URL is rejected for one strict term, or for
-`soft_terms` or more different soft terms whose weights come to `soft_weight` or more. Site rules come before that: the
+`soft_terms` or more different soft terms whose weights come to `soft_weight` or more (so two of weight 1 don't reject, and no
+number of times one term does). The terms below are a small general set; `read_terms` takes a vocabulary of up to
+`MOST_TERMS` terms from a table. Each worker process builds its automaton once. Site rules come before that: the
 longest fitting rule decides, among equally long ones the smallest.
 
 A null URL, an empty one and one without `://` have empty host and path, fit no rule, and are judged by their terms
-alone. Rows are independent: repeated rows repeat, no row is lost, an empty table gives an empty result, and further
+alone. A very long URL is read once, in time near its length. Rows are independent: repeated rows repeat, no row is lost, an empty table gives an empty result, and further
 columns are not read.
 """
 
@@ -28,9 +30,15 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-STRICT = ("cheap-pills", "malware", "phishing", "porn", "spam-farm", "viagra", "warez", "xxx")
+STRICT = ("cheap-pills", "keygen", "malware", "phishing", "porn", "porno", "pornography", "ransomware", "spam-farm", "viagra", "warez", "xxx")
 #: Soft terms with their weights.
-SOFT = {"adult": 2, "bet": 1, "bonus": 1, "casino": 2, "cheap": 1, "crack": 2, "free": 1, "hookup": 2, "jackpot": 2, "loan": 1, "pills": 2, "ref": 1, "spam": 2, "win": 1}
+SOFT = {
+    "adult": 2, "affiliate": 1, "bet": 1, "betting": 2, "bonus": 1, "camgirl": 2, "casino": 2, "cheap": 1, "coupon": 1, "crack": 2, "cracked": 2, "deal": 1, "escort": 2,
+    "erotic": 2, "free": 1, "gambling": 2, "hack": 1, "hookup": 2, "jackpot": 2, "loan": 1, "lottery": 2, "nude": 2, "payday": 2, "pharmacy": 1, "pills": 2, "poker": 2,
+    "promo": 1, "ref": 1, "replica": 1, "serial": 1, "sex": 2, "slots": 2, "spam": 2, "torrent": 2, "win": 1,
+}
+#: Terms that a vocabulary may have: about 300 bytes each in the automaton of each worker.
+MOST_TERMS = 1_000_000
 SOFT_TERMS = 2
 SOFT_WEIGHT = 3
 
@@ -45,13 +53,36 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(rest, r"^[^/?#]*", 0)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+def read_terms(terms: DataFrame, most: int = MOST_TERMS) -> tuple[tuple[str, ...], dict[str, int]]:
+    """Strict and soft terms from rows (term, weight): weight 0 is strict, a null or empty term is none, of equal terms the strict or heaviest one counts."""
+    low = terms.select(ascii_lower(F.col("term")).alias("term"), F.col("weight").cast("int").alias("weight")).where("term != '' and weight >= 0")
+    each = low.groupBy("term").agg(F.min("weight").alias("least"), F.max("weight").alias("weight"))
+    rows = each.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} terms")
+    strict = sorted(r["term"] for r in rows if not r["least"])
+    return tuple(strict), {r["term"]: r["weight"] for r in sorted(rows, key=lambda r: r["term"]) if r["least"]}
+
+
+_built: dict = {}
+
+
 def automaton(strict, soft):
+    """This process's automaton for the terms; it keeps one."""
+    key = (tuple(strict), tuple(sorted(soft.items())))
+    if key not in _built:
+        _built.clear()
+        _built[key] = _automaton(*key)
+    return _built[key]
+
+
+def _automaton(strict, soft):
     import ahocorasick
 
     a = ahocorasick.Automaton()
     for t in strict:
         a.add_word(t, (t, 0))
-    for t, w in soft.items():
+    for t, w in soft:
         if t not in strict:
             a.add_word(t, (t, w))
     if len(a):
@@ -103,9 +134,10 @@ def judge_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_ter
     """One row for each row of pages (page_id, url): host, path, fitting rule, verdict and the terms counted."""
     host, path = url_parts(F.col("url"))
     df = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), ascii_lower(F.coalesce("url", F.lit(""))).alias("low"))
-    rules, strict, soft = tuple(rules), tuple(strict), dict(soft)
+    shared = pages.sparkSession.sparkContext.broadcast((tuple(rules), tuple(strict), dict(soft)))  # terms and rules: bounded by MOST_TERMS and what the caller lists
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules, strict, soft = shared.value
         a, index = automaton(strict, soft), rule_index(rules)
         for b in batches:
             hosts, paths, out = b.column(1).to_pylist(), b.column(2).to_pylist(), []

@@ -29,6 +29,18 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_terms_from_a_table(spark):
+    terms = spark.createDataFrame([("Evil", 0), ("meh", 1), ("bad", 2), ("bad", 3), ("evil", 5), (None, 1), ("", 0), ("odd", None)], "term string, weight int")
+    strict, soft = url_filter.read_terms(terms)
+    assert strict == ("evil",) and soft == {"bad": 3, "meh": 1}
+    with pytest.raises(ValueError):
+        url_filter.read_terms(terms, most=2)
+    rows = [(1, "http://evil.net"), (2, "http://a.net/meh"), (3, "http://a.net/meh/bad"), (4, "http://a.net/" + "meh-" * 100_000), (5, "http://a.net/bad.bad")]
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), strict=strict, soft=soft).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "allow"}
+    assert {r.verdict for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), strict=(), soft={}).collect()} == {"allow"}
+
+
 ITEMS = [(1, " ".join(f"w{i}" for i in range(20))), (22, "Tiny item"), (3, None), (4, "..."), (5, "tiny ITEM"), (None, "lost words here"), (22, "Tiny item")]
 TEXTS = [" ".join(f"W{i}" for i in range(3, 18)), "a tiny, item b " * 3, "x " * 500 + "tiny item", None, "", "...", "w1 w2 w3", "lost words here", "été " + " ".join(f"w{i}" for i in range(20)) * 2]
 
@@ -55,23 +67,90 @@ def test_spans_are_cut(spark):
     assert [r.text for r in decontaminate.without_spans(docs, bench).orderBy("doc_id").collect()] == ["keep , this", None, "clean"]
 
 
+MIT_FILE = """The MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def plain_licenses(text):
+    """Every window of every template's length, by sets."""
+    w, found = licenses.words_of(text or ""), []
+    b = [" ".join(x) for x in zip(w, w[1:])]  # noqa: B905
+    for name, body in sorted(licenses.TEMPLATES.items()):
+        grams, m = set(licenses.bigrams(body)), len(licenses.words_of(body))
+        best = None
+        for i in range(len(b)):
+            s = set(b[i : i + m - 1])
+            dice = 2 * len(s & grams) / (len(s) + len(grams))
+            if b[i] in grams and dice >= licenses.THRESHOLD and (best is None or dice > best[0]):
+                best = (dice, i, min(i + m, len(w)))
+        if best:
+            found.append((*best, name))
+    kept = [x for x in found if not any(y[3] != x[3] and y[2] > x[1] and y[1] < x[2] and (-y[0], y[3]) < (-x[0], x[3]) for y in found)]
+    top = min(kept, key=lambda x: (-x[0], x[3]), default=(None, 0, 0, None))
+    return len(kept), top[3], top[0], ",".join(x[3] for x in kept)
+
+
 def test_licenses(spark):
-    mit = licenses.TEMPLATES["MIT-text"]
+    mit, zlib = licenses.TEMPLATES["MIT-text"], licenses.TEMPLATES["Zlib"]
+    prose = "some words of prose about the software and a license or two of the sort " * 40
     rows = [
         (1, "Some prose.\nReleased under the MIT License.\nMore prose here.", "MIT", 1),
-        (2, f"Intro line\n\n{mit[:300]}\n{mit[300:]}\n\nend of it all", "MIT-text", 2),
+        (2, f"Intro line\n\n{prose}\n\n{MIT_FILE}\n\nend of it all {prose}", "MIT-text", 1),
         (3, "released UNDER the mit license", "MIT", 1),
         (4, "nothing to see here at all", None, 0),
         (5, None, None, 0),
         (6, "", None, 0),
         (7, "This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0.", "CC-BY-NC-4.0", 2),
         (None, "word", None, 0),
-        (8, "filler " * 30000 + "\nReleased under the MIT License.", "MIT", 1),
+        (8, "filler " * 30000 + "\nReleased under the MIT License. " + "filler " * 3000, "MIT", 1),
+        (9, f"{prose} before it. Released under the MIT License. {prose} after it", "MIT", 1),
+        (10, f"/*\n * {zlib[:200]}\n * {zlib[200:]}\n */ and {mit[:-150]}", "Zlib", 2),
+        (11, " ".join(mit.split()[: len(mit.split()) // 2]), None, 0),
+        (12, licenses.TEMPLATES["BSD-3-Clause"].replace("copyright holder nor", "University nor"), "BSD-3-Clause", 1),
     ]
-    df = spark.createDataFrame([(a, b, "c") for a, b, *_ in rows], "doc_id long, text string, matches string")
-    got = {r.doc_id: (r.license, r.n_matches) for r in licenses.scan_licenses(df).collect()}
-    assert got == {a: (c, d) for a, _, c, d in rows}
+    df = spark.createDataFrame([(a, b, "c") for a, b, *_ in rows], "doc_id long, text string, m string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    for i, t, name, n in rows:
+        r = got[i]
+        assert (r.license, r.n_matches) == (name, n), (i, r)
+        if i != 8:
+            assert (r.n_matches, r.license, r.dice, r.licenses) == plain_licenses(t)
     assert licenses.scan_licenses(df.limit(0)).count() == 0
+    own = licenses.scan_licenses(df, {"own": "prose about the software and a license or two"}).collect()
+    assert {r.doc_id for r in own if r.n_matches} == {2, 9}
+
+
+def test_every_match_passes_the_gate():
+    import random
+
+    rng = random.Random(2)
+    for body in licenses.TEMPLATES.values():
+        w, grams = licenses.words_of(body), licenses.bigrams(body)
+        words, least = licenses.gate(grams, 0.85), licenses.least_common(len(grams), 0.85)
+        for _ in range(30):
+            kept = rng.sample(grams, least)
+            assert any(x in g.split() for g in kept for x in words)
+        assert words <= set(w)
 
 
 def test_size_bounds():
@@ -94,6 +173,55 @@ SECRETS = [
 ]
 
 
+def plain_spans(text):
+    """kind:start:end of all spans, by slices and recounted windows."""
+    import math
+    import re
+    from collections import Counter
+
+    base = [tuple(x.split(":")) for x in brute.base_secrets(text).split(",") if x]
+    found = [(int(a), secret_scan.KINDS.index(k), int(b)) for k, a, b in base]
+    taken = [(a, b) for a, _, b in found]
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or ""):
+        v = m[0]
+        if any(re.search(p, v) for p in secret_scan.ALLOWED) or re.search(secret_scan.ALLOWED_BEFORE.replace("$", r"\Z"), text[max(0, m.start() - 24) : m.start()]):
+            continue
+        at, pieces = 0, []
+        for cut in re.finditer("|".join(secret_scan.ALLOWED_PARTS), v):
+            pieces.append((at, v[at : cut.start()]))
+            at = cut.end()
+        for start, piece in [*pieces, (at, v[at:])]:
+            if len(piece) < 20 or not re.search("[0-9]", piece) or not re.search("[A-Za-z]", piece):
+                continue
+            kind = "hex" if re.fullmatch("[0-9a-fA-F]+", piece) else "alnum"
+            if kind == "alnum" and (re.search("[^A-Za-z0-9]", piece) or re.search("[a-z]", piece) and re.search("[A-Z]", piece)):
+                kind = "base64"
+            h = [-sum(c / 20 * math.log2(c / 20) for c in Counter(piece[i : i + 20]).values()) for i in range(len(piece) - 19)]
+            high = [i for i, x in enumerate(h) if x >= secret_scan.THRESHOLDS[kind] - 1e-6]
+            if high:
+                a, b = m.start() + start + high[0], m.start() + start + high[-1] + 20
+                if not any(x < b and a < y for x, y in taken):
+                    found.append((a, secret_scan.KINDS.index(f"entropy_{kind}"), b))
+    return ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+def test_all_spans_by_brute_force(spark):
+    import random
+
+    rng = random.Random(12)
+    key = lambda n, a="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-": "".join(rng.choice(a) for _ in range(n))
+    texts = [None, "", *SECRETS[6:9]]
+    for _ in range(60):
+        parts = [key(rng.randint(15, 60)), key(40, "0123456789abcdef"), key(30, "abc123"), f"sample/{key(40)}", f"log-2024-01-02-{key(33)}", f"{key(25)}0123456789{key(25)}", "A" * 12 + key(44), "/usr/local/lib/some/path/of/words", f"sha256:{key(44)}", "é🎉 words", "token = " + key(30), f"your_{key(8)}", key(32, "abcdefghijklmnopqrstuvwxyz0123456789")]
+        texts.append(rng.choice([" ", "\n", ", "]).join(rng.sample(parts, rng.randint(1, 6))))
+    texts.append("word " * 100_000 + key(50) + " end" * 20_000)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.s for r in secret_scan.scan_secrets(df, "doc_id").select("doc_id", secret_scan.spelled("spans").alias("s")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == plain_spans(t or ""), (i, (t or "")[:300])
+    assert sum("entropy" in x for x in got.values()) > 30
+
+
 def test_secrets(spark):
     df = spark.createDataFrame([(i, t, "b") for i, t in enumerate(SECRETS)] + [(None, SECRETS[0], "b")], "doc_id long, text string, base string")
     out = secret_scan.scan_secrets(df, "doc_id").select("doc_id", secret_scan.spelled("base").alias("base"), secret_scan.spelled("spans").alias("spans"))

@@ -6,9 +6,9 @@ that boundaries depend on `ROLL` lines alone: lines put in or taken out elsewher
 long as its document: a maximum would make boundaries depend on where a document starts.
 
 What occurs more than once in the whole table, by hash: chunks of two or more lines, and boundaries (the window of lines that
-makes one). Only the texts of these and of the chunks beside them are looked at further. They are grouped by their bytes, so
-that equal hashes of different lines never count. Of equal ones the first stays (smallest doc_id, then place). Another
-chunk goes whole; at another boundary its window goes, and with it the lines of the chunks on both sides (and the
+makes one). Only the texts of these and of the chunks beside them are looked at further, each against the first of its hash (smallest
+doc_id, then place), which stays. Bytes are compared, so that one whose hash is the same by chance stays too. Another
+chunk goes whole (one that is no more than its boundary's window is left to that); at another boundary its window goes, and with it the lines of the chunks on both sides (and the
 `ROLL - 1` lines before, where boundaries still depend on lines outside) as far as they are, byte for byte, those around the
 first one. A repeated passage thus goes up to its very ends if it has a boundary
 within: of two lines with probability CUTS / OF, of k lines with 1 - (1 - CUTS / OF)^(k - 1). Measured on sf0.1 of the
@@ -69,7 +69,7 @@ def marks(bodies: bool = False, text: str = "text") -> Column:
     cuts = f"transform(b, (x, k) -> struct(0 as kind, xxhash64(0, slice(h, {window} + 1, {ROLL})) as hash, x as at{back}))"
     ends = "if(size(b) > 0 and b[size(b) - 1] = size(l) - 1, b, concat(b, array(size(l) - 1)))"
     whole = f", {part('s.first', 's.end')} as back, cast(array() as array<string>) as fore" * bodies
-    spans = f"filter(transform({ends}, (x, k) -> named_struct('first', {chunk}, 'end', x + 1)), s -> s.end - s.first >= {LEAST_LINES})"
+    spans = f"filter(transform({ends}, (x, k) -> named_struct('first', {chunk}, 'end', x + 1, 'last', k = size(b))), s -> s.end - s.first > if(s.last, {LEAST_LINES - 1}, {ROLL}))"
     several = f"transform({spans}, s -> struct(1 as kind, xxhash64(1, slice(h, s.first + 1, s.end - s.first)) as hash, s.first as at{whole}))"
     return F.expr(_let("l", f"split({text}, '\n')", _let("h", "transform(l, x -> xxhash64(x))", _let("b", boundaries("h"), f"concat({cuts}, {several})"))))
 
@@ -82,19 +82,20 @@ def _shared(a: str, b: str) -> str:
 def repeated_lines(docs: DataFrame, *keys: str) -> DataFrame:
     """keys, first and end of the runs of lines that go, of each document disjoint; written."""
     used = docs.where(F.instr("text", "\n") > 0)
-    narrow = used.select(F.explode(F.transform(marks(), lambda m: m["hash"])).alias("hash"))
-    twice = materialise(narrow.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "twice")
+    names = [*keys, "at"]
+    narrow = used.select(*keys, F.explode(F.transform(marks(), lambda m: F.struct(m["hash"].alias("hash"), m["at"].alias("at")))).alias("m")).select(*keys, "m.*")
+    first = F.min(F.struct(*names)).alias("f")
+    twice = narrow.groupBy("hash").agg(F.count("*").alias("n"), first).where("n > 1")
+    twice = materialise(twice.select("hash", *[F.col(f"f.{c}").alias(f"f_{c}") for c in names]), "twice")
     each = used.select(*keys, F.explode(marks(bodies=True)).alias("m")).select(*keys, "m.*")
-    each = each.join(bounded(twice), "hash", "left_semi")
-    # written once: what is left is read for the groups and for their members
-    body = F.array_join(F.when(F.col("kind") == 0, F.slice("back", -ROLL, ROLL)).otherwise(F.col("back")), "\n")
-    found = materialise(each.withColumn("body", body), "marks")
-    place = F.struct(*keys, "at")
-    group = ("kind", "hash", "body")
-    first = F.min(F.struct(place.alias("place"), F.col("back").alias("back"), F.col("fore").alias("fore"))).alias("f")
-    firsts = found.groupBy(*group).agg(first, F.count("*").alias("n")).where("n > 1")
-    firsts = materialise(firsts.select(*group, F.col("f.place").alias("earliest"), F.col("f.back").alias("f_back"), F.col("f.fore").alias("f_fore")), "firsts")
-    same = found.join(firsts, list(group)).where(place != F.col("earliest"))
+    earliest = F.struct(*[F.col(c) for c in names]) == F.struct(*[F.col(f"f_{c}").alias(c) for c in names])
+    # written once: few are left, and the first of each hash and the others are read from here
+    found = each.join(bounded(twice), "hash").withColumn("earliest", earliest).drop(*[f"f_{c}" for c in names])
+    found = materialise(found, "marks")
+    firsts = found.where("earliest").select("hash", F.col("kind").alias("f_kind"), F.col("back").alias("f_back"), F.col("fore").alias("f_fore")).dropDuplicates(["hash"])
+    firsts = materialise(firsts, "firsts")
+    same = found.where("not earliest").join(firsts, "hash").where("kind = f_kind")
+    same = same.where(F.when(F.col("kind") == 1, F.col("back") == F.col("f_back")).otherwise(F.slice("back", -ROLL, ROLL) == F.slice("f_back", -ROLL, ROLL)))
     before, after = F.expr(_shared("reverse(back)", "reverse(f_back)")), F.expr(_shared("fore", "f_fore"))
     begin = F.when(F.col("kind") == 1, F.col("at")).otherwise(F.col("at") + 1 - before)
     end = F.when(F.col("kind") == 1, F.col("at") + F.size("back")).otherwise(F.col("at") + 1 + after)

@@ -16,7 +16,7 @@ ARROW_ROWS = 256
 ARROW_BYTES = 16 << 20
 
 #: Rows of a few numbers each that a join may broadcast.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()

@@ -127,3 +127,8 @@ def repository_name(url: Column) -> Column:
 
 def is_local_path(url: Column) -> Column:
     return starts_with_any(url, "/", "./", "../", "~", "file://") | url.rlike(r"^[A-Za-z]:[\\/]") | ~(url.contains("://") | url.rlike(r"^[^/]+@[^/]+:"))
+
+
+def grams(name: str) -> Column:
+    """The parts of a text of one to three characters: one that it holds begins with one of them."""
+    return F.expr(f"array_distinct(flatten(transform(sequence(1, least(3, length({name}))), n -> transform(sequence(1, length({name}) - n + 1), i -> substring({name}, i, n)))))")

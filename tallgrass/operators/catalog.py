@@ -206,12 +206,18 @@ def first_rows(df: DataFrame, group: str | list[str], order: list, k: int) -> Da
     return df.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_k") <= k).drop("_k")
 
 
-def peers(df: DataFrame, group: str, k: int = PEERS) -> DataFrame:
+def peers(df: DataFrame, group: str | list[str], k: int = PEERS) -> DataFrame:
     """For every row the first k others of its group, by id: pairs (id, peer_id).
 
     The first k + 1 of a group hold the k first others of every member, so that a group of n gives n x k rows, never n x n.
     """
-    head = first_rows(df.select(group, F.col("id").alias("peer_id")), group, ["peer_id"], k + 1)
-    lists = head.groupBy(group).agg(F.array_sort(F.collect_list("peer_id")).alias("head"))
-    each = df.select(group, "id").join(lists, group)
+    keys = [group] if isinstance(group, str) else group
+    head = first_rows(df.select(*keys, F.col("id").alias("peer_id")), keys, ["peer_id"], k + 1)
+    lists = head.groupBy(*keys).agg(F.array_sort(F.collect_list("peer_id")).alias("head"))
+    each = df.select(*keys, "id").join(lists, keys)
     return each.select("id", F.explode(F.slice(F.filter("head", lambda p: p != F.col("id")), 1, k)).alias("peer_id"))
+
+
+def dashboard(df: DataFrame, k: int = 10) -> DataFrame:
+    """The k newest repositories."""
+    return df.orderBy(F.desc("created_at"), "id").limit(k)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallgrass.functions.text import stable_id
 from tallgrass.operators.aggregates import counts_by, top_degrees
 from tallgrass.operators.catalog import first_rows
-from tallgrass.operators.joins import endpoint_first_port
+from tallgrass.operators.joins import endpoint_first_port, shown_elements, tool_dependencies
 
 NODE_TYPES = ("repository", "dependency", "service", "package_manager", "service_provider", "tool", "code_element", "security_entity", "test", "test_framework", "port", "endpoint")
 EDGE_TYPES = ("depends_on", "uses_service", "has_dependency", "uses_package_manager", "provided_by", "uses_tool", "tool_uses_dependency", "tool_uses_service", "tool_generates", "code_uses_service", "code_uses_dependency", "has_test", "test_uses_framework", "test_tests_code", "has_port", "has_endpoint", "endpoint_uses_port", "related_to")
@@ -89,19 +89,20 @@ def build_graph(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
         nodes.append(nodes_of(x, "tool", ["id"], "name", {"tool_type": "tool_type", "category": "category"}, config))
         edges.append(edges_of(x, repo, node_id("tool", "id"), "uses_tool"))
         if "dependencies" in t:
-            names = t["dependencies"].select("repository_id", "name").distinct().withColumn("key", F.lower("name"))
-            own = x.select("repository_id", F.col("id").alias("tool_id"), F.lower("name").alias("key")).join(names, ["repository_id", "key"])
+            own = tool_dependencies(x, t["dependencies"])
             edges.append(edges_of(own, node_id("tool", "tool_id"), node_id("dependency", "name"), "tool_uses_dependency"))
     if "code_elements" in t:
         e, r = t["code_elements"], t.get("code_relationships")
         if r is None:
             used = e.where(F.col("element_type") == "module")
         else:
-            related = e.join(r.select(F.col("code_element_id").alias("id")).distinct(), "id", "left_semi")
-            used = e.where(F.col("element_type") == "module").unionByName(related).dropDuplicates(["id"])
+            used = shown_elements(e, r)
             props = F.create_map(F.lit("confidence"), F.col("confidence").cast("string"), F.lit("evidence"), F.col("evidence"))
-            to_service = r.where(F.col("target_type") == "service")
-            edges.append(edges_of(to_service, node_id("code_element", "code_element_id"), node_id("service", "target_id"), "code_uses_service", props))
+            r = r.join(used.select(F.col("id").alias("code_element_id")), "code_element_id", "left_semi")
+            if "services" in t:
+                ids = t["services"].select(F.col("id").alias("target_id")).distinct()
+                to_service = r.where(F.col("target_type") == "service").join(ids, "target_id", "left_semi")
+                edges.append(edges_of(to_service, node_id("code_element", "code_element_id"), node_id("service", "target_id"), "code_uses_service", props))
             if "dependencies" in t and "id" in t["dependencies"].columns:
                 names = t["dependencies"].select(F.col("id").alias("target_id"), "name")
                 to_dep = r.where(F.col("target_type") == "dependency").join(names, "target_id")

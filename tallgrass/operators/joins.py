@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallgrass.functions.text import grams
 from tallgrass.operators.catalog import first_rows
 
 BAND = 50
@@ -62,13 +63,49 @@ def key_band(keys: DataFrame, elements: DataFrame, band: int = BAND) -> DataFram
 
 
 def service_keys(services: DataFrame, keys: DataFrame, k: int = KEYS) -> DataFrame:
-    """For each service the first k keys of its provider or that list it as related."""
-    a = services.select(F.col("id").alias("service_id"), "provider").join(keys.select(F.col("id").alias("key_id"), "provider"), "provider").select("service_id", "key_id")
-    listed = keys.select(F.col("id").alias("key_id"), F.explode("related_services").alias("name"))
-    b = services.select(F.col("id").alias("service_id"), "name").join(listed, "name").select("service_id", "key_id")
+    """For each service the first k keys of its repository that are of its provider or list it as related.
+
+    The first k of each provider and of each listed name hold the first k of both, so that a provider of n services and
+    m keys never gives n x m rows.
+    """
+    s = services.select(F.col("id").alias("service_id"), "repository_id", "name", "provider")
+    own = keys.select("repository_id", F.col("id").alias("key_id"), "provider", "related_services")
+    of_provider = first_rows(own.where(F.col("provider").isNotNull()).select("repository_id", "provider", "key_id"), ["repository_id", "provider"], ["key_id"], k)
+    listed = own.select("repository_id", "key_id", F.explode("related_services").alias("name")).distinct()
+    of_name = first_rows(listed, ["repository_id", "name"], ["key_id"], k)
+    a = s.join(of_provider, ["repository_id", "provider"]).select("service_id", "key_id")
+    b = s.join(of_name, ["repository_id", "name"]).select("service_id", "key_id")
     return first_rows(a.union(b).distinct(), "service_id", ["key_id"], k)
 
 
+def names_held(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(repository_id, name, held): names of a that hold a name of b of the same repository, in lower case."""
+    x = a.select("repository_id", F.lower("name").alias("name")).distinct()
+    y = b.select("repository_id", F.lower("name").alias("held")).where("held != ''").distinct()
+    x = x.select("repository_id", "name", F.explode(grams("name")).alias("gram"))
+    return x.join(y.withColumn("gram", F.substring("held", 1, 3)), ["repository_id", "gram"]).where(F.contains("name", "held")).select("repository_id", "name", "held")
+
+
+def tool_dependencies(tools: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """(repository_id, tool_id, name): a tool and a dependency of which one's name holds the other's, whatever the case."""
+    t = tools.select("repository_id", F.col("id").alias("tool_id"), F.lower("name").alias("tool"))
+    d = dependencies.select("repository_id", "name", F.lower("name").alias("low")).distinct()
+    both = names_held(tools, dependencies).select("repository_id", F.col("name").alias("tool"), F.col("held").alias("low"))
+    both = both.union(names_held(dependencies, tools).select("repository_id", F.col("held").alias("tool"), F.col("name").alias("low"))).distinct()
+    return both.join(t, ["repository_id", "tool"]).join(d, ["repository_id", "low"]).select("repository_id", "tool_id", "name")
+
+
+def shown_elements(elements: DataFrame, relationships: DataFrame, always: str = "module", end: str = "code_element_id") -> DataFrame:
+    """Elements of the type that is always shown, and those at this end of a relationship, each once."""
+    related = elements.join(relationships.select(F.col(end).alias("id")).distinct(), "id", "left_semi")
+    return elements.where(F.col("element_type") == always).unionByName(related).dropDuplicates(["id"])
+
+
+def related_kinds(relationships: DataFrame) -> DataFrame:
+    """For each element the kinds of targets that it is related to, sorted."""
+    return relationships.groupBy("code_element_id").agg(F.array_sort(F.collect_set("target_type")).alias("kinds"))
+
+
 def callers(calls: DataFrame, elements: DataFrame) -> DataFrame:
     """element_id with each element that calls it; calls from unknown elements are dropped."""
     e = elements.select(F.col("id").alias("caller_id"), F.col("name").alias("caller_name"))

@@ -12,8 +12,12 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     """A new path in the folder that the cluster shares (spark.checkpoint.dir; in local tests a folder of our own), deleted when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        import re
         import tempfile
 
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master := spark.sparkContext.master):
+            raise RuntimeError(f"spark.checkpoint.dir is unset: executors of {master} share no local folder for what is written between steps")
+
         base = f"file://{tempfile.mkdtemp(prefix='tallgrass-')}"
     path = f"{base.rstrip('/')}/tallgrass/{tag}-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -71,6 +75,11 @@ def statistics(deps: DataFrame) -> DataFrame:
     return versions.agg(F.coalesce(F.sum("v"), F.lit(0)).cast("long").alias("total_packages"), F.count("*").alias("unique_names"), F.count_if(F.col("v") > 1).alias("conflicts"))
 
 
+def manager_counts(deps: DataFrame) -> DataFrame:
+    """Packages (name and version) by package manager."""
+    return deps.select("package_manager", "name", "version").distinct().groupBy("package_manager").agg(F.count("*").alias("n"))
+
+
 def upward_chains(calls: DataFrame, targets: DataFrame, starts: int = 5, length: int = 5) -> DataFrame:
     """For each target the chains that start at its first callers and go on to the first caller of each: path and depth.
 

@@ -43,6 +43,8 @@ CODE = {
         ("tomcat", r"\.setPort\s*\(\s*(\d{4,5})\s*\)"),
     ],
 }
+#: A framework without a port of its own in code, and the one whose pattern it goes before.
+LABELS = {"axum": ("rocket", r"rocket::build\s*\(\)")}
 #: Patterns of configuration files.
 CONFIG = {
     "env": r"(?i)^\s*(?:PORT|SERVER_PORT|APP_PORT|HTTP_PORT)\s*=\s*(\d{4,5})",
@@ -73,7 +75,8 @@ def detect_ports(files: DataFrame) -> DataFrame:
 
     def code(patterns) -> Column:
         def each(x: Column, i: Column) -> Column:
-            framework = first_case([(x.rlike(p), f) for f, p in patterns if f]).cast("string")
+            labels = [y for f, p in patterns if f for y in ([LABELS[f]] if f in LABELS else []) + [(f, p)]]
+            framework = first_case([(x.rlike(p), f) for f, p in labels]).cast("string")
             return F.array_compact(F.array(*[_candidate(x, i, p, F.lit("http_server"), framework, null, False) for _, p in patterns]))
 
         return F.flatten(F.transform(lines, each))

@@ -1,9 +1,10 @@
 """Scored relationships between code elements and the services and dependencies of their repository.
 
 Elements and candidates can be many on both sides, so they never meet in a cross join. What an element's surroundings and
-its file hold is found first, per candidate *name*, by an equi-join: names are cut to their words, the words of a text are
-exploded once, and a name can only be held by a text that holds its longest word. The exact test (substring or bounded
-word) and the scoring run on those pairs alone.
+its file hold is found first, per candidate *name*, by an equi-join: names are cut to their words, the words of a window are
+exploded once, those of a file once and not for each of its elements, and a name can only be held by a text that holds its
+longest word. The exact test (substring or bounded word) and the scoring run on those pairs alone, gathered by text, so that
+a file's text goes over the network a fixed number of times whatever it holds.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.functions.text import first_case, stable_id, word_bounded
+from tallgrass.functions.text import first_case, grams, stable_id, word_bounded
 from tallgrass.operators.aggregates import evidence
 
 BEFORE, AFTER = 50, 200
@@ -51,32 +52,35 @@ def longest_word(name: Column) -> Column:
     return F.coalesce(best["w"], name)
 
 
-def bodies(elements: DataFrame, files: DataFrame) -> DataFrame:
-    """Elements with the lower-cased window and file."""
-    f = files.select("repository_id", F.col("path").alias("file_path"), "lines", F.lower("content").alias("file_text"))
-    e = elements.select("repository_id", F.col("id").alias("code_element_id"), "file_path", "line_number")
-    return e.join(f, ["repository_id", "file_path"]).withColumn("body", F.lower(element_window(F.col("lines"), F.col("line_number")))).drop("lines")
+def in_files(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows with the lines of their file: each file's text goes over the network once."""
+    f = files.select("repository_id", F.col("path").alias("file_path"), "lines")
+    return rows.join(f, ["repository_id", "file_path"])
 
 
-def pairs(texts: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
-    """(code_element_id, candidate's key) where a text may hold one of the candidate's probes.
+def elements_of(elements: DataFrame) -> DataFrame:
+    return elements.select("repository_id", F.col("id").alias("code_element_id"), "file_path", "line_number")
+
+
+def window_words(elements: DataFrame, files: DataFrame) -> DataFrame:
+    """(repository_id, code_element_id, word) of the elements' surroundings."""
+    body = F.lower(element_window(F.col("lines"), F.col("line_number")))
+    return in_files(elements_of(elements), files).select("repository_id", "code_element_id", F.explode(words(body)).alias("word"))
+
+
+def pairs(seen: DataFrame, candidates: DataFrame, key: str, *holder: str) -> DataFrame:
+    """(repository_id, holder, candidate's key) where a text may hold one of the candidate's probes. seen: (repository_id, holder, word).
 
     A substring need not start at a word's start (`stripe` in `mystripe`): every probe word is looked up among all words
-    of the repository's texts first, so that only distinct words meet by `contains`.
+    of the repository's texts first, so that only distinct words meet, by an equi-join on their grams.
     """
-    seen = texts.select("repository_id", "code_element_id", F.explode(words(F.concat_ws(" ", "body", "file_text"))).alias("word"))
     vocabulary = seen.select("repository_id", "word").distinct()
     probes = candidates.select("repository_id", key, F.explode("probes").alias("probe")).withColumn("stem", longest_word(F.lower("probe")))
-    stems = probes.select("repository_id", "stem").distinct()
-    # words that hold a stem: by its first three characters at every place of the word, an equi-join on trigrams
-    grams = F.expr("transform(sequence(1, greatest(length(word) - 2, 1)), i -> substring(word, i, 3))")
-    v = vocabulary.select("repository_id", "word", F.explode(F.array_distinct(grams)).alias("gram"))
-    s = stems.select("repository_id", "stem", F.substring("stem", 1, 3).alias("gram"))
-    short = stems.where(F.length("stem") < 3)
-    held = v.join(s, ["repository_id", "gram"]).where(F.contains("word", "stem")).select("repository_id", "word", "stem")
-    held_short = vocabulary.join(short, "repository_id").where(F.contains("word", "stem")).select("repository_id", "word", "stem")
-    hits = seen.join(held.unionByName(held_short).distinct(), ["repository_id", "word"]).select("repository_id", "code_element_id", "stem").distinct()
-    return hits.join(probes.select("repository_id", key, "stem").distinct(), ["repository_id", "stem"]).select("repository_id", "code_element_id", key).distinct()
+    stems = probes.where("stem != ''").select("repository_id", "stem").distinct()
+    v = vocabulary.select("repository_id", "word", F.explode(grams("word")).alias("gram"))
+    held = v.join(stems.withColumn("gram", F.substring("stem", 1, 3)), ["repository_id", "gram"]).where(F.contains("word", "stem")).select("repository_id", "word", "stem")
+    hits = seen.join(held, ["repository_id", "word"]).select("repository_id", *holder, "stem").distinct()
+    return hits.join(probes.select("repository_id", key, "stem").distinct(), ["repository_id", "stem"]).select("repository_id", *holder, key).distinct()
 
 
 def sdk_words(provider: Column, name: Column) -> Column:
@@ -91,8 +95,9 @@ def service_relationships(elements: DataFrame, files: DataFrame, services: DataF
     s = services.select("repository_id", F.col("id").alias("target_id"), "name", "provider", config_url(config).alias("url"), F.try_element_at(config, F.lit("env_var")).alias("env_var"))
     s = s.withColumn("sdk", sdk_words(F.col("provider"), F.col("name")))
     s = s.withColumn("probes", F.filter(F.concat(F.array("name", "provider", "url", "env_var"), F.col("sdk")), lambda p: p.isNotNull() & (p != "")))
-    texts = bodies(elements, files)
-    found = pairs(texts, s, "target_id").join(texts.select("code_element_id", "body"), "code_element_id").join(s, ["repository_id", "target_id"])
+    near = pairs(window_words(elements, files), s, "target_id", "code_element_id")
+    listed = near.join(s, ["repository_id", "target_id"]).groupBy("repository_id", "code_element_id").agg(F.collect_list(F.struct("target_id", "name", "provider", "url", "env_var", "sdk")).alias("c"))  # services of one repository at most
+    found = _with_bodies(listed, elements, files)
     body = F.col("body")
     # each SDK word counts by itself: at most six, so one condition for each place of the list
     sdk = [(F.coalesce(word_bounded(body, F.get("sdk", F.lit(k))), F.lit(False)), 0.4, F.concat(F.lit("SDK pattern '"), F.get("sdk", F.lit(k)), F.lit("' detected"))) for k in range(6)]
@@ -110,11 +115,20 @@ def dependency_relationships(elements: DataFrame, files: DataFrame, dependencies
     """An import in the file 0.6 (the first shape that fits), the name as a word 0.4, each part of a scoped name 0.3."""
     d = dependencies.select("repository_id", F.col("id").alias("target_id"), "name").withColumn("low", F.lower("name"))
     d = d.withColumn("probes", F.concat(F.array("low"), F.filter(F.split("low", "/"), lambda p: p != "")))
-    texts = bodies(elements, files)
-    found = pairs(texts, d, "target_id").join(texts.select("code_element_id", "body", "file_text"), "code_element_id").join(d, ["repository_id", "target_id"])
-    body, text, low = F.col("body"), F.col("file_text"), F.col("low")
-    shapes = [F.concat(F.lit(a), low, F.lit(b)) for a, b in (("import ", ""), ("from '", ""), ('from "', '"'), ("require('", ""), ('require("', '"'), ("use ", ""), ("extern crate ", ""))]
-    shape = F.get(F.filter(F.array(*shapes), lambda s: F.contains(text, s)), F.lit(0))
+    # imports: by file, not by element; a file's text meets all its candidates at once
+    content = files.select("repository_id", F.col("path").alias("file_path"), F.lower("content").alias("file_text"))
+    in_file = pairs(content.select("repository_id", "file_path", F.explode(words(F.col("file_text"))).alias("word")), d, "target_id", "file_path")
+    in_file = in_file.join(d, ["repository_id", "target_id"]).groupBy("repository_id", "file_path").agg(F.collect_list(F.struct("target_id", "low")).alias("c"))  # dependencies of one repository at most
+    shapes = lambda low: [F.concat(F.lit(a), low, F.lit(b)) for a, b in (("import ", ""), ("from '", ""), ('from "', '"'), ("require('", ""), ('require("', '"'), ("use ", ""), ("extern crate ", ""))]
+    shaped = F.transform("c", lambda x: F.struct(x["target_id"].alias("target_id"), F.get(F.filter(F.array(*shapes(x["low"])), lambda s: F.contains(F.col("file_text"), s)), F.lit(0)).alias("shape")))
+    imports = in_file.join(content, ["repository_id", "file_path"]).select("repository_id", "file_path", F.explode(F.filter(shaped, lambda x: x["shape"].isNotNull())).alias("x")).select("repository_id", "file_path", "x.*")
+    e = elements_of(elements)
+    near = pairs(window_words(elements, files), d, "target_id", "code_element_id").withColumn("shape", F.lit(None).cast("string"))
+    both = near.unionByName(e.join(imports, ["repository_id", "file_path"]).select("repository_id", "code_element_id", "target_id", "shape"))
+    both = both.groupBy("repository_id", "code_element_id", "target_id").agg(F.max("shape").alias("shape")).join(d, ["repository_id", "target_id"])
+    listed = both.groupBy("repository_id", "code_element_id").agg(F.collect_list(F.struct("target_id", "name", "low", "shape")).alias("c"))
+    found = _with_bodies(listed, elements, files)
+    body, low, shape = F.col("body"), F.col("low"), F.col("shape")
     scoped = F.when(low.contains("/"), F.split(low, "/"))
     parts = [
         (shape.isNotNull(), 0.6, F.concat(F.lit("Import statement found: "), shape)),
@@ -124,6 +138,13 @@ def dependency_relationships(elements: DataFrame, files: DataFrame, dependencies
     return _scored(found, parts, "dependency", "imports")
 
 
+def _with_bodies(listed: DataFrame, elements: DataFrame, files: DataFrame) -> DataFrame:
+    """A row for each candidate in c of each element, with the element's lower-cased surroundings."""
+    rows = in_files(elements_of(elements).join(listed, ["repository_id", "code_element_id"]), files)
+    rows = rows.select("repository_id", "code_element_id", F.lower(element_window(F.col("lines"), F.col("line_number"))).alias("body"), "c")
+    return rows.select("repository_id", "code_element_id", "body", F.explode("c").alias("x")).select("repository_id", "code_element_id", "body", "x.*")
+
+
 def _scored(found: DataFrame, parts, target: str, kind: str) -> DataFrame:
     score, text = evidence(parts, LEAST)
     rows = found.select("repository_id", "code_element_id", F.lit(target).alias("target_type"), "target_id", F.lit(kind).alias("relationship_type"), score.alias("confidence"), text.alias("evidence")).where(F.col("confidence").isNotNull())

@@ -41,6 +41,7 @@ PROVIDERS = (
 VALUES = ((("ghp_",), "github"), (("sk_live_", "sk_test_"), "stripe"), (("AKIA",), "aws"))
 PREVIEW = 20
 SCANNED = (".js", ".ts", ".jsx", ".tsx", ".py", ".rs", ".go", ".java", ".rb", ".php", ".env")
+USED_BY = 20
 KEY = "array<struct<name:string,value:string,key_type:string,line_number:int>>"
 
 
@@ -123,7 +124,7 @@ def detect_keys(files: DataFrame, elements: DataFrame | None = None, extra: tupl
     )
     if elements is None:
         return keys.withColumn("used_by", F.array().cast("array<string>"))
-    near = key_band(keys, elements).groupBy("key_id").agg(F.array_sort(F.collect_set("element_id")).alias("used_by"))
+    near = key_band(keys, elements).groupBy("key_id").agg(F.slice(F.array_sort(F.collect_set("element_id")), 1, USED_BY).alias("used_by"))  # elements of one file within 50 lines
     return keys.join(near, keys["id"] == near["key_id"], "left").drop("key_id").withColumn("used_by", F.coalesce("used_by", F.array().cast("array<string>")))
 
 

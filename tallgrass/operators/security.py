@@ -95,14 +95,34 @@ def terraform(files: DataFrame) -> DataFrame:
 
 
 def parse_yaml(text: str):
-    """Mappings, lists and scalars of plain block YAML: what templates use. Flow style is read as JSON, tags are dropped."""
+    """Mappings, lists, scalars and block scalars of plain block YAML: what templates use. Flow style is read as JSON, tags are dropped."""
     import json
     import re
 
-    rows = [(len(x) - len(x.lstrip()), x.strip()) for x in text.splitlines() if x.strip() and not x.strip().startswith("#") and x.strip() not in ("---", "...")]
+    rows, blocks, within = [], [], None
+    for x in text.splitlines():
+        indent, s = len(x) - len(x.lstrip()), x.strip()
+        if within is not None:
+            if not s or indent > within:
+                blocks[-1].append(x)
+                continue
+            within = None
+        if not s or s.startswith("#") or s in ("---", "..."):
+            continue
+        if m := re.search(r"(?:^|\s)(?:!\w+\s+)?[|>][-+\d]*(?:\s+#.*)?$", s):  # what is indented further is text
+            within = indent + (len(s) - len(re.sub(r"^(?:-\s+)+", "", s)) if re.match(r"-\s+\S+:", s) else 0)
+            blocks.append([])
+            s = f"{s[: m.start()].rstrip()} \0{len(blocks) - 1}"
+        rows.append((indent, s))
+
+    def block_text(k: int) -> str:
+        own = [len(x) - len(x.lstrip()) for x in blocks[k] if x.strip()]
+        return "\n".join(x[min(own, default=0) :] for x in blocks[k]).rstrip("\n") + "\n" * bool(own)
 
     def scalar(s: str):
         s = re.sub(r"^!\w+\s*", "", s.strip())
+        if s[:1] == "\0":
+            return block_text(int(s[1:]))
         if s[:1] in "[{":
             try:
                 return json.loads(s)
@@ -130,7 +150,7 @@ def parse_yaml(text: str):
                 continue
             key, rest = scalar(m[1]), m[2]
             i += 1
-            if rest and rest not in ("|", ">", "|-", ">-"):
+            if rest:
                 out[key] = scalar(rest)
             elif i < len(rows) and (rows[i][0] > indent or rows[i][0] == indent and rows[i][1].startswith("- ")):
                 out[key], i = node(i, rows[i][0])

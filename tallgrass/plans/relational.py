@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallgrass.functions.text import is_newer_version
 from tallgrass.operators import aggregates as A
 from tallgrass.operators import catalog as C
+from tallgrass.operators import details as X
 from tallgrass.operators import docs as D
 from tallgrass.operators import graph as G
 from tallgrass.operators import impact as I
@@ -48,11 +49,11 @@ plan("p9_vuln_ranked", "SELECT id, repository_id, entity_id, severity, CAST(row_
 plan("p10_security_relationships", "SELECT source_entity_id, target_entity_id, relationship_type, repository_id FROM h_security_relationships WHERE repository_id = 2")(lambda h: C.security_relationships(h.security_relationships, 2))
 plan("p11_port_filter", f"SELECT {PRT} FROM h_ports WHERE port_type = 'cache' AND framework = 'O'")(lambda h: C.ports(h.ports, port_type="cache", framework="O"))
 plan("p12_endpoint_filter", f"SELECT {END} FROM h_endpoints WHERE contains(path, '/en/') AND lower(method) = 'get' AND framework = 'express'")(lambda h: C.endpoints(h.endpoints, path="/en/", method="get", framework="express"))
-plan("p13_dep_search", f"SELECT {DEP} FROM h_dependencies WHERE name = (SELECT min(p_name) FROM part)")(lambda h: h.dependencies.join(h.table("part").agg(F.min("p_name").alias("name")), "name", "left_semi"))
+plan("p13_dep_search", f"SELECT {DEP} FROM h_dependencies WHERE name = (SELECT min(p_name) FROM part)")(lambda h: C.search_dependencies(h.dependencies, h.table("part").agg(F.min("p_name")).first()[0]))
 plan("p14_service_search", f"SELECT {SVC} FROM h_services WHERE service_type = 'auth'")(lambda h: C.search_services(h.services, service_type="auth"))
 plan("p15_port_search", f"SELECT {PRT} FROM h_ports WHERE port = 1100")(lambda h: C.search_ports(h.ports, port=1100, port_type="ignored"))
 plan("p16_endpoint_like", f"SELECT {END} FROM h_endpoints WHERE path ILIKE '%/EN/1%'")(lambda h: C.search_endpoints(h.endpoints, path="/EN/1"))
-plan("p17_doc_search", "SELECT id, repository_id, file_path, file_name, doc_type, title, content_preview FROM h_documentation WHERE coalesce(file_name ILIKE '%thor%', false) OR coalesce(title ILIKE '%thor%', false) OR coalesce(content_preview ILIKE '%thor%', false)")(lambda h: C.search_documentation(h.documentation, "thor").drop("content"))
+plan("p17_doc_search", "SELECT id, repository_id, file_path, file_name, doc_type, title, description, content_preview FROM h_documentation WHERE coalesce(file_name ILIKE '%thor%', false) OR coalesce(title ILIKE '%thor%', false) OR coalesce(description ILIKE '%thor%', false) OR coalesce(content_preview ILIKE '%thor%', false)")(lambda h: C.search_documentation(h.documentation, "thor").drop("content"))
 plan("p18_tests_by_framework", "SELECT id, repository_id, name, test_framework, file_path, line_number FROM h_tests WHERE test_framework = 'click'")(lambda h: C.tests(h.tests, framework="click"))
 plan("p19_tools_by_category", "SELECT id, repository_id, name, tool_type, category FROM h_tools WHERE category = 'c2' AND tool_type = 'linter'")(lambda h: C.tools(h.tools, category="c2", tool_type="linter"))
 plan("p20_list_page", f"SELECT {SVC} FROM h_services WHERE service_type = 'api' AND (contains(lower(name), '1') OR contains(lower(provider), '1') OR contains(lower(service_type), '1')) ORDER BY name, id LIMIT 50")(lambda h: C.list_page(h.services, C.list_configs()["services"], {"service_type": "api"}, "1"))
@@ -73,10 +74,13 @@ plan("j1_edges_in_repo", "SELECT source_node_id, target_node_id, edge_type FROM
 plan("j2_tool_scripts", "SELECT s.id, tool_id, s.name, command, t.name AS tool_name FROM h_tool_scripts s JOIN h_tools t ON tool_id = t.id WHERE t.repository_id = 5")(lambda h: J.tool_scripts(h.tool_scripts, h.tools, 5))
 plan("j3_edge_semi", "SELECT DISTINCT source_node_id, target_node_id, edge_type FROM h_edges WHERE source_node_id IN (SELECT id FROM h_nodes WHERE repository_id = 3) OR target_node_id IN (SELECT id FROM h_nodes WHERE repository_id = 3)")(lambda h: J.edges_touching(h.edges, h.nodes.where("repository_id = 3")))
 plan("j12_first_port", "WITH f AS (SELECT repository_id, file_path, id AS port_id, port, row_number() OVER (PARTITION BY repository_id, file_path ORDER BY line_number, port, id) AS k FROM h_ports) SELECT e.id AS endpoint_id, e.repository_id, e.file_path, port_id, port FROM h_endpoints e JOIN f ON e.repository_id = f.repository_id AND e.file_path = f.file_path WHERE k = 1")(lambda h: J.endpoint_first_port(h.endpoints, h.ports))
-plan("j13_related_elements", f"SELECT {ELE} FROM h_code_elements WHERE element_type = 'ECONOMY' OR id IN (SELECT target_id FROM h_relationships)")(lambda h: h.code_elements.where("element_type = 'ECONOMY'").unionByName(h.code_elements.join(h.relationships.select(F.col("target_id").alias("id")).distinct(), "id", "left_semi")).dropDuplicates(["id"]))
+plan("j13_related_elements", f"SELECT {ELE} FROM h_code_elements WHERE element_type = 'ECONOMY' OR id IN (SELECT target_id FROM h_relationships)")(lambda h: J.shown_elements(h.code_elements, h.relationships, "ECONOMY", "target_id"))
 plan("j14_key_services", "WITH m AS (SELECT DISTINCT k.id, s.name FROM h_keys k JOIN h_services s ON k.repository_id = s.repository_id AND (k.provider = s.provider OR contains(lower(s.name), lower(replace(k.provider, '_', ''))))), r AS (SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY name) AS k FROM m) SELECT k.id, coalesce(string_agg(r.name, ',' ORDER BY r.name), '') AS related_services FROM h_keys k LEFT JOIN r ON k.id = r.id AND r.k <= 10 GROUP BY k.id")(lambda h: J.key_services(h.keys, h.services).withColumn("related_services", F.array_join("related_services", ",")))
 plan("j15_key_band", "SELECT k.id AS key_id, e.id AS element_id FROM h_keys k JOIN h_code_elements e ON k.file_path = e.file_path AND abs(k.line_number - e.line_number) <= 50")(lambda h: J.key_band(h.keys, h.code_elements))
-plan("j16_service_keys", "SELECT service_id, key_id FROM (SELECT s.id AS service_id, k.id AS key_id, row_number() OVER (PARTITION BY s.id ORDER BY k.id) AS r FROM h_services s JOIN h_keys k ON s.provider = k.provider) WHERE r <= 20")(lambda h: J.service_keys(h.services, h.keys.withColumn("related_services", F.array().cast("array<string>"))))
+plan(
+    "j16_service_keys",
+    "WITH m AS (SELECT DISTINCT k.id, s.name FROM h_keys k JOIN h_services s ON k.repository_id = s.repository_id AND (k.provider = s.provider OR contains(lower(s.name), lower(replace(k.provider, '_', ''))))), r AS (SELECT id, name FROM (SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY name) AS n FROM m) WHERE n <= 10), both_ways AS (SELECT s.id AS service_id, k.id AS key_id FROM h_services s JOIN h_keys k ON s.repository_id = k.repository_id AND s.provider = k.provider UNION SELECT s.id, k.id FROM h_services s JOIN h_keys k ON s.repository_id = k.repository_id JOIN r ON r.id = k.id AND r.name = s.name) SELECT service_id, key_id FROM (SELECT *, row_number() OVER (PARTITION BY service_id ORDER BY key_id) AS n FROM both_ways) WHERE n <= 20",
+)(lambda h: J.service_keys(h.services, h.keys.join(J.key_services(h.keys, h.services), "id")))
 plan("j17_callers", "SELECT callee_id AS element_id, caller_id, name AS caller_name, c.line_number FROM h_code_calls c JOIN h_code_elements e ON caller_id = id")(lambda h: J.callers(h.code_calls, h.code_elements))
 plan("j17_callees", "SELECT caller_id AS element_id, callee_id, name AS callee_name, c.line_number FROM h_code_calls c JOIN h_code_elements e ON callee_id = id")(lambda h: J.callees(h.code_calls, h.code_elements))
 plan("j18_rel_fallback", "SELECT code_element_id, target_id, CASE WHEN s.name IS NOT NULL THEN 'service' WHEN e.name IS NOT NULL THEN 'code_element' END AS found_as, coalesce(s.name, e.name) AS target_name FROM h_relationships r LEFT JOIN h_services s ON target_id = s.id LEFT JOIN h_code_elements e ON target_id = e.id")(lambda h: J.relationship_targets(h.relationships, h.services, h.code_elements))
@@ -84,11 +88,15 @@ plan("j18_incoming", "SELECT target_id, code_element_id, name AS from_name, 'inc
 plan("j19_security_both_ends", "WITH r AS (SELECT source_entity_id AS id, target_entity_id AS other_id, relationship_type, 'outgoing' AS direction FROM h_security_relationships UNION ALL SELECT target_entity_id, source_entity_id, relationship_type, 'incoming' FROM h_security_relationships) SELECT r.id, other_id, e.name AS other_name, relationship_type, direction FROM r JOIN h_security_entities e ON other_id = e.id WHERE r.id IN (SELECT id FROM h_security_entities)")(lambda h: J.related_entities(h.security_relationships, h.security_entities))
 plan("j19_entity_vulnerabilities", "SELECT e.id AS entity_id, name, v.id AS vulnerability_id, severity FROM h_security_entities e JOIN h_vulnerabilities v ON e.id = v.entity_id")(lambda h: J.entity_vulnerabilities(h.security_entities, h.vulnerabilities))
 plan("j20_peers_topk", "SELECT id, peer_id FROM (SELECT a.id, b.id AS peer_id, row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS k FROM h_services a JOIN h_services b ON a.provider = b.provider AND a.id <> b.id) WHERE k <= 10")(lambda h: C.peers(h.services, "provider"))
-plan("j22_related_sets", "SELECT code_element_id, string_agg(DISTINCT target_type, ',' ORDER BY target_type) AS kinds FROM h_relationships GROUP BY code_element_id")(lambda h: h.relationships.groupBy("code_element_id").agg(F.array_join(F.array_sort(F.collect_set("target_type")), ",").alias("kinds")))
+plan("j22_related_sets", "SELECT code_element_id, string_agg(DISTINCT target_type, ',' ORDER BY target_type) AS kinds FROM h_relationships GROUP BY code_element_id")(lambda h: J.related_kinds(h.relationships).withColumn("kinds", F.array_join("kinds", ",")))
+plan("j7_tool_dependencies", "SELECT DISTINCT t.repository_id, t.id AS tool_id, d.name FROM (SELECT id, repository_id, split_part(name, ' ', 1) AS name FROM h_code_elements WHERE line_number > 45 UNION SELECT id, repository_id, category FROM h_tools) t JOIN h_dependencies d ON t.repository_id = d.repository_id AND (contains(lower(t.name), lower(d.name)) OR contains(lower(d.name), lower(t.name)))")(
+    lambda h: J.tool_dependencies(h.sql("SELECT id, repository_id, split_part(name, ' ', 1) AS name FROM h_code_elements WHERE line_number > 45 UNION SELECT id, repository_id, category AS name FROM h_tools"), h.dependencies)
+)
 
 plan("a1_graph_statistics", "SELECT 'nodes' AS measure, 'total' AS value, count(*) AS n FROM h_nodes UNION ALL SELECT 'edges', 'total', count(*) FROM h_edges UNION ALL SELECT 'nodes_by_type', node_type, count(*) FROM h_nodes GROUP BY node_type UNION ALL SELECT 'edges_by_type', edge_type, count(*) FROM h_edges GROUP BY edge_type")(lambda h: G.statistics(h.nodes, h.edges))
 plan("a2_degree_top10", "WITH e AS (SELECT source_node_id AS id FROM h_edges UNION ALL SELECT target_node_id FROM h_edges), d AS (SELECT id, count(*) AS degree FROM e GROUP BY id) SELECT coalesce(n.id, d.id) AS id, coalesce(degree, 0) AS degree FROM h_nodes n FULL JOIN d ON n.id = d.id ORDER BY degree DESC, id LIMIT 10")(lambda h: A.top_degrees(h.nodes, h.edges))
 plan("a3_dep_stats", "WITH v AS (SELECT name, count(DISTINCT version) AS v FROM h_dependencies GROUP BY name) SELECT CAST(coalesce(sum(v), 0) AS BIGINT) AS total_packages, count(*) AS unique_names, count(*) FILTER (WHERE v > 1) AS conflicts FROM v")(lambda h: P.statistics(h.dependencies))
+plan("a3_manager_counts", "SELECT package_manager, count(DISTINCT (name, version)) AS n FROM h_dependencies GROUP BY package_manager")(lambda h: P.manager_counts(h.dependencies))
 plan("a4_conflicts", "SELECT name, count(DISTINCT version) AS n_versions, string_agg(DISTINCT version, ',' ORDER BY version) AS versions FROM h_dependencies GROUP BY name HAVING count(DISTINCT version) > 1")(lambda h: P.conflicts(h.dependencies))
 plan("a5_service_dedup", "WITH s AS (SELECT repository_id, concat('svc', CAST(id % 3 AS STRING)) AS name, provider, service_type, id, confidence, line_number, file_path FROM h_services) SELECT repository_id, name, provider, service_type, min(id) AS id, max(confidence) AS confidence, arg_max(line_number, CAST(confidence * 10 AS BIGINT) * 1000000 - id) AS line_number, string_agg(DISTINCT file_path, ',' ORDER BY file_path) AS file_paths FROM s GROUP BY repository_id, name, provider, service_type")(lambda h: A.merged_services(h.services.withColumn("name", F.concat(F.lit("svc"), (F.col("id") % 3).cast("string"))).withColumn("ord", F.col("id"))))
 plan("a7_roots", "SELECT p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT dependency FROM h_package_dag)")(lambda h: P.roots(h.table("part").select(F.col("p_partkey").alias("name")).join(h.package_dag.groupBy("name").agg(F.collect_list("dependency").alias("dependencies")), "name", "left").withColumn("dependencies", F.coalesce("dependencies", F.array().cast("array<bigint>")))).select("name"))
@@ -110,12 +118,28 @@ NODE = "id, repository_id, node_type, name"
 plan("g4_nodes_by_type", f"SELECT {NODE} FROM h_nodes WHERE node_type = 'repository'")(lambda h: G.nodes_by_type(h.nodes, "repository"))
 plan("g5_incident_edges", "SELECT source_node_id, target_node_id, edge_type FROM h_edges WHERE source_node_id = 'c7' OR target_node_id = 'c7'")(lambda h: G.incident_edges(h.edges, "c7"))
 plan("g6_neighbors", f"SELECT {NODE} FROM h_nodes WHERE id IN (SELECT target_node_id FROM h_edges WHERE source_node_id = 'c7' UNION SELECT source_node_id FROM h_edges WHERE target_node_id = 'c7')")(lambda h: G.neighbors(h.nodes, h.edges, "c7"))
-plan("g8_closure", "WITH RECURSIVE c(start, reached) AS (SELECT name, dependency FROM h_package_dag WHERE name IN (97, 150, 199) UNION SELECT start, dependency FROM c JOIN h_package_dag ON reached = name) SELECT start, reached FROM c")(lambda h: P.closure(h.package_dag, h.spark.createDataFrame([(97,), (150,), (199,)], "name long")))
-plan("g11_chains", None)(lambda h: P.upward_chains(h.code_calls.where("caller_id > callee_id"), h.code_elements.where("id <= 20")))
-plan("g12_impact", None)(lambda h: I.impact(h.code_calls, h.relationships.where("target_type = 'dependency'"), h.code_elements, h.code_elements))
+plan("g8_closure", "WITH RECURSIVE c(start, reached) AS (SELECT name, dependency FROM h_package_dag UNION SELECT start, dependency FROM c JOIN h_package_dag ON reached = name) SELECT start, reached FROM c")(lambda h: P.closure(h.package_dag, h.package_dag.select("name").distinct()))
+def _chains(targets: str, starts: int = 5, length: int = 5) -> str:
+    """CTEs f (first callers) and c<length> (chains of the targets)."""
+    ctes = ["pairs AS (SELECT DISTINCT callee_id AS callee, caller_id AS up FROM h_code_calls)", "f AS (SELECT callee, min(up) AS up FROM pairs GROUP BY callee)"]
+    ctes.append(f"c1 AS (SELECT callee AS target_id, [callee, up] AS path FROM (SELECT *, row_number() OVER (PARTITION BY callee ORDER BY up) AS k FROM pairs WHERE callee IN (SELECT id FROM {targets})) WHERE k <= {starts})")
+    for k in range(1, length):
+        ctes.append(f"c{k + 1} AS (SELECT target_id, CASE WHEN f.up IS NOT NULL AND NOT list_contains(path, f.up) THEN list_append(path, f.up) ELSE path END AS path FROM c{k} LEFT JOIN f ON path[len(path)] = f.callee)")
+    return ", ".join([*ctes, f"chains AS (SELECT * FROM c{length})"])
+
+
+plan("g11_chains", f"WITH {_chains('h_code_elements')} SELECT target_id, array_to_string(path, ',') AS path, len(path) AS depth FROM chains")(lambda h: P.upward_chains(h.code_calls, h.code_elements).withColumns({"path": F.array_join("path", ","), "depth": F.col("depth").cast("long")}))
+plan(
+    "g12_impact",
+    f"""WITH {_chains('h_code_elements')}, hit AS (SELECT callee_id AS target_id, caller_id AS affected_id FROM h_code_calls UNION SELECT target_id, code_element_id FROM h_relationships),
+n AS (SELECT target_id, count(DISTINCT affected_id) AS n_affected FROM hit JOIN h_code_elements e ON affected_id = e.id GROUP BY target_id),
+d AS (SELECT target_id, max(len(path)) AS max_depth, count(*) AS n_chains FROM chains GROUP BY target_id),
+m AS (SELECT id AS target_id, name, coalesce(n_affected, 0) AS n_affected, coalesce(max_depth, 0) AS max_depth, coalesce(n_chains, 0) AS n_chains FROM h_code_elements LEFT JOIN n ON id = n.target_id LEFT JOIN d ON id = d.target_id)
+SELECT target_id, name, n_affected, max_depth, n_chains, CASE WHEN n_affected > 10 OR max_depth > 4 THEN 'high' WHEN n_affected > 5 OR max_depth > 2 THEN 'medium' ELSE 'low' END AS risk FROM m""",
+)(lambda h: I.impact(h.code_calls, h.relationships, h.code_elements, h.code_elements).drop("advice"))
 plan("g1_nodes_by_type", "SELECT 'repository' AS node_type, count(*) AS n FROM h_repositories UNION ALL SELECT 'dependency', count(*) FROM (SELECT DISTINCT repository_id, name FROM h_dependencies) UNION ALL SELECT 'package_manager', count(*) FROM (SELECT DISTINCT repository_id, package_manager FROM h_dependencies) UNION ALL SELECT 'service_provider', count(*) FROM (SELECT DISTINCT repository_id, provider FROM h_services) UNION ALL SELECT 'service', count(*) FROM h_services UNION ALL SELECT 'port', count(*) FROM (SELECT DISTINCT repository_id, port FROM h_ports) UNION ALL SELECT 'endpoint', count(*) FROM (SELECT DISTINCT repository_id, method, path FROM h_endpoints)")(lambda h: A.counts_by(_graph(h)[0], "node_type"))
 plan("g1_edges_by_type", "SELECT 'uses_package_manager' AS edge_type, (SELECT count(*) FROM (SELECT DISTINCT repository_id, package_manager FROM h_dependencies)) + (SELECT count(*) FROM h_dependencies) AS n UNION ALL SELECT 'uses_service', count(*) FROM h_services UNION ALL SELECT 'provided_by', count(*) FROM h_services UNION ALL SELECT 'has_port', count(*) FROM h_ports UNION ALL SELECT 'has_endpoint', count(*) FROM h_endpoints UNION ALL SELECT 'endpoint_uses_port', count(*) FROM h_endpoints e WHERE EXISTS (SELECT 1 FROM h_ports p WHERE p.repository_id = e.repository_id AND p.file_path = e.file_path)")(lambda h: A.counts_by(_graph(h)[1], "edge_type"))
-plan("a12_rollup", None)(lambda h: A.counts_by(G.rolled_up(h.nodes.withColumn("properties", F.create_map(F.lit("element_type"), F.col("name"))), h.edges.withColumns({"id": F.lit("x"), "repository_id": F.lit(0).cast("long"), "properties": F.create_map().cast("map<string,string>")}))[0], "node_type"))
+plan("a12_rollup", "SELECT 'repository' AS node_type, count(*) AS n FROM h_nodes WHERE node_type = 'repository' UNION ALL SELECT 'code_group', count(*) FROM (SELECT DISTINCT repository_id, name FROM h_nodes WHERE node_type = 'code_element')")(lambda h: A.counts_by(G.rolled_up(h.nodes.withColumn("properties", F.create_map(F.lit("element_type"), F.col("name"))), h.edges.withColumns({"id": F.lit("x"), "repository_id": F.lit(0).cast("long"), "properties": F.create_map().cast("map<string,string>")}))[0], "node_type"))
 
 
 def _graph(h: Hosts):
@@ -171,3 +195,44 @@ def _plugin(h: Hosts) -> DataFrame:
     plugins.register(h.spark, "flow_plugin", lambda path, content: [(content.split()[1], "function", 1, "flow")])
     files = files_of(h.spark, {"a.flow": "step start", "b.flow": "step stop", "c.flow": ""})
     return plugins.plugin_elements(files, "flow_plugin").select("file_path", "name", "line_number")
+
+
+def _peers_sql(table: str, group: str, section: str) -> str:
+    on = " AND ".join(f"a.{g} = b.{g}" for g in group.split())
+    return f"SELECT id, '{section}' AS section, CAST(other AS STRING) AS other, CAST(NULL AS STRING) AS note FROM (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS k FROM {table} a JOIN {table} b ON {on} AND a.id <> b.id) WHERE k <= 10"
+
+
+plan("g10_dependency_details", _peers_sql("h_dependency_ids", "repository_id package_manager", "related_dependencies"))(lambda h: X.details("dependency", {"dependencies": h.dependency_ids}))
+plan(
+    "g10_service_details",
+    _peers_sql("h_services", "repository_id provider", "related_services")
+    + " UNION ALL SELECT service_id, 'api_keys', CAST(key_id AS STRING), CAST(NULL AS STRING) FROM ("
+    + PLANS["j16_service_keys"][1].replace("WITH m AS", "WITH m AS", 1)
+    + ")",
+)(lambda h: X.details("service", {"services": h.services, "keys": h.keys}))
+plan(
+    "g10_element_details",
+    _peers_sql("h_code_elements", "repository_id file_path", "related_elements")
+    + """ UNION ALL SELECT callee_id, 'callers', CAST(caller_id AS STRING), CAST(c.line_number AS STRING) FROM h_code_calls c JOIN h_code_elements e ON caller_id = e.id
+ UNION ALL SELECT caller_id, 'callees', CAST(callee_id AS STRING), CAST(c.line_number AS STRING) FROM h_code_calls c JOIN h_code_elements e ON callee_id = e.id
+ UNION ALL SELECT code_element_id, 'related_services', CAST(target_id AS STRING), s.name FROM h_relationships r JOIN h_services s ON target_id = s.id WHERE target_type = 'service'
+ UNION ALL SELECT code_element_id, 'related_code_elements', CAST(target_id AS STRING), e.name FROM h_relationships r JOIN h_code_elements e ON target_id = e.id WHERE target_type = 'service' AND target_id NOT IN (SELECT id FROM h_services)
+ UNION ALL SELECT target_id, 'incoming', CAST(code_element_id AS STRING), relationship_type FROM h_relationships WHERE target_id IN (SELECT id FROM h_code_elements)""",
+)(lambda h: X.details("code_element", {"code_elements": h.code_elements, "code_calls": h.code_calls, "code_relationships": h.relationships, "services": h.services}))
+plan(
+    "g10_security_details",
+    "WITH e AS (SELECT id, repository_id, entity_type AS provider FROM h_security_entities), r AS (SELECT source_entity_id AS id, target_entity_id AS other, relationship_type FROM h_security_relationships UNION ALL SELECT target_entity_id, source_entity_id, relationship_type FROM h_security_relationships) "
+    + _peers_sql("e", "repository_id provider", "related_entities")
+    + " UNION ALL SELECT id, 'relationships', CAST(other AS STRING), relationship_type FROM r WHERE id IN (SELECT id FROM e) AND other IN (SELECT id FROM e) UNION ALL SELECT entity_id, 'vulnerabilities', CAST(id AS STRING), severity FROM h_vulnerabilities WHERE entity_id IN (SELECT id FROM e)",
+)(lambda h: X.details("security_entity", {"security_entities": h.security_entities.withColumn("provider", F.col("entity_type")), "security_relationships": h.security_relationships, "vulnerabilities": h.vulnerabilities}))
+
+ORD = '("at", event_id)'
+STATE_SQL = f"""WITH g AS (SELECT repository_id, arg_max(kind, {ORD}) FILTER (WHERE kind IN ('start', 'clear')) AS open, arg_max(total_steps, {ORD}) FILTER (WHERE kind = 'start') AS total_steps,
+  max("at") FILTER (WHERE kind = 'start') AS started_at, arg_max(step, {ORD}) FILTER (WHERE kind IN ('start', 'update')) AS step, arg_max(step_name, {ORD}) FILTER (WHERE kind IN ('start', 'update')) AS name,
+  arg_max(message, {ORD}) FILTER (WHERE kind <> 'clear') AS status_message, max("at") FILTER (WHERE kind <> 'clear') AS last_updated, arg_max(kind, {ORD}) FILTER (WHERE kind NOT IN ('clear', 'message')) AS said FROM h_progress_events GROUP BY repository_id)
+SELECT repository_id, CASE WHEN said = 'complete' THEN total_steps ELSE step END AS current_step, total_steps, CASE said WHEN 'complete' THEN 'Complete' WHEN 'fail' THEN 'Failed' ELSE name END AS step_name,
+  CASE WHEN said = 'complete' THEN 100.0 ELSE least(100.0, greatest(0.0, CAST(step AS DOUBLE) / total_steps * 100)) END AS progress_percent, status_message, started_at, last_updated,
+  CASE said WHEN 'complete' THEN 'complete' WHEN 'fail' THEN 'failed' ELSE 'running' END AS status FROM g WHERE open = 'start'"""
+plan("t1_run_states", STATE_SQL)(lambda h: T.progress_state(h.progress_events))
+plan("o12_dashboard", "SELECT id, name FROM h_repositories ORDER BY created_at DESC, id LIMIT 10")(lambda h: C.dashboard(h.repositories).select("id", "name"))
+plan("g7_most_connected", "WITH e AS (SELECT source_node_id AS id FROM h_edges UNION ALL SELECT target_node_id FROM h_edges), d AS (SELECT id, count(*) AS degree FROM e GROUP BY id) SELECT d.id, degree, name FROM d LEFT JOIN h_nodes n ON d.id = n.id ORDER BY degree DESC, d.id LIMIT 10")(lambda h: G.most_connected(h.nodes, h.edges))

@@ -14,6 +14,7 @@ VIEWS = {
   max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1 AS is_dev, max(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) = 1 AS is_optional
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey
   GROUP BY c_nationkey, p_name, p_brand, p_type""",
+    "h_dependency_ids": "SELECT concat(CAST(repository_id AS STRING), '|', name, '|', version, '|', package_manager) AS id, repository_id, name, package_manager FROM h_dependencies",
     "h_services": """SELECT s_suppkey AS id, s_nationkey AS repository_id, s_name AS name, r_name AS provider,
   CASE s_suppkey % 5 WHEN 0 THEN 'database' WHEN 1 THEN 'api' WHEN 2 THEN 'auth' WHEN 3 THEN 'ai' ELSE 'cdn' END AS service_type,
   concat('src/f', CAST(s_suppkey % 7 AS STRING)) AS file_path, CAST(s_suppkey % 40 AS INT) AS line_number, CAST(s_suppkey % 8 + 3 AS DOUBLE) / 10 AS confidence
@@ -29,19 +30,21 @@ VIEWS = {
     "h_ports": """SELECT o_orderkey AS id, o_custkey % 25 AS repository_id, CAST(1024 + o_orderkey % 5000 AS INT) AS port,
   CASE o_orderkey % 3 WHEN 0 THEN 'database' WHEN 1 THEN 'cache' ELSE 'http_server' END AS port_type,
   concat('api/f', CAST(o_custkey % 30 AS STRING)) AS file_path, CAST(o_orderkey % 60 AS INT) AS line_number, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderstatus END AS framework FROM orders""",
-    "h_documentation": "SELECT doc_id AS id, doc_id % 25 AS repository_id, concat('docs/', source, '/', CAST(doc_id AS STRING), '.md') AS file_path, concat(source, '.md') AS file_name, source AS doc_type, lang AS title, substr(text, 1, 500) AS content_preview, text AS content FROM documents",
+    "h_documentation": "SELECT doc_id AS id, doc_id % 25 AS repository_id, concat('docs/', source, '/', CAST(doc_id AS STRING), '.md') AS file_path, concat(source, '.md') AS file_name, source AS doc_type, lang AS title, substr(text, 101, 60) AS description, substr(text, 1, 500) AS content_preview, text AS content FROM documents",
     "h_security_entities": "SELECT c_custkey AS id, c_nationkey AS repository_id, c_mktsegment AS entity_type, c_name AS name FROM customer",
-    "h_security_relationships": "SELECT DISTINCT o_custkey AS source_entity_id, (o_custkey * 7) % 149 AS target_entity_id, o_orderpriority AS relationship_type, o_custkey % 25 AS repository_id FROM orders WHERE o_orderkey % 3 = 0",
+    "h_security_relationships": "SELECT DISTINCT o_custkey AS source_entity_id, (o_custkey * 7) % 149 AS target_entity_id, o_orderpriority AS relationship_type, o_custkey % 25 AS repository_id FROM orders",
     "h_vulnerabilities": """SELECT o_orderkey AS id, o_custkey % 25 AS repository_id, o_custkey AS entity_id,
   CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Critical' WHEN '2' THEN 'High' WHEN '3' THEN 'Medium' WHEN '4' THEN 'Low' ELSE 'Info' END AS severity FROM orders""",
     "h_tests": "SELECT event_id AS id, user_id % 25 AS repository_id, concat('test_', event_type) AS name, event_type AS test_framework, concat('tests/t', CAST(user_id % 50 AS STRING)) AS file_path, CAST(event_id % 300 AS INT) AS line_number FROM events",
     "h_tools": "SELECT s_suppkey AS id, s_nationkey AS repository_id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'linter' ELSE 'build_tool' END AS tool_type, concat('c', CAST(s_suppkey % 6 AS STRING)) AS category FROM supplier",
     "h_tool_scripts": "SELECT p_partkey AS id, p_partkey % 100 AS tool_id, p_name AS name, p_type AS command FROM part",
     "h_progress": "SELECT user_id AS repository_id, event_id, event_type AS step_name, ts AS last_updated, value, CASE WHEN event_type IN ('purchase', 'logout') THEN 'complete' ELSE 'running' END AS status FROM events",
+    "h_progress_events": """SELECT user_id AS repository_id, event_id, CASE event_id % 11 WHEN 0 THEN 'start' WHEN 5 THEN 'clear' WHEN 7 THEN 'complete' WHEN 8 THEN 'fail' WHEN 9 THEN 'message' ELSE 'update' END AS kind,
+  CAST(CASE WHEN event_id % 11 = 0 THEN 0 ELSE event_id % 12 END AS INT) AS step, CAST(CASE WHEN event_id % 11 = 0 THEN 11 END AS INT) AS total_steps, event_type AS step_name, concat('m', CAST(event_id AS STRING)) AS message, ts AS at FROM events""",
     "h_keys": "SELECT c_custkey AS id, c_nationkey AS repository_id, CASE c_custkey % 6 WHEN 0 THEN 'ASIA' WHEN 1 THEN 'EUROPE' WHEN 2 THEN 'supplier#00' WHEN 3 THEN NULL ELSE 'generic' END AS provider, concat('Brand#', CAST(c_custkey % 5 + 1 AS STRING), CAST(c_custkey % 5 + 1 AS STRING)) AS file_path, CAST(c_custkey % 200 AS INT) AS line_number FROM customer",
     "h_nodes": """SELECT concat('r', CAST(n_nationkey AS STRING)) AS id, CAST(n_nationkey AS BIGINT) AS repository_id, 'repository' AS node_type, n_name AS name FROM nation
   UNION ALL SELECT concat('c', CAST(p_partkey AS STRING)), CAST(p_partkey % 25 AS BIGINT), 'code_element', p_name FROM part""",
-    "h_edges": """SELECT concat('c', CAST(caller_id AS STRING)) AS source_node_id, concat('c', CAST(callee_id AS STRING)) AS target_node_id, 'related_to' AS edge_type FROM h_code_calls WHERE line_number < 3
+    "h_edges": """SELECT concat('c', CAST(caller_id AS STRING)) AS source_node_id, concat('c', CAST(callee_id AS STRING)) AS target_node_id, 'related_to' AS edge_type FROM h_code_calls
   UNION ALL SELECT concat('r', CAST(p_partkey % 25 AS STRING)), concat('c', CAST(p_partkey AS STRING)), 'has_dependency' FROM part""",
 }
 

@@ -47,6 +47,56 @@ def job_counts(jobs: DataFrame) -> DataFrame:
     return now.agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "running").alias("running"), F.count("*").alias("total"))
 
 
+EVENTS = "repository_id string, event_id long, kind string, step int, total_steps int, step_name string, message string, at timestamp"
+#: What a job may become from what it is.
+TRANSITIONS = {"pending": ("running", "cancelled"), "running": ("completed", "failed", "cancelled")}
+
+
+def progress_state(events: DataFrame, key: str = "repository_id") -> DataFrame:
+    """The state of each run from its events (kind start, update, message, complete, fail or clear), in the order of (at, event_id).
+
+    One aggregate: total steps come from the latest start, the step from the latest start or update. Runs that never
+    started, or were cleared since, aren't there; so are events after a clear.
+    """
+    order = F.struct("at", "event_id")
+
+    def last(value: Column, *kinds: str) -> Column:
+        return F.max_by(F.when(F.col("kind").isin(*kinds), value), F.when(F.col("kind").isin(*kinds), order))
+
+    state = events.groupBy(key).agg(
+        last(F.col("kind"), "start", "clear").alias("open"),
+        last(F.struct("total_steps", F.col("at").alias("started_at")), "start").alias("begun"),
+        last(F.struct("step", "step_name"), "start", "update").alias("now"),
+        last(F.struct("kind", "message", F.col("at").alias("last_updated")), "start", "update", "message", "complete", "fail").alias("last"),
+        last(F.col("kind"), "start", "update", "complete", "fail").alias("said"),
+    )
+    done, failed, total = F.col("said") == "complete", F.col("said") == "fail", F.col("begun.total_steps")
+    step = F.when(done, total).otherwise(F.coalesce("now.step", F.lit(0)))
+    return state.where("open = 'start'").select(
+        key,
+        step.alias("current_step"),
+        total.alias("total_steps"),
+        F.when(done, F.lit("Complete")).when(failed, F.lit("Failed")).otherwise(F.col("now.step_name")).alias("step_name"),
+        F.when(done, F.lit(100.0)).otherwise(percent(step, total)).alias("progress_percent"),
+        F.col("last.message").alias("status_message"),
+        "begun.started_at",
+        "last.last_updated",
+        F.when(done, F.lit("complete")).when(failed, F.lit("failed")).otherwise(F.lit("running")).alias("status"),
+    )
+
+
+def job_states(events: DataFrame) -> DataFrame:
+    """The state of each job from events (job_id, seq, status): those that its state doesn't allow are passed over. Sorted within one job."""
+    order = F.array_sort(F.collect_list(F.struct("seq", "status")))
+    allowed = F.create_map(*[x for k, v in TRANSITIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+
+    def step(now: Column, e: Column) -> Column:
+        first = now.isNull() & (e["status"] == "pending")
+        return F.when(first | F.array_contains(F.coalesce(F.try_element_at(allowed, now), F.array().cast("array<string>")), e["status"]), e["status"]).otherwise(now)
+
+    return events.groupBy("job_id").agg(order.alias("e")).select("job_id", F.aggregate("e", F.lit(None).cast("string"), step).alias("status")).where("status IS NOT NULL")
+
+
 def progress_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     """Latest state over a stream of event files; state is one row for each key."""
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)

@@ -6,14 +6,15 @@ This is the level at which the sum of min(most, level x weight) is the total; it
 for each source.
 
 Within a source documents stand in the order of a hash, epoch after epoch, until the target's words are taken; the last
-one is taken in part. The order is cut into hash buckets: bucket sums are added up over the at most `BUCKETS` rows of a
-source, and words before a document within its own bucket, so that no task holds a whole source.
+one is taken in part. The order is cut into hash buckets of about `BUCKET_ROWS` documents of the whole table (a power of
+two by its count, of which the result doesn't depend): bucket sums are added up over the rows of a source, one for each
+bucket, and words before a document within its own bucket, so that no task holds a whole source.
 
 Each source's weight changes over training: a piecewise linear schedule. Its integral up to time t, times the target, is
 the source's token demand; a document that starts at word c of its source's stream stands where the demand reaches c,
 the inverse of that integral. Documents are sorted by ranges of that position.
 
-Null and empty texts have size 0 and take nothing. A null source is a source of its own. Rows that repeat are mixed like
+Null and empty texts have size 0 and take nothing. A very long text's words are counted in the scan, and it moves whole. A null source is a source of its own. Rows that repeat are mixed like
 different ones: which of them is taken is arbitrary, what is taken of them together is not. Empty tables give an empty
 result. Further columns are not read by `mixture` and are kept by `mixed_documents`.
 """
@@ -31,7 +32,7 @@ from tallgrass.llm.common import WORD, documents, fresh, materialise, partitions
 WEIGHTS = (3, 1, 2)
 TOTAL = 1.5
 MOST = 2
-BUCKETS = 1024
+BUCKET_ROWS = 20_000
 #: For each of WEIGHTS the schedule's (time, weight) knots: the first wanes, the second grows, the third peaks halfway.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 0.75), (0.5, 1.25), (1.0, 0.75)))
 
@@ -84,13 +85,14 @@ def position(share: Column, knots) -> Column:
     return out
 
 
-def mixture(docs: DataFrame, *keep: str, schedules=SCHEDULES, buckets: int = BUCKETS) -> DataFrame:
-    """keep, size, source_size, target, taken, copies (whole documents, the boundary's rounded), position, position_2."""
+def mixture(docs: DataFrame, *keep: str, schedules=SCHEDULES, bucket_rows: int = BUCKET_ROWS, most: int = MOST) -> DataFrame:
+    """keep, size, source_size, target, taken, copies (whole documents, the boundary's rounded), positions: one for each epoch that the document is in."""
     keep = keep or ("doc_id",)
     h = F.xxhash64("doc_id", "text")
-    sizes = docs.select(*keep, "source", word_count(F.col("text")).alias("size"), h.alias("h"))
-    sizes = materialise(sizes.withColumn("bucket", F.shiftrightunsigned("h", 64 - int(math.log2(buckets)))), "sizes")
-    goal = targets(sizes)
+    sizes = materialise(docs.select(*keep, "source", word_count(F.col("text")).alias("size"), h.alias("h")), "sizes")
+    bits = max(1, math.ceil(math.log2(max(1, sizes.count() / bucket_rows))))
+    sizes = sizes.withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
+    goal = targets(sizes, most=most)
     by_bucket = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     g = goal.select(F.col("source").alias("g_source"), "source_size", "place", "target")
@@ -114,7 +116,8 @@ def mixture(docs: DataFrame, *keep: str, schedules=SCHEDULES, buckets: int = BUC
         return F.when((taken > epoch * F.col("size")) | (F.col("copies") > epoch), by_place)
 
     out = rows.withColumn("copies", copies)
-    return out.select(*keep, "size", "source_size", "target", taken.alias("taken"), "copies", at(0).alias("position"), at(1).alias("position_2"))
+    positions = F.array_compact(F.array(*[at(k) for k in range(math.ceil(most))]))
+    return out.select(*keep, "size", "source_size", "target", taken.alias("taken"), "copies", positions.alias("positions"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -122,14 +125,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     number, digest, at = fresh(docs, "key_number"), fresh(docs, "key_digest"), fresh(docs, "mix_position")
     marked = docs.withColumns({number: F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), digest: row_digest("doc_id", "text", "source")})
     made = mixture(marked.select("doc_id", "text", "source", number, digest), number, digest).where("copies > 0")
-    places = made.select(number, digest, F.explode(F.slice(F.array("position", "position_2"), 1, F.col("copies").cast("int"))).alias(at))
+    places = made.select(number, digest, F.explode(F.slice("positions", 1, F.col("copies").cast("int"))).alias(at))
     # rows of one key are the same here; each of their copies has a place of its own
-    out = marked.dropDuplicates([number, digest]).join(places.hint("shuffle_hash"), [number, digest])
+    out = marked.dropDuplicates([number, digest]).join(places, [number, digest])
     return out.repartitionByRange(partitions(docs.sparkSession), at, number, digest).sortWithinPartitions(at, number, digest).select(*docs.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = mixture(documents(spark, sf_dir, "doc_id", "text", "source"), "doc_id")
-    made = made.select("doc_id", "size", "source_size", "target", "taken", "position", "position_2")
+    made = made.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"), F.get("positions", F.lit(1)).alias("position_2"))
     order = (F.col("position").isNull(), F.col("position"), F.col("doc_id"))
     return made.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)

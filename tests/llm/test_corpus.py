@@ -50,7 +50,7 @@ def test_near_duplicates(spark, group):
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     root = brute.groups([brute.fingerprint(x) for _, x, _ in rows])
     want = sorted(((i, min((rows[k][0] for k in range(len(rows)) if root[k] == r and rows[k][0] is not None), default=None)) for (i, _, _), r in zip(rows, root, strict=True)), key=str)
-    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(df.drop("fp"), "doc_id", group=group).collect()), key=str)
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(df, "doc_id", group=group).collect()), key=str)
     assert got == want
     kept = simhash.without_near_duplicates(df)
     assert kept.columns == df.columns
@@ -189,7 +189,7 @@ def test_mixture(spark):
     rng = random.Random(7)
     rows = [(i, " ".join(WORDS[: rng.randint(0, 60)]), rng.choice(["a", "b", "é", "𝒳", "Z", None, "big", "big", "big", "big"])) for i in range(600)]
     rows += [(1000, None, "a"), (1001, "", None), (1002, " \n", "only empty"), (None, "x y z", "a"), (3, rows[3][1], rows[3][2])]
-    df, got = mixed(spark, rows, buckets=4)
+    df, got = mixed(spark, rows, bucket_rows=150)
     sizes = {}
     for _, t, s in rows:
         sizes[s] = sizes.get(s, 0) + len((t or "").split())
@@ -199,10 +199,10 @@ def test_mixture(spark):
     for r in got:
         s = by_id[r.doc_id]
         assert r.source_size == sizes[s] and r.target == pytest.approx(want[s]) and 0 <= r.taken <= 2 * r.size
-        assert (r.position is None) == (r.taken == 0 and r.copies == 0) and (r.position is None or 0 <= r.position <= 1)
+        assert (not r.positions) == (r.taken == 0 and r.copies == 0) and r.positions == sorted(r.positions) and all(0 <= x <= 1 for x in r.positions)
         taken[s] = taken.get(s, 0) + r.taken
     assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= 0.5 for s in want)
-    again = mixing.mixture(df.drop("size").repartition(7), "doc_id", buckets=4).collect()
+    again = mixing.mixture(df.drop("size").repartition(7), "doc_id", bucket_rows=40).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
     out = mixing.mixed_documents(df)
     assert out.columns == df.columns
@@ -216,6 +216,37 @@ def test_mixture(spark):
     assert mixing.mixed_documents(df.limit(0)).count() == 0 and mixing.mixture(df.limit(0), "doc_id").count() == 0
 
 
+def plain_taken(rows, want):
+    """By row the words that the mix takes: each source's documents in the order of their hashes, again and again."""
+    out = {}
+    for source, goal in want.items():
+        own = sorted((h, k, n) for k, (h, s, n) in rows.items() if s == source)
+        left = round(goal)
+        while left > 0 and any(n for *_, n in own):
+            for _, k, n in own:
+                out[k] = out.get(k, 0) + min(n, max(left, 0))
+                left -= min(n, max(left, 0))
+    return out
+
+
+def test_taken_by_brute_force_for_any_most(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(21)
+    rows = [(i, " ".join(f"w{i}" for _ in range(rng.randint(0, 40))), rng.choice(["a", "a", "a", "a", "b", "c"])) for i in range(120)] + [(500, "long " * 30_000, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    known = {r.doc_id: (r.h, r.source, len(r.text.split())) for r in df.withColumn("h", F.xxhash64("doc_id", "text")).collect()}
+    unsigned = {k: ((h + (1 << 64)) % (1 << 64), s, n) for k, (h, s, n) in known.items()}
+    for most in (1, 2, 3):
+        sizes = df.select("source", mixing.word_count(F.col("text")).alias("size"))
+        want = {r.source: r.target for r in mixing.targets(sizes, most=most).collect()}
+        got = mixing.mixture(df, "doc_id", bucket_rows=30, most=most).collect()
+        # buckets are the top bits of the hash as an unsigned number, and within one the signed order is the same
+        plain = plain_taken(unsigned, want)
+        assert {r.doc_id: r.taken for r in got} == {k: plain.get(k, 0) for k in known}
+        assert all(len(r.positions) >= r.copies for r in got) and max(r.copies for r in got) == most
+
+
 def test_positions_invert_the_schedule(spark):
     for knots in (*mixing.SCHEDULES, ((0.0, 1.0), (0.3, 1.0), (0.6, 0.1), (1.0, 2.0))):
         df = spark.range(0, 101).selectExpr("id / 100.0D as share").withColumn("t", mixing.position(mixing.F.col("share"), knots))
@@ -224,7 +255,7 @@ def test_positions_invert_the_schedule(spark):
         area = np.concatenate(([0], np.cumsum((w[1:] + w[:-1]) / 2)))
         for r in df.collect():
             assert abs(np.interp(r.t, t, area / area[-1]) - r.share) < 1e-4
-    early = [r.position for r in mixed(spark, [(i, "w " * 10, s) for i in range(90) for s in ("a", "b")])[1] if r.position is not None]
+    early = [r.positions[0] for r in mixed(spark, [(i, "w " * 10, s) for i in range(90) for s in ("a", "b")])[1] if r.positions]
     assert statistics.fmean(early) < 0.6
 
 

@@ -95,3 +95,33 @@ def test_section_counts(spark, coder):
     fields = {r.doc_id: r for r in token_counts.field_counts(df, "doc_id", ["n_tokens", "text"]).collect()}
     assert fields[1].n_sections == 2 and sum(fields[1].section_tokens) == len(coder.tokenizer.encode("a\none two\nthree").ids)
     assert token_counts.line_counts(df.limit(0)).count() == 0
+
+
+def plain_sections(coder, sections):
+    """Tokens of each section and crossing ones, from the library's own offsets, character by character."""
+    text = "".join(sections)
+    owner = [k for k, x in enumerate(sections) for _ in x]
+    counts, crossing = [0] * len(sections), 0
+    for a, b in coder.tokenizer.encode(text, add_special_tokens=False).offsets:
+        inside = owner[a:b]
+        counts[max(sorted(set(inside)), key=inside.count)] += 1  # the earliest of those with most characters
+        crossing += len(set(inside)) > 1
+    return sum(counts), counts, crossing
+
+
+def test_counts_by_brute_force(spark, coder):
+    import random
+
+    rng = random.Random(31)
+    pieces = ["word", " two", "\n", "\n\n", "  ", "é", "日本", "!!!\n", "\t", "it's", " 123", "🎉", "a\nb", "<|endoftext|>"]
+    texts = [None, "", *ODD, *("".join(rng.choice(pieces) for _ in range(rng.randint(1, 40))) for _ in range(40)), "long line of words " * 20_000 + "\n" + "x\n" * 5_000]
+    rows = [(k, t, rng.choice(texts[:-1]), "own") for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lengths string, section_tokens string")
+    got = {r.doc_id: r for r in token_counts.line_counts(df).collect()}
+    fields = {r.doc_id: r for r in token_counts.field_counts(df, "doc_id", ["lengths", "text"]).collect()}
+    for k, t, other, _ in rows:
+        lines = (t or "").split("\n")
+        n, counts, crossing = plain_sections(coder, [x + "\n" * (i + 1 < len(lines)) for i, x in enumerate(lines)])
+        assert (got[k].n_tokens, got[k].section_tokens, got[k].n_crossing, got[k].n_sections) == (n, counts, crossing, len(lines)), k
+        n, counts, crossing = plain_sections(coder, [(other or "") + "\n", t or ""])
+        assert (fields[k].n_tokens, fields[k].section_tokens, fields[k].n_crossing) == (n, counts, crossing), k

@@ -6,6 +6,9 @@ all are filtered by built-in predicates first, and only those reach it, in Arrow
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,41 +98,20 @@ def from_aws_v2(content: Column, lines: Column, rules: Rules) -> Column:
     return F.when(~low.contains("aws-sdk"), F.array().cast(SERVICE)).when(F.size(some) > 0, some).otherwise(plain)
 
 
-def code_places(text: str, language: str | None) -> list[bool]:
-    """For each character whether it stands in code: neither in a comment nor within a string.
+def _tokens(*tokens: str) -> re.Pattern:
+    return re.compile("|".join(tokens))
+
+
+_STRINGS = (r"'(?:\\[\s\S]?|[^'\\\n])*(?:['\n]|\Z)", r'"(?:\\[\s\S]?|[^"\\\n])*(?:["\n]|\Z)')
+#: Comments (group c) and strings of Python, and of the languages with // and /* */ and backticks.
+PYTHON_TOKENS = _tokens(r"(?P<c>#[^\n]*\n?)", r"(?P<t>\"\"\"|''')[\s\S]*?(?:(?P=t)|\Z)", *_STRINGS)
+OTHER_TOKENS = _tokens(r"(?P<c>//[^\n]*\n?|/\*[\s\S]*?(?:\*/|\Z))", r"(?P<t>`)(?:\\[\s\S]?|[^`\\])*(?:`|\Z)", *_STRINGS)
 
-    An opening quote still counts as code. Python has # comments and triple quotes, the others // and /* */ and backticks.
-    """
-    python = language == "python"
-    out, i, n, closing = [], 0, len(text), None
-    while i < n:
-        c = text[i]
-        if closing is None:
-            three = text[i : i + 3]
-            if python and c == "#" or not python and text[i : i + 2] == "//":
-                closing, step, code = "\n", 1, False
-            elif not python and text[i : i + 2] == "/*":
-                closing, step, code = "*/", 2, False
-            elif python and three in ('"""', "'''"):
-                closing, step, code = three, 3, True
-            elif c in "\"'" or c == "`" and not python:
-                closing, step, code = c, 1, True
-            else:
-                step, code = 1, True
-            out += [code] * step
-            i += step
-        elif closing in ('"', "'", "`") and c == "\\":
-            out += [False] * min(2, n - i)
-            i += 2
-        elif closing in ('"', "'") and c == "\n" or text.startswith(closing, i):
-            step = 1 if c == "\n" else len(closing)
-            out += [False] * step
-            i += step
-            closing = None
-        else:
-            out.append(False)
-            i += 1
-    return out[:n]
+
+def not_code(text: str, language: str | None) -> list[tuple[int, int]]:
+    """Where comments and strings are, in order. An opening quote still counts as code."""
+    pattern = PYTHON_TOKENS if language == "python" else OTHER_TOKENS
+    return [(m.start() + (0 if m["c"] else len(m["t"] or "'")), m.end()) for m in pattern.finditer(text)]
 
 
 def sdk_hits(content: str, language: str | None, rules: Rules) -> list[tuple]:
@@ -137,12 +119,14 @@ def sdk_hits(content: str, language: str | None, rules: Rules) -> list[tuple]:
 
     An import's module name is a string by itself: the place that counts is where the import's own words begin.
     """
-    import re
-
-    low = content.lower()
-    code, found = code_places(low, language), []
+    low, found = content.lower(), []
+    hidden = not_code(low, language)
     line_of = lambda p: low.count("\n", 0, p) + 1
-    inside = lambda p: p < len(code) and code[p]
+
+    def inside(p: int) -> bool:
+        k = bisect_right(hidden, (p, len(low) + 1)) - 1
+        return p < len(low) and not (k >= 0 and p < hidden[k][1])
+
     for m in re.finditer(r"@aws-sdk/client-([a-z0-9-]+)", low):
         begun = low.rfind("\n", 0, m.start()) + 1
         lead = re.search(r"\b(?:import|from|require)\b", low[begun : m.start()])

@@ -143,7 +143,7 @@ plan("a12_rollup", "SELECT 'repository' AS node_type, count(*) AS n FROM h_nodes
 
 
 def _graph(h: Hosts):
-    return G.build_graph({"repositories": h.repositories, "dependencies": h.dependencies, "services": h.services, "ports": h.ports, "endpoints": h.endpoints})
+    return G.build_graph({"repositories": h.repositories, "dependencies": P.saved(h.dependencies), "services": h.services, "ports": h.ports, "endpoints": h.endpoints})
 
 
 DOC_SQL = """SELECT id, CAST(len(list_filter(regexp_split_to_array(content, '[\\s\\x0b\\x{85}\\x{a0}\\x{2028}\\x{2029}\\x{3000}]+'), lambda w: w <> '')) AS BIGINT) AS word_count,

@@ -177,3 +177,41 @@ def test_catalog_orders(spark):
     assert [r.id for r in catalog.vulnerabilities(v).collect()] == [1, 5, 3, 4, 0, 2]
     tests = spark.createDataFrame([(i, "r", "pytest", f"f{i % 3}", (i * 5) % 7) for i in range(15)], "id int, repository_id string, test_framework string, file_path string, line_number int")
     assert [(r.file_path, r.line_number, r.id) for r in catalog.tests(tests).collect()] == sorted((f"f{i % 3}", (i * 5) % 7, i) for i in range(15))
+
+
+def test_skip_rules_one_by_one(spark):
+    long = "x" * 300
+    rows = {
+        "src/a.py": "a\n", ".hidden.py": "a\n", ".env.local": "A=1\n", "node_modules/a.js": "a\n", "venv/lib/a.py": "a\n", "vendor/a.py": "a\n", "build/a.js": "a\n", "docs/big.txt": "y" * ((1 << 20) + 1),
+        "README.md": "# x\n", "README": "x\n", "docs/.x.md": "x\n", "long.js": f"{long}\n{long}\n", "few.js": "ab cd " * 200, "dense.js": "abcdefghij\n" * 120 + "k" * 4, "packed.js": ("!function(" + "a" * 60 + "(function\n") * 3,
+        "mapped.js": "a = 1;\n" * 30 + "//# sourceMappingURL=a.map\n", "app.bundle.x": "a = 1;\n" * 30 + "__webpack_require__\n", "short.js": "x" * 99,
+    }
+    files = corpus_of(spark, {"r": rows})
+    named = lambda c: {r.path for r in files.where(c).collect()}
+    assert named(corpus.skipped_by_security()) >= {".hidden.py", "node_modules/a.js", "venv/lib/a.py"} and ".env.local" not in named(corpus.skipped_by_security())
+    assert {"vendor/a.py", "docs/big.txt"} <= named(corpus.skipped_by_secrets()) and "src/a.py" not in named(corpus.skipped_by_secrets())
+    assert named(corpus.documented()) == {"README.md", "README", "docs/big.txt"}
+    assert named(corpus.minified()) == {"long.js", "few.js", "mapped.js", "app.bundle.x", "docs/big.txt"} | ({"packed.js"} & named(corpus.minified())) | ({"dense.js"} & named(corpus.minified()))
+    assert "short.js" not in named(corpus.minified()) and {"long.js", "mapped.js", "docs/big.txt"} <= named(corpus.minified_document())
+    assert {r.path for r in files.where(corpus.build_artifact(F.col("path"))).collect()} == {"node_modules/a.js", "build/a.js"}
+
+
+def test_unknown_types_and_tests_in_the_graph(spark):
+    df = spark.createDataFrame([("service",), ("odd",)], "t string").select(graph.known_type(F.col("t"), graph.NODE_TYPES, "code_element").alias("k"))
+    assert {r.k for r in df.collect()} == {"service", "code_element"}
+    t = {"repositories": spark.createDataFrame([("r", "R")], "id string, name string"), "tests": spark.createDataFrame([("t1", "r", "a", "jest", "f", 1), ("t2", "r", "b", "jest", "f", 2)], "id string, repository_id string, name string, test_framework string, file_path string, line_number int")}
+    nodes, edges = graph.build_graph(t)
+    assert {r.node_type: r["count"] for r in nodes.groupBy("node_type").count().collect()} == {"repository": 1, "test": 2, "test_framework": 1}
+    assert {r.edge_type: r["count"] for r in edges.groupBy("edge_type").count().collect()} == {"has_test": 2, "test_uses_framework": 2}
+
+
+def test_configs_and_page_routes(spark):
+    from tallgrass.operators import endpoints, services
+
+    files = corpus_of(spark, {"r": {"iam-policy.json": '{"a": 1}', "security.yaml": "a: 1\n", "auth-config.conf": "x" * 500, "pages/api/users/[id].js": "export default function handler(req, res) {}\n", "app.env": "A=1\n"}})
+    got = {r.file_path: r.configuration for r in security.security_configs(files).collect()}
+    assert set(got) == {"iam-policy.json", "security.yaml", "auth-config.conf"} and got["iam-policy.json"]["config_type"] == "json" and got["security.yaml"]["config_type"] == "yaml" and "content" not in got["auth-config.conf"]
+    assert {(r.path, r.method, r.framework) for r in endpoints.detect_endpoints(files).collect()} == {("/api/users/[id]", "ANY", "nextjs")}
+    names = [("main.tf", "infrastructure"), ("cloudformation.json", "infrastructure"), ("app.yml", "config"), ("config.py", "config"), ("a.py", "code"), ("a.bin", None)]
+    df = spark.createDataFrame([(n,) for n, _ in names], "n string").withColumn("c", services.file_class(F.col("n")))
+    assert {r.n: r.c for r in df.collect()} == dict(names)

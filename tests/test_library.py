@@ -76,13 +76,51 @@ def test_plugins(spark):
     assert [x.name for x in e.collect()] == ["n"] and r.count() == 0
 
 
-def test_code_places():
-    text = "a = 'x' # y\n\"\"\"z\n\"\"\"\nb"
-    places = services.code_places(text, "python")
-    assert len(places) == len(text) and places[0] and not places[text.index("x")] and not places[text.index("y")] and not places[text.index("z")] and places[-1]
-    js = "// c\nlet s = `t`; /* u */ v"
-    places = services.code_places(js, "javascript")
-    assert not places[js.index("c")] and not places[js.index("t`")] and not places[js.index("u ")] and places[-1]
+def code_places(text, language):
+    """For each character whether it stands in code, character by character."""
+    python = language == "python"
+    out, i, n, closing = [], 0, len(text), None
+    while i < n:
+        c = text[i]
+        if closing is None:
+            three = text[i : i + 3]
+            if python and c == "#" or not python and text[i : i + 2] == "//":
+                closing, step, code = "\n", 1, False
+            elif not python and text[i : i + 2] == "/*":
+                closing, step, code = "*/", 2, False
+            elif python and three in ('"""', "'''"):
+                closing, step, code = three, 3, True
+            elif c in "\"'" or c == "`" and not python:
+                closing, step, code = c, 1, True
+            else:
+                step, code = 1, True
+            out += [code] * step
+            i += step
+        elif closing in ('"', "'", "`") and c == "\\":
+            out += [False] * min(2, n - i)
+            i += 2
+        elif closing in ('"', "'") and c == "\n" or text.startswith(closing, i):
+            step = 1 if c == "\n" else len(closing)
+            out += [False] * step
+            i += step
+            closing = None
+        else:
+            out.append(False)
+            i += 1
+    return out[:n]
+
+
+def test_comments_and_strings():
+    import random
+
+    rng = random.Random(1)
+    for language in ("python", "javascript"):
+        for _ in range(3000):
+            text = "".join(rng.choice(["a", " ", "\n", "'", '"', "`", "#", "//", "/*", "*/", "\\", '"""', "'''"]) for _ in range(rng.randint(0, 25)))
+            code = [True] * len(text)
+            for a, b in services.not_code(text, language):
+                code[a:b] = [False] * (min(b, len(text)) - a)
+            assert code == code_places(text, language), (language, text)
 
 
 def test_yaml():

@@ -6,9 +6,9 @@ This is the level at which the sum of min(most, level x weight) is the total; it
 for each source.
 
 Within a source documents stand in the order of a hash, epoch after epoch, until the target's words are taken; the last
-one is taken in part. The order is cut into hash buckets of about `BUCKET_ROWS` documents of the whole table (a power of
-two by its count, of which the result doesn't depend): bucket sums are added up over the rows of a source, one for each
-bucket, and words before a document within its own bucket, so that no task holds a whole source.
+one is taken in part. The order is cut into hash buckets, about `BUCKETS` times the root of the table's count of documents
+(the result doesn't depend on it): bucket sums are added up over the rows of a source, one for each bucket, and words before
+a document within its own bucket. Both are then about the root of the count, so that no task holds a whole source.
 
 Each source's weight changes over training: a piecewise linear schedule. Its integral up to time t, times the target, is
 the source's token demand; a document that starts at word c of its source's stream stands where the demand reaches c,
@@ -32,7 +32,7 @@ from tallgrass.llm.common import WORD, documents, fresh, materialise, partitions
 WEIGHTS = (3, 1, 2)
 TOTAL = 1.5
 MOST = 2
-BUCKET_ROWS = 20_000
+BUCKETS = 4
 #: For each of WEIGHTS the schedule's (time, weight) knots: the first wanes, the second grows, the third peaks halfway.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 0.75), (0.5, 1.25), (1.0, 0.75)))
 
@@ -85,12 +85,12 @@ def position(share: Column, knots) -> Column:
     return out
 
 
-def mixture(docs: DataFrame, *keep: str, schedules=SCHEDULES, bucket_rows: int = BUCKET_ROWS, most: int = MOST) -> DataFrame:
+def mixture(docs: DataFrame, *keep: str, schedules=SCHEDULES, buckets: float = BUCKETS, most: int = MOST) -> DataFrame:
     """keep, size, source_size, target, taken, copies (whole documents, the boundary's rounded), positions: one for each epoch that the document is in."""
     keep = keep or ("doc_id",)
     h = F.xxhash64("doc_id", "text")
     sizes = materialise(docs.select(*keep, "source", word_count(F.col("text")).alias("size"), h.alias("h")), "sizes")
-    bits = max(1, math.ceil(math.log2(max(1, sizes.count() / bucket_rows))))
+    bits = max(1, math.ceil(math.log2(max(2.0, buckets * math.sqrt(sizes.count())))))
     sizes = sizes.withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
     goal = targets(sizes, most=most)
     by_bucket = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("n"))

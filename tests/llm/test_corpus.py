@@ -189,7 +189,7 @@ def test_mixture(spark):
     rng = random.Random(7)
     rows = [(i, " ".join(WORDS[: rng.randint(0, 60)]), rng.choice(["a", "b", "é", "𝒳", "Z", None, "big", "big", "big", "big"])) for i in range(600)]
     rows += [(1000, None, "a"), (1001, "", None), (1002, " \n", "only empty"), (None, "x y z", "a"), (3, rows[3][1], rows[3][2])]
-    df, got = mixed(spark, rows, bucket_rows=150)
+    df, got = mixed(spark, rows, buckets=0.1)
     sizes = {}
     for _, t, s in rows:
         sizes[s] = sizes.get(s, 0) + len((t or "").split())
@@ -202,7 +202,7 @@ def test_mixture(spark):
         assert (not r.positions) == (r.taken == 0 and r.copies == 0) and r.positions == sorted(r.positions) and all(0 <= x <= 1 for x in r.positions)
         taken[s] = taken.get(s, 0) + r.taken
     assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= 0.5 for s in want)
-    again = mixing.mixture(df.drop("size").repartition(7), "doc_id", bucket_rows=40).collect()
+    again = mixing.mixture(df.drop("size").repartition(7), "doc_id", buckets=2).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
     out = mixing.mixed_documents(df)
     assert out.columns == df.columns
@@ -240,7 +240,7 @@ def test_taken_by_brute_force_for_any_most(spark):
     for most in (1, 2, 3):
         sizes = df.select("source", mixing.word_count(F.col("text")).alias("size"))
         want = {r.source: r.target for r in mixing.targets(sizes, most=most).collect()}
-        got = mixing.mixture(df, "doc_id", bucket_rows=30, most=most).collect()
+        got = mixing.mixture(df, "doc_id", buckets=1, most=most).collect()
         # buckets are the top bits of the hash as an unsigned number, and within one the signed order is the same
         plain = plain_taken(unsigned, want)
         assert {r.doc_id: r.taken for r in got} == {k: plain.get(k, 0) for k in known}

@@ -50,11 +50,23 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read again: computed once, and safe when executors are lost."""
+def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read again, and its path."""
     path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared folder and read again: computed once, and safe when executors are lost."""
+    return written(df, tag)[0]
+
+
+def release(spark: SparkSession, *paths: str) -> None:
+    """Deletes written tables that nothing reads any more, before the driver ends."""
+    for path in paths:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def bounded(df: DataFrame, written: DataFrame | None = None, most: int = BROADCAST_ROWS) -> DataFrame:

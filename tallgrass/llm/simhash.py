@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import bounded, documents, fresh, materialise, partitions, row_digest, small_batches
+from tallgrass.llm.common import bounded, documents, fresh, materialise, partitions, release, row_digest, small_batches, written
 
 RADIUS = 3
 BLOCKS = 5
@@ -245,17 +245,20 @@ def components(edges: DataFrame) -> DataFrame:
     """For each node of edges (a, b) other than its group's smallest: node, root (the smallest node that it reaches)."""
     spark = edges.sparkSession
     once = lambda df: df.repartition(partitions(spark), "u", "v").distinct()  # noqa: E731  after a join dealt by one node: the links of a node in many groups' midst are spread again
-    now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
+    now, path = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        least = bounded(materialise(least, "least"))  # written, so that Spark can split the rows of a node with many links
-        large = materialise(once(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")), "large")
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(bounded(materialise(lower, "lower")), "u")
+        least, p1 = written(least, "least")  # written, so that Spark can split the rows of a node with many links
+        large = once(both.where("v > u").join(bounded(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v"))
+        large, p2 = written(large, "large")
+        lower, p3 = written(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
+        small = large.join(bounded(lower), "u")
         step = once(small.select("u", F.col("m").alias("v")).union(small.select("v", "m").where("v > m")))
-        now = materialise(step, "links")
+        before = (path, p1, p2, p3)
+        now, path = written(step, "links")
+        release(spark, *before)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -55,10 +55,20 @@ def count_of(value: Column, part: str) -> Column:
     return F.size(F.split(value, "[" + part + "]", -1)) - 1
 
 
+# What shows that a value refers to something, that a line documents or declares, and names of keys.
+REFERRING = ("${", "$(", "{{", "process.env", "process['env']", 'process["env"]', "getenv", "environ", "config.", "env.", "process.")
+COMMENTS = ("//", "#")
+COMMENT_PARTS = ("/*", "*/", "<!--")
+DECLARING = ("interface", "typedef")
+OTHER_TOKENS = ("jsonwebtoken", "jwt", "csrf", "refresh", "session")
+DOCUMENTING = ("example", "sample", "placeholder", "your_", "replace_")
+KEY_VARIABLES = ("secret", "token", "auth", "credential", "password", "access")
+
+
 def looks_like_key(value: Column) -> Column:
     """Not a template, reference, URL, path or phrase; 20 bytes or more; at least 70 % letters and digits."""
     v = F.regexp_replace(strip(value), "^[\"'`]+|[\"'`]+$", "")
-    reference = any_of(v, "${", "$(", "{{", "process.env", "process['env']", 'process["env"]', "getenv", "environ", "config.", "env.", "process.") | v.startswith("$")
+    reference = any_of(v, *REFERRING) | v.startswith("$")
     access = v.contains(".") & (count_of(v, ".") <= 2) & (F.octet_length(v) < 40) & ~v.rlike(r"(?U)[^\p{Alnum}._${}]")
     path = v.contains("://") | (count_of(v, "/") > 1) | v.contains("\\")
     spaced = v.contains(" ") & ~starts_with_any(v, "sk_", "pk_")
@@ -71,17 +81,17 @@ def false_positive(line: Column, name: Column) -> Column:
     """Comments, type definitions, other kinds of token, and documentation's examples."""
     low, key = F.lower(line), F.lower(name)
     lead = F.ltrim(low)
-    comment = starts_with_any(lead, "//", "#") | any_of(low, "/*", "*/", "<!--")
+    comment = starts_with_any(lead, *COMMENTS) | any_of(low, *COMMENT_PARTS)
     bare = (key == "key") & ~any_of(low, "api", "secret")
-    typed = any_of(low, "interface", "typedef") | (low.contains("type ") & low.contains("="))
+    typed = any_of(low, *DECLARING) | (low.contains("type ") & low.contains("="))
     parameter = low.contains("function") & F.contains(low, key) & ~low.contains("=")
-    other = key.contains("token") & any_of(low, "jsonwebtoken", "jwt", "csrf", "refresh", "session")
-    return comment | bare | typed | parameter | other | any_of(low, "example", "sample", "placeholder", "your_", "replace_")
+    other = key.contains("token") & any_of(low, *OTHER_TOKENS)
+    return comment | bare | typed | parameter | other | any_of(low, *DOCUMENTING)
 
 
 def is_key_variable(name: Column) -> Column:
     low = F.lower(name)
-    return (low.contains("api") & low.contains("key")) | any_of(low, "secret", "token", "auth", "credential", "password", "access")
+    return (low.contains("api") & low.contains("key")) | any_of(low, *KEY_VARIABLES)
 
 
 def keys_in_line(line: Column, i: Column, extra: tuple[str, ...] = ()) -> Column:

@@ -244,18 +244,22 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], most: int = 1 << 14) -> Ite
 def components(edges: DataFrame) -> DataFrame:
     """For each node of edges (a, b) other than its group's smallest: node, root (the smallest node that it reaches)."""
     spark = edges.sparkSession
-    once = lambda df: df.repartition(partitions(spark), "u", "v").distinct()  # noqa: E731  after a join dealt by one node: the links of a node in many groups' midst are spread again
+
+    def once(links: DataFrame, minima: DataFrame) -> DataFrame:
+        """Each link once. Where the minima were too many to broadcast, links lie by one node, and are spread again first."""
+        return (links if bounded(minima) is not minima else links.repartition(partitions(spark), "u", "v")).distinct()
+
     now, path = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         least, p1 = written(least, "least")  # written, so that Spark can split the rows of a node with many links
-        large = once(both.where("v > u").join(bounded(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v"))
+        large = once(both.where("v > u").join(bounded(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v"), least)
         large, p2 = written(large, "large")
         lower, p3 = written(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
         small = large.join(bounded(lower), "u")
-        step = once(small.select("u", F.col("m").alias("v")).union(small.select("v", "m").where("v > m")))
+        step = once(small.select("u", F.col("m").alias("v")).union(small.select("v", "m").where("v > m")), lower)
         before = (path, p1, p2, p3)
         now, path = written(step, "links")
         release(spark, *before)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallgrass.llm import decontaminate, licenses, line_dedup, merkle, mixing, quality, secret_scan, simhash, token_counts, token_files, url_filter
+from tallgrass.llm import decontaminate, licenses, line_dedup, merkle, mixing, quality, ranked_search, secret_scan, simhash, token_counts, token_files, url_filter
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_simhash": simhash.op9_simhash,
     "op10_quality": quality.op10_quality,
+    "op11_ranked_search": ranked_search.op11_ranked_search,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
@@ -23,5 +24,6 @@ ORACLES = {
     "op1_license_scan": licenses.SQL,
     "op2_url_filter": url_filter.SQL,
     "op5_decontaminate": decontaminate.SQL,
+    "op11_ranked_search": ranked_search.SQL,
     "op13_merkle_manifest": merkle.SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallgrass.llm import decontaminate, licenses, line_dedup, merkle, mixing, quality, ranked_search, secret_scan, simhash, token_counts, token_files, url_filter
+from tallgrass.llm import decontaminate, licenses, line_dedup, merkle, mixing, quality, ranked_search, secret_scan, simhash, token_counts, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_quality": quality.op10_quality,
     "op11_ranked_search": ranked_search.op11_ranked_search,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 

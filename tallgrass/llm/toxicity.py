@@ -1,6 +1,6 @@
 """Toxicity by compression distance: zstandard dictionaries of ordinary and of toxic text, and how much shorter windows get.
 
-A text's bytes, A-Z lower-cased, are cut into windows of `WINDOW` bytes, one every `STEP`. Each is compressed twice: with the
+A text's bytes, A-Z lower-cased, between two spaces, are cut into windows of `WINDOW` bytes, one every `STEP`. Each is compressed twice: with the
 dictionary of ordinary text, and with that of toxic text, which stands before the same ordinary text. What the second saves is
 0 for text that the toxic dictionary doesn't know, whatever its language, and several bytes where a window holds what toxic
 texts say and ordinary ones don't.
@@ -78,7 +78,7 @@ class Savings:
         """The bytes that the toxic dictionary saves in each window of a text."""
         if not text:
             return np.zeros(1, np.int64)
-        text = folded(text)
+        text = b" " + folded(text) + b" "
         starts = np.arange(0, max(1, len(text) - WINDOW + STEP), STEP, dtype=np.uint64)
         cuts = np.stack([starts, np.minimum(WINDOW, len(text) - starts.astype(np.int64)).astype(np.uint64)], axis=1)
         saved = []
@@ -269,7 +269,7 @@ def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     schema = ", ".join(f"{k} {f.dataType.simpleString()}" for k, f in zip(kept, own.schema.fields, strict=True))
     given = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)], F.col("text").alias("body"))
     out = given.mapInArrow(score, f"{schema}, score double")
-    return out.select(*[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)], F.round("score", 9).alias("score"))
+    return out.select(*[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)], F.round("score", 8).alias("score"))
 
 
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 #: Candidates that are no secrets: UUIDs and paths of plain words.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^(?:[a-z]+[-_/])*[a-z]+[-_/]?\d{0,4}$",
+    r"^(?!.*[-_/]{2})[a-z][a-z/_-]*\d{0,4}$",  # no repeated group: Java's matcher recurses for each turn of one
 )
 #: Parts of candidates that are no secrets: placeholders, one character again and again, counting strings, dates.
 ALLOWED_PARTS = (
@@ -113,17 +113,13 @@ def entropy_span(value: str, limit: str, window: int = WINDOW) -> str:
     return f"transform(array(named_struct('c', {codes}, 'x', {table}, 'm', {limit})), w -> aggregate(sequence(0, size(w.c) - 1), {start}, (a, i) -> {step}, a -> named_struct('first', a.first, 'last', a.last)))[0]"
 
 
-def _pieces(m: Column, parts: str) -> Column:
-    """The pieces of a candidate (start, value) between the matches of parts, with their starts."""
-    hits, between = F.regexp_extract_all(m["value"], F.lit(parts), F.lit(0)), F.split(m["value"], parts, -1)
-    cut = F.struct(m["start"].alias("start"), hits.alias("hits"), between.alias("between"))
-
-    def placed(c: Column) -> Column:
-        before = lambda k: F.aggregate(F.zip_with(F.slice(c["between"], 1, k), F.slice(c["hits"], 1, k), lambda p, h: F.length(p) + F.length(h)), F.lit(0), lambda a, n: a + n)
-        return F.transform(c["between"], lambda p, k: F.struct((c["start"] + before(k)).alias("start"), p.alias("value")))
-
-    one = F.array(F.struct(m["start"].alias("start"), m["value"].alias("value")))
-    return F.when(m["value"].rlike(parts), F.element_at(F.transform(F.array(cut), placed), 1)).otherwise(one)
+def _pieces(parts: str) -> str:
+    """SQL: for each candidate the pieces (start, value) between the matches of parts, in time near its length."""
+    pattern = parts.replace("\\", "\\\\").replace("'", "\\'")
+    lengths = "transform(c.between, (p, k) -> cast(length(p) + coalesce(length(get(c.hits, k)), 0) as bigint))"
+    cut = f"named_struct('hits', regexp_extract_all(m.value, '{pattern}', 0), 'between', split(m.value, '{pattern}', -1))"
+    placed = f"transform({prefix_sums(lengths)}, (b, k) -> named_struct('start', m.start + b, 'value', c.between[k]))"
+    return f"transform(candidate, m -> if(m.value rlike '{pattern}', transform(array({cut}), c -> {placed})[0], array(named_struct('start', m.start, 'value', m.value))))"
 
 
 def scan_secrets(docs: DataFrame, *keep: str, thresholds: dict[str, float] = THRESHOLDS, allowed=ALLOWED, allowed_parts=ALLOWED_PARTS, window: int = WINDOW) -> DataFrame:
@@ -150,7 +146,7 @@ def scan_secrets(docs: DataFrame, *keep: str, thresholds: dict[str, float] = THR
     limit = "case k " + " ".join(f"when '{c}' then {window_limit(t, window)}L" for c, t in thresholds.items()) + " end"
     df = df.withColumn("candidate", F.filter("candidate", wanted))
     parts = "|".join(allowed_parts)
-    df = df.withColumn("candidate", F.flatten(F.transform("candidate", lambda m: _pieces(m, parts)))) if parts else df
+    df = df.withColumn("candidate", F.flatten(F.expr(_pieces(parts)))) if parts else df
     df = df.withColumn("candidate", F.filter("candidate", lambda m: (F.length(m["value"]) >= window) & m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]")))
     df = df.withColumn("candidate", F.transform("candidate", lambda m: F.struct(m["start"].alias("start"), m["value"].alias("value"), _class(m["value"]).alias("class"))))
     kind = "case m.class " + " ".join(f"when '{c}' then {KINDS.index(f'entropy_{c}')}" for c in order) + " end"

@@ -248,3 +248,19 @@ def test_entropy_windows_by_brute_force(spark):
             h = [-sum(c / 20 * math.log2(c / 20) for c in Counter(r.v[i : i + 20]).values()) for i in range(len(r.v) - 19)]
             high = [i for i, x in enumerate(h) if x >= threshold - 1e-6]
             assert (r.at.first, r.at.last) == ((high[0], high[-1] + 20) if high else (-1, -1))
+
+
+def test_secrets_in_very_long_words(spark):
+    texts = ["a/" * 3000 + "a1", "a/" * 500_000 + "a1", "token" * 200_000 + "=abcdef1", "example1A" * 8000, "password = " + "k1" * 50_000, "AKIA" * 250_000, "sha-256 " * 20_000 + "Zx9Qw7Lm2Vb5Nc8Kj4Hg1Fd6Sa3PoIuYt"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r.s for r in secret_scan.scan_secrets(df, "doc_id").select("doc_id", secret_scan.spelled("spans").alias("s")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == plain_spans(t), (i, got[i][:100])
+
+
+def test_patterns_take_long_texts_of_their_alphabets(spark):
+    """Java's matcher recurses for each turn of a repeated group: no pattern may have one that a long text can turn without bound."""
+    patterns = [secret_scan.ASSIGN, secret_scan.ACCESS, secret_scan.HEX, secret_scan.CANDIDATE, *secret_scan.ALLOWED, *secret_scan.ALLOWED_PARTS, secret_scan.ALLOWED_BEFORE]
+    texts = [a * (1_000_000 // len(a)) + b for a in ("a/", "a-", "a", "0", "aB1", "api_key", "token:", "token=' ", "AKIA", "example", "sha1:", "md5=", "1234-12-12", "\n", '"', "é🎉") for b in ("", "1", "!")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(8)
+    assert df.selectExpr(*[f"count_if(t rlike '{p.replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}')" for p in patterns]).first() is not None

@@ -32,7 +32,7 @@ JS_HANDLER = r"(?U)(?:function|const|let|var)\s+(\w+)\s*[=(]"
 PY_HANDLER = r"(?U)def\s+(\w+)\s*\("
 NEST_HANDLER = r"(?U)(\w+)\s*\([^)]*\)\s*[:{]"
 RUST_HANDLER = r"(?U)(?:async\s+)?fn\s+(\w+)\s*\("
-JAVA_HANDLER = r"(?U)(?:public|private|protected)?\s*(?:@\w+\s*)*\s*(\w+)\s*\([^)]*\)"
+JAVA_HANDLER = r"(?U)(?:public|private|protected)?\s*(?:@\w+\s*){0,40}\s*(\w+)\s*\([^)]*\)"
 METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH", "OPTIONS", "HEAD")
 
 ENDPOINT = "array<struct<line:int,path:string,method:string,handler:string,framework:string>>"

@@ -32,7 +32,8 @@ def parsed_files(files: DataFrame) -> DataFrame:
     yaml, tf = F.col("ext").isin("yaml", "yml"), F.col("ext").isin("tf", "tfvars")
     named = F.transform(F.filter(F.transform("lines", strip), lambda x: x.startswith('resource "')), lambda x: F.regexp_extract(x, '^resource "([^"]*)"', 1))
     # names one level below the Resources key of block YAML
-    block = F.regexp_extract("content", r"(?m)^Resources:[^\n]*\n((?:[ \t]+[^\n]*\n?|[ \t]*\n)*)", 1)
+    after = F.coalesce(F.get(F.split("content", r"(?md)^Resources:[^\n]*\n", 2), F.lit(1)), F.lit(""))
+    block = F.substring(F.split(F.concat(F.lit("\n"), after), r"\n(?=[^ \t\n])", 2)[0], 2, 1 << 30)
     indent = F.regexp_extract(block, r"^([ \t]+)", 1)
     keys = F.transform(F.filter(F.split(block, "\n"), lambda x: F.startswith(x, indent) & x.rlike(r"^[ \t]+[\w-]+:\s*$") & (F.length(F.regexp_extract(x, r"^[ \t]*", 0)) == F.length(indent))), lambda x: F.regexp_extract(x, r"([\w-]+):", 1))
     by_yaml = first_case([(F.col("content").rlike(r"(?m)^AWSTemplateFormatVersion:"), "aws"), (F.col("content").rlike(r"(?m)^apiVersion:") & F.col("content").rlike(r"(?m)^kind:"), "kubernetes")], "unknown")

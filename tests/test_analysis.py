@@ -215,3 +215,15 @@ def test_configs_and_page_routes(spark):
     names = [("main.tf", "infrastructure"), ("cloudformation.json", "infrastructure"), ("app.yml", "config"), ("config.py", "config"), ("a.py", "code"), ("a.bin", None)]
     df = spark.createDataFrame([(n,) for n, _ in names], "n string").withColumn("c", services.file_class(F.col("n")))
     assert {r.n: r.c for r in df.collect()} == dict(names)
+
+
+def test_long_files_do_not_overflow_the_matcher(spark):
+    from tallgrass.operators.endpoints import JAVA_HANDLER
+    from tallgrass.sources.parsers import parsed_files
+
+    keys = "".join(f"  Part{i}:\n    Type: T\n\n" for i in range(20_000))
+    df = corpus_of(spark, {"r": {"cloudformation.yml": f"AWSTemplateFormatVersion: x\nResources:\n{keys}Outputs:\n  O:\n    Value: v\n", "template.yaml": "AWSTemplateFormatVersion: x\nResources:\nOutputs:\n  O:\n"}})
+    got = {r.path: r.resources for r in parsed_files(df).collect()}
+    assert got == {"cloudformation.yml": [f"Part{i}" for i in range(20_000)], "template.yaml": []}
+    lines = spark.createDataFrame([("@A " * 100_000 + "public void get(int a) {",), ("@Override @Deprecated public String name() {",)], "t string")
+    assert [r.h for r in lines.selectExpr(f"regexp_extract(t, r'{JAVA_HANDLER}', 1) as h").collect()] == ["get", "name"]

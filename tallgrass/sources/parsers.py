@@ -34,8 +34,13 @@ def parsed_files(files: DataFrame) -> DataFrame:
     # names one level below the Resources key of block YAML
     after = F.coalesce(F.get(F.split("content", r"(?md)^Resources:[^\n]*\n", 2), F.lit(1)), F.lit(""))
     block = F.substring(F.split(F.concat(F.lit("\n"), after), r"\n(?=[^ \t\n])", 2)[0], 2, 1 << 30)
-    indent = F.regexp_extract(block, r"^([ \t]+)", 1)
-    keys = F.transform(F.filter(F.split(block, "\n"), lambda x: F.startswith(x, indent) & x.rlike(r"^[ \t]+[\w-]+:\s*$") & (F.length(F.regexp_extract(x, r"^[ \t]*", 0)) == F.length(indent))), lambda x: F.regexp_extract(x, r"([\w-]+):", 1))
+
+    def level(b: Column, indent: Column) -> Column:
+        named = F.filter(F.split(b, "\n"), lambda x: F.startswith(x, indent) & x.rlike(r"^[ \t]+[\w-]+:\s*$") & (F.length(F.regexp_extract(x, r"^[ \t]*", 0)) == F.length(indent)))
+        return F.transform(named, lambda x: F.regexp_extract(x, r"([\w-]+):", 1))
+
+    # each worked out once a file, not once a line
+    keys = F.flatten(F.transform(F.array(block), lambda b: F.flatten(F.transform(F.array(F.regexp_extract(b, r"^([ \t]+)", 1)), lambda i: level(b, i)))))
     by_yaml = first_case([(F.col("content").rlike(r"(?m)^AWSTemplateFormatVersion:"), "aws"), (F.col("content").rlike(r"(?m)^apiVersion:") & F.col("content").rlike(r"(?m)^kind:"), "kubernetes")], "unknown")
     infra, none, null = F.col("kind") == "infrastructure", F.array().cast("array<string>"), F.lit(None).cast("string")
     df = files.withColumn("kind", kind)

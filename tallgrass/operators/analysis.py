@@ -30,7 +30,8 @@ def facts(files: DataFrame, rules: Rules | None = None) -> dict[str, DataFrame]:
     t["security_entities"] = saved(entities.unionByName(secrets.key_entities(keys), allowMissingColumns=True))
     t["vulnerabilities"] = saved(findings.unionByName(secrets.key_vulnerabilities(keys), allowMissingColumns=True))
     e = t["code_elements"]
-    t["code_relationships"] = saved(relate.service_relationships(e, files, t["services"]).unionByName(relate.dependency_relationships(e, files, deps)))
+    index = relate.word_index(files)  # once for both
+    t["code_relationships"] = saved(relate.service_relationships(e, files, t["services"], index).unionByName(relate.dependency_relationships(e, files, deps, index)))
     return t
 
 

@@ -1,10 +1,13 @@
 """Scored relationships between code elements and the services and dependencies of their repository.
 
-Elements and candidates can be many on both sides, so they never meet in a cross join. What an element's surroundings and
-its file hold is found first, per candidate *name*, by an equi-join: names are cut to their words, the words of a window are
-exploded once, those of a file once and not for each of its elements, and a name can only be held by a text that holds its
-longest word. The exact test (substring or bounded word) and the scoring run on those pairs alone, gathered by text, so that
-a file's text goes over the network a fixed number of times whatever it holds.
+Elements and candidates can be many on both sides, so they never meet in a cross join, and no text is cut out for each
+element. A positional index has a row for each word of each line of a file, made once whatever the file's elements. A
+candidate's probes (name, provider, SDK words, URL, import shapes) are looked up there by their longest word: distinct
+words and distinct stems of a repository meet by an equi-join on the stem's rarest gram, the lines that hold such a word are
+tested for the probe itself. For each probe and bin of `BIN` lines the first and the last line that hold it are kept; an element's
+window is as long as a bin, so it takes the end of one bin and the start of the next, and these two numbers say whether the
+probe stands in it. Scoring reads the numbers of the parts found. Probes are looked for line by line: one with a line break is
+in no line.
 """
 
 from __future__ import annotations
@@ -14,8 +17,11 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions.text import first_case, grams, stable_id, word_bounded
 from tallgrass.operators.aggregates import evidence
+from tallgrass.operators.packages import saved
 
 BEFORE, AFTER = 50, 200
+#: Lines in a bin: as many as in a window.
+BIN = BEFORE + AFTER
 LEAST = 0.3
 # Words that show a provider's SDK in code; for other providers it is the service's own name.
 SDK_WORDS = {
@@ -31,12 +37,6 @@ URL_KEYS = ("endpoint", "api_url", "url", "base_url")
 WORD = r"(?U)[^\p{Alnum}_]+"
 
 
-def element_window(lines: Column, line_number: Column) -> Column:
-    """The text from 50 lines before an element to 200 after its start."""
-    begin = F.greatest(line_number - BEFORE, F.lit(1))
-    return F.array_join(F.slice(lines, begin.cast("int"), (line_number + AFTER - begin).cast("int")), "\n")
-
-
 def config_url(config: Column) -> Column:
     return F.coalesce(*[F.try_element_at(config, F.lit(k)) for k in URL_KEYS])
 
@@ -52,35 +52,59 @@ def longest_word(name: Column) -> Column:
     return F.coalesce(best["w"], name)
 
 
-def in_files(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """Rows with the lines of their file: each file's text goes over the network once."""
-    f = files.select("repository_id", F.col("path").alias("file_path"), "lines")
-    return rows.join(f, ["repository_id", "file_path"])
+def lines_of(files: DataFrame) -> DataFrame:
+    """repository_id, file_path, line (from 1) and its lower-cased text."""
+    each = files.select("repository_id", F.col("path").alias("file_path"), F.posexplode("lines").alias("at", "line_text"))
+    return each.select("repository_id", "file_path", (F.col("at") + 1).alias("line"), F.lower("line_text").alias("line_text"))
 
 
-def elements_of(elements: DataFrame) -> DataFrame:
-    return elements.select("repository_id", F.col("id").alias("code_element_id"), "file_path", "line_number")
+def word_index(files: DataFrame) -> DataFrame:
+    """The positional index of files: repository_id, file_path, line, word; written."""
+    return saved(lines_of(files).select("repository_id", "file_path", "line", F.explode(words(F.col("line_text"))).alias("word")))
 
 
-def window_words(elements: DataFrame, files: DataFrame) -> DataFrame:
-    """(repository_id, code_element_id, word) of the elements' surroundings."""
-    body = F.lower(element_window(F.col("lines"), F.col("line_number")))
-    return in_files(elements_of(elements), files).select("repository_id", "code_element_id", F.explode(words(body)).alias("word"))
+def held_stems(index: DataFrame, stems: DataFrame) -> DataFrame:
+    """(repository_id, word, stem): words of a repository's files that hold a stem. A stem need not stand at a word's start (`stripe` in `mystripe`)."""
+    vocabulary = index.select("repository_id", "word").distinct().select("repository_id", "word", F.explode(grams("word")).alias("gram"))
+    vocabulary = saved(vocabulary)
+    size = F.least(F.lit(3), F.length("stem"))
+    parts = stems.select("repository_id", "stem", F.explode(F.filter(grams("stem"), lambda g: F.length(g) == size)).alias("gram"))
+    # the stem's gram that fewest words hold; one that no word holds says that no word holds the stem
+    counts = vocabulary.groupBy("repository_id", "gram").agg(F.count("*").alias("n"))
+    rarest = parts.join(counts, ["repository_id", "gram"], "left").groupBy("repository_id", "stem").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return vocabulary.join(rarest, ["repository_id", "gram"]).where(F.contains("word", "stem")).select("repository_id", "word", "stem")
 
 
-def pairs(seen: DataFrame, candidates: DataFrame, key: str, *holder: str) -> DataFrame:
-    """(repository_id, holder, candidate's key) where a text may hold one of the candidate's probes. seen: (repository_id, holder, word).
+def probe_spans(index: DataFrame, files: DataFrame, probes: DataFrame) -> DataFrame:
+    """repository_id, file_path, bin, probe, whole, first and last: the lines of a bin that hold a probe. probes: repository_id, root, probe, whole (not within a word)."""
+    distinct = probes.withColumn("stem", longest_word(F.col("root"))).where("stem != ''").select("repository_id", "stem", "probe", "whole").distinct()
+    held = held_stems(index, distinct.select("repository_id", "stem").distinct())
+    near = index.join(held, ["repository_id", "word"]).select("repository_id", "file_path", "line", "stem").distinct()
+    tried = near.join(lines_of(files), ["repository_id", "file_path", "line"]).join(distinct, ["repository_id", "stem"])
+    hits = tried.where(F.when(F.col("whole"), word_bounded(F.col("line_text"), F.col("probe"))).otherwise(F.contains("line_text", "probe")))
+    by = hits.groupBy("repository_id", "file_path", F.expr(f"(line - 1) div {BIN}").alias("bin"), "probe", "whole")
+    return by.agg(F.min("line").alias("first"), F.max("line").alias("last"))
 
-    A substring need not start at a word's start (`stripe` in `mystripe`): every probe word is looked up among all words
-    of the repository's texts first, so that only distinct words meet, by an equi-join on their grams.
-    """
-    vocabulary = seen.select("repository_id", "word").distinct()
-    probes = candidates.select("repository_id", key, F.explode("probes").alias("probe")).withColumn("stem", longest_word(F.lower("probe")))
-    stems = probes.where("stem != ''").select("repository_id", "stem").distinct()
-    v = vocabulary.select("repository_id", "word", F.explode(grams("word")).alias("gram"))
-    held = v.join(stems.withColumn("gram", F.substring("stem", 1, 3)), ["repository_id", "gram"]).where(F.contains("word", "stem")).select("repository_id", "word", "stem")
-    hits = seen.join(held, ["repository_id", "word"]).select("repository_id", *holder, "stem").distinct()
-    return hits.join(probes.select("repository_id", key, "stem").distinct(), ["repository_id", "stem"]).select("repository_id", *holder, key).distinct()
+
+def in_windows(elements: DataFrame, spans: DataFrame) -> DataFrame:
+    """(repository_id, code_element_id, probe, whole): the probes in each element's window, from 50 lines before it to 200 after its start."""
+    begin = F.greatest(F.col("line_number") - BEFORE, F.lit(1))
+    e = elements_of(elements).withColumns({"begin": begin, "end": F.col("line_number") + AFTER - 1})
+    bins = F.array_distinct(F.array(F.expr(f"(begin - 1) div {BIN}"), F.expr(f"(end - 1) div {BIN}")))
+    e = e.where("end >= begin").withColumn("bin", F.explode(bins))
+    # a window that begins within a bin goes beyond its end; another begins with the bin
+    held = F.when(F.col("begin") - 1 > F.col("bin") * BIN, F.col("last") >= F.col("begin")).otherwise(F.col("first") <= F.col("end"))
+    return e.join(spans, ["repository_id", "file_path", "bin"]).where(held).select("repository_id", "code_element_id", "probe", "whole").distinct()
+
+
+def elements_of(elements: DataFrame) -> DataFrame:
+    return elements.select("repository_id", F.col("id").alias("code_element_id"), "file_path", "line_number")
+
+
+def listed_parts(candidates: DataFrame, *parts: tuple[int, Column, bool]) -> DataFrame:
+    """(repository_id, target_id, part, probe, whole) of candidates' probes that there are."""
+    each = F.array(*[F.struct(F.lit(k).alias("part"), probe.alias("probe"), F.lit(whole).alias("whole")) for k, probe, whole in parts])
+    return candidates.select("repository_id", "target_id", F.explode(F.filter(each, lambda p: p["probe"] != "")).alias("p")).select("repository_id", "target_id", "p.*")
 
 
 def sdk_words(provider: Column, name: Column) -> Column:
@@ -88,61 +112,64 @@ def sdk_words(provider: Column, name: Column) -> Column:
     return first_case([(low == p, F.array(*map(F.lit, w))) for p, w in SDK_WORDS.items()], F.array(F.lower(name)))
 
 
-def service_relationships(elements: DataFrame, files: DataFrame, services: DataFrame) -> DataFrame:
+#: An element may be tied to a service by at most so many SDK words, to a dependency by so many parts of a scoped name.
+PLACES = 6
+#: What stands before and after a dependency's name where it is imported; the first that fits counts.
+SHAPES = (("import ", ""), ("from '", ""), ('from "', '"'), ("require('", ""), ('require("', '"'), ("use ", ""), ("extern crate ", ""))
+
+
+def service_relationships(elements: DataFrame, files: DataFrame, services: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """Name 0.3, provider 0.2, each SDK word 0.4, URL 0.5, variable 0.3; kept from 0.3, at most 1."""
     has_config = "configuration" in services.columns
     config = F.col("configuration") if has_config else F.create_map().cast("map<string,string>")
     s = services.select("repository_id", F.col("id").alias("target_id"), "name", "provider", config_url(config).alias("url"), F.try_element_at(config, F.lit("env_var")).alias("env_var"))
     s = s.withColumn("sdk", sdk_words(F.col("provider"), F.col("name")))
-    s = s.withColumn("probes", F.filter(F.concat(F.array("name", "provider", "url", "env_var"), F.col("sdk")), lambda p: p.isNotNull() & (p != "")))
-    near = pairs(window_words(elements, files), s, "target_id", "code_element_id")
-    listed = near.join(s, ["repository_id", "target_id"]).groupBy("repository_id", "code_element_id").agg(F.collect_list(F.struct("target_id", "name", "provider", "url", "env_var", "sdk")).alias("c"))  # services of one repository at most
-    found = _with_bodies(listed, elements, files)
-    body = F.col("body")
-    # each SDK word counts by itself: at most six, so one condition for each place of the list
-    sdk = [(F.coalesce(word_bounded(body, F.get("sdk", F.lit(k))), F.lit(False)), 0.4, F.concat(F.lit("SDK pattern '"), F.get("sdk", F.lit(k)), F.lit("' detected"))) for k in range(6)]
+    word = lambda k: F.get("sdk", F.lit(k))
+    probes = listed_parts(s, (0, F.lower("name"), False), (1, F.lower("provider"), False), *[(2 + k, word(k), True) for k in range(PLACES)], (8, F.lower("url"), False), (9, F.lower("env_var"), False))
+    index = word_index(files) if index is None else index
+    found = in_windows(elements, probe_spans(index, files, probes.withColumn("root", F.col("probe"))))
+    has = lambda k: F.array_contains("parts", k)
     parts = [
-        (F.contains(body, F.lower("name")), 0.3, F.concat(F.lit("Service name '"), "name", F.lit("' found in code"))),
-        (F.contains(body, F.lower("provider")), 0.2, F.concat(F.lit("Provider '"), "provider", F.lit("' found in code"))),
-        *sdk,
-        (F.coalesce(F.contains(body, F.lower("url")), F.lit(False)), 0.5, F.concat(F.lit("API endpoint '"), "url", F.lit("' detected"))),
-        (F.coalesce(F.contains(body, F.lower("env_var")), F.lit(False)), 0.3, F.concat(F.lit("Environment variable '"), "env_var", F.lit("' used"))),
+        (has(0), 0.3, F.concat(F.lit("Service name '"), "name", F.lit("' found in code"))),
+        (has(1), 0.2, F.concat(F.lit("Provider '"), "provider", F.lit("' found in code"))),
+        *[(has(2 + k), 0.4, F.concat(F.lit("SDK pattern '"), word(k), F.lit("' detected"))) for k in range(PLACES)],
+        (has(8), 0.5, F.concat(F.lit("API endpoint '"), "url", F.lit("' detected"))),
+        (has(9), 0.3, F.concat(F.lit("Environment variable '"), "env_var", F.lit("' used"))),
     ]
-    return _scored(found, parts, "service", "uses")
+    return _scored(_with_parts(found, probes).join(s, ["repository_id", "target_id"]), parts, "service", "uses")
 
 
-def dependency_relationships(elements: DataFrame, files: DataFrame, dependencies: DataFrame) -> DataFrame:
+def dependency_relationships(elements: DataFrame, files: DataFrame, dependencies: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """An import in the file 0.6 (the first shape that fits), the name as a word 0.4, each part of a scoped name 0.3."""
     d = dependencies.select("repository_id", F.col("id").alias("target_id"), "name").withColumn("low", F.lower("name"))
-    d = d.withColumn("probes", F.concat(F.array("low"), F.filter(F.split("low", "/"), lambda p: p != "")))
-    # imports: by file, not by element; a file's text meets all its candidates at once
-    content = files.select("repository_id", F.col("path").alias("file_path"), F.lower("content").alias("file_text"))
-    in_file = pairs(content.select("repository_id", "file_path", F.explode(words(F.col("file_text"))).alias("word")), d, "target_id", "file_path")
-    in_file = in_file.join(d, ["repository_id", "target_id"]).groupBy("repository_id", "file_path").agg(F.collect_list(F.struct("target_id", "low")).alias("c"))  # dependencies of one repository at most
-    shapes = lambda low: [F.concat(F.lit(a), low, F.lit(b)) for a, b in (("import ", ""), ("from '", ""), ('from "', '"'), ("require('", ""), ('require("', '"'), ("use ", ""), ("extern crate ", ""))]
-    shaped = F.transform("c", lambda x: F.struct(x["target_id"].alias("target_id"), F.get(F.filter(F.array(*shapes(x["low"])), lambda s: F.contains(F.col("file_text"), s)), F.lit(0)).alias("shape")))
-    imports = in_file.join(content, ["repository_id", "file_path"]).select("repository_id", "file_path", F.explode(F.filter(shaped, lambda x: x["shape"].isNotNull())).alias("x")).select("repository_id", "file_path", "x.*")
-    e = elements_of(elements)
-    near = pairs(window_words(elements, files), d, "target_id", "code_element_id").withColumn("shape", F.lit(None).cast("string"))
-    both = near.unionByName(e.join(imports, ["repository_id", "file_path"]).select("repository_id", "code_element_id", "target_id", "shape"))
-    both = both.groupBy("repository_id", "code_element_id", "target_id").agg(F.max("shape").alias("shape")).join(d, ["repository_id", "target_id"])
-    listed = both.groupBy("repository_id", "code_element_id").agg(F.collect_list(F.struct("target_id", "name", "low", "shape")).alias("c"))
-    found = _with_bodies(listed, elements, files)
-    body, low, shape = F.col("body"), F.col("low"), F.col("shape")
-    scoped = F.when(low.contains("/"), F.split(low, "/"))
+    scoped = lambda k: F.when(F.col("low").contains("/"), F.get(F.split("low", "/"), F.lit(k)))
+    shaped = lambda k: F.concat(F.lit(SHAPES[k][0]), "low", F.lit(SHAPES[k][1]))
+    named = listed_parts(d, (0, F.col("low"), True), *[(1 + k, scoped(k), True) for k in range(PLACES)])
+    imports = listed_parts(d.where("low != ''"), *[(10 + k, shaped(k), False) for k in range(len(SHAPES))])
+    roots = imports.join(d.select("repository_id", "target_id", F.col("low").alias("root")), ["repository_id", "target_id"])
+    index = word_index(files) if index is None else index
+    spans = saved(probe_spans(index, files, named.withColumn("root", F.col("probe")).unionByName(roots)))
+    near = _with_parts(in_windows(elements, spans.where("whole")), named)
+    # imports: by file, not by element
+    by_file = spans.where("not whole").select("repository_id", "file_path", "probe").distinct().join(imports, ["repository_id", "probe"])
+    by_file = by_file.groupBy("repository_id", "file_path", "target_id").agg(F.min("part").alias("shape"))
+    imported = elements_of(elements).join(by_file, ["repository_id", "file_path"]).select("repository_id", "code_element_id", "target_id", F.array("shape").alias("parts"))
+    both = near.unionByName(imported).groupBy("repository_id", "code_element_id", "target_id").agg(F.array_distinct(F.flatten(F.collect_list("parts"))).alias("parts"))  # two arrays
+    has = lambda k: F.array_contains("parts", k)
+    shape = F.array_max("parts")
+    text = first_case([(shape == 10 + k, shaped(k)) for k in range(len(SHAPES))], F.lit(None).cast("string"))
     parts = [
-        (shape.isNotNull(), 0.6, F.concat(F.lit("Import statement found: "), shape)),
-        (word_bounded(body, low), 0.4, F.concat(F.lit("Package '"), "name", F.lit("' used in code"))),
-        *[(F.coalesce((F.get(scoped, F.lit(k)) != "") & word_bounded(body, F.get(scoped, F.lit(k))), F.lit(False)), 0.3, F.concat(F.lit("Scoped package part '"), F.get(F.split("name", "/"), F.lit(k)), F.lit("' found"))) for k in range(6)],
+        (shape >= 10, 0.6, F.concat(F.lit("Import statement found: "), text)),
+        (has(0), 0.4, F.concat(F.lit("Package '"), "name", F.lit("' used in code"))),
+        *[(has(1 + k), 0.3, F.concat(F.lit("Scoped package part '"), F.get(F.split("name", "/"), F.lit(k)), F.lit("' found"))) for k in range(PLACES)],
     ]
-    return _scored(found, parts, "dependency", "imports")
+    return _scored(both.join(d, ["repository_id", "target_id"]), parts, "dependency", "imports")
 
 
-def _with_bodies(listed: DataFrame, elements: DataFrame, files: DataFrame) -> DataFrame:
-    """A row for each candidate in c of each element, with the element's lower-cased surroundings."""
-    rows = in_files(elements_of(elements).join(listed, ["repository_id", "code_element_id"]), files)
-    rows = rows.select("repository_id", "code_element_id", F.lower(element_window(F.col("lines"), F.col("line_number"))).alias("body"), "c")
-    return rows.select("repository_id", "code_element_id", "body", F.explode("c").alias("x")).select("repository_id", "code_element_id", "body", "x.*")
+def _with_parts(found: DataFrame, probes: DataFrame) -> DataFrame:
+    """(repository_id, code_element_id, target_id, parts) from the probes found by element: at most as many as a candidate has."""
+    parts = found.join(probes, ["repository_id", "probe", "whole"])
+    return parts.groupBy("repository_id", "code_element_id", "target_id").agg(F.collect_set("part").alias("parts"))
 
 
 def _scored(found: DataFrame, parts, target: str, kind: str) -> DataFrame:

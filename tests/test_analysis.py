@@ -102,6 +102,36 @@ def test_relations_by_brute_force(spark):
     assert got == pytest.approx(want)
 
 
+def test_relations_of_a_thousand_elements_in_a_file(spark):
+    import re
+
+    rng = random.Random(9)
+    vocabulary = ["Stripe", "mystripe", "stripe.js", "api.x.io/v1", "AWS S3", "aws-sdk", "@aws-sdk/", "S3_KEY", "clerk", "é", "plain", "words"]
+    lines = [" ".join(rng.choices(vocabulary, range(1, 13), k=rng.randint(0, 3))) if rng.random() < 0.02 else "plain words" for _ in range(1300)]
+    prepared = corpus_of(spark, {"r": {"f.js": "\n".join(lines) + "\n", "g.js": "stripe"}, "q": {"f.js": "Stripe\n" * 400}})
+    elements = [("r", f"e{k}", "f.js", k + 1) for k in range(1000)] + [("r", "odd", "f.js", None), ("r", "far", "f.js", 5000), ("r", "g", "g.js", 1), ("r", "h", "none.js", 1), ("q", "z", "f.js", 7)]
+    services = [("r", "s1", "Stripe", "stripe", {"url": "API.x.io/v1"}), ("r", "s2", "AWS S3", "aws", {"env_var": "S3_KEY"}), ("r", "s3", "x", "Clerk", {}), ("r", "s4", "", "", {"url": ""}), ("r", "s5", "Stripe", "stripe", None), ("q", "s6", "Stripe", "stripe", None)]
+    e = spark.createDataFrame(elements, "repository_id string, id string, file_path string, line_number int")
+    s = spark.createDataFrame(services, "repository_id string, id string, name string, provider string, configuration map<string,string>")
+    out = relate.service_relationships(e, prepared, s).collect()
+    got = {(r.code_element_id, r.target_id): r.confidence for r in out}
+    texts = {("r", "f.js"): lines, ("r", "g.js"): ["stripe"], ("q", "f.js"): ["Stripe"] * 400}
+    want = {}
+    for repo, i, f, line in elements:
+        if line is None or (repo, f) not in texts:
+            continue
+        begin = max(line - relate.BEFORE, 1)
+        body = "\n".join(texts[repo, f][begin - 1 : line + relate.AFTER - 1]).lower()
+        for other, d, name, provider, config in services:
+            held = lambda p: bool(p) and p.lower() in body  # noqa: B023, E731
+            sdk = relate.SDK_WORDS.get(provider.lower(), (name.lower(),))
+            score = 0.3 * held(name) + 0.2 * held(provider) + 0.5 * held((config or {}).get("url")) + 0.3 * held((config or {}).get("env_var"))
+            score += 0.4 * sum(bool(w) and re.search(rf"(?<![\w]){re.escape(w)}(?![\w])", body) is not None for w in sdk)
+            if other == repo and score > 0.29:
+                want[i, d] = min(1.0, round(score, 2))
+    assert len(out) == len(got) and len(got) > 1000 and got == pytest.approx(want)
+
+
 def test_details_of_unknown_kinds_and_entities(spark):
     deps = spark.createDataFrame([("a", "r", "npm"), ("b", "r", "npm"), ("c", "q", "npm")], "id string, repository_id string, package_manager string")
     with pytest.raises(ValueError):

@@ -9,6 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 VIEWS = {
+    "h_suppliers": "SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_suppkey % 3 = 0 THEN concat('@v', CAST(s_nationkey AS STRING), '/', lower(replace(s_name, '#', '-'))) ELSE lower(replace(s_name, '#', '-')) END AS dep FROM supplier",
+    # a line for each part, 500 lines a file and a series of files for each of five repositories; a supplier is named on one line
+    "h_code_lines": """SELECT (p_partkey - 1) % 5 AS repository_id, concat('src/f', CAST(CAST(floor((p_partkey - 1) / 2500) AS BIGINT) AS STRING), '.js') AS path,
+  CAST(floor((p_partkey - 1) / 5) AS BIGINT) % 500 + 1 AS line, p_partkey AS element_id,
+  CASE WHEN s_suppkey IS NULL THEN concat('function f', CAST(p_partkey AS STRING), '()')
+    WHEN s_suppkey % 4 = 0 THEN concat('import x from ', chr(39), dep, chr(39), ';')
+    ELSE concat('run(', chr(39), s_name, chr(39), ', ', dep, ')', CASE WHEN s_suppkey % 2 = 0 THEN concat(' // vendor-', CAST(s_nationkey AS STRING)) ELSE '' END) END AS line_text
+  FROM part LEFT JOIN h_suppliers ON p_partkey = 17 * s_suppkey + 3""",
     "h_repositories": "SELECT n_nationkey AS id, n_name AS name, concat('region/', r_name) AS url, 'main' AS branch, (n_nationkey * 7) % 25 AS created_at, 'secret' AS auth_value FROM nation JOIN region ON n_regionkey = r_regionkey",
     "h_dependencies": """SELECT c_nationkey AS repository_id, p_name AS name, p_brand AS version, p_type AS package_manager,
   max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1 AS is_dev, max(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) = 1 AS is_optional

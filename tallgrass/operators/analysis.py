@@ -10,7 +10,7 @@ from tallgrass.operators import code, docs, endpoints, manifests, ports, relate,
 from tallgrass.operators.aggregates import run_summary
 from tallgrass.operators.graph import build_graph
 from tallgrass.operators.packages import saved
-from tallgrass.operators.sinks import save_catalog
+from tallgrass.operators.versions import commit
 from tallgrass.sources.rules import Rules
 
 
@@ -36,12 +36,11 @@ def facts(files: DataFrame, rules: Rules | None = None) -> dict[str, DataFrame]:
 
 
 def analyse(files: DataFrame, repositories: DataFrame, rules: Rules | None = None, root: str | None = None) -> dict[str, DataFrame]:
-    """The fact tables, `nodes`, `edges` and `summary` of prepared files; saved below root, where given, in place of the repositories' earlier rows."""
+    """The fact tables, `nodes`, `edges` and `summary` of prepared files; committed to the catalog below root, where given, in place of the repositories' earlier rows."""
     t = facts(files, rules)
     nodes, edges = build_graph({"repositories": repositories, **t})
     t |= {"nodes": saved(nodes), "edges": saved(edges)}
     if root is not None:
-        ids = [r["id"] for r in repositories.select("id").distinct().collect()]  # the repositories of this run
-        save_catalog({k: v for k, v in t.items() if "repository_id" in v.columns}, root, ids)
+        commit(files.sparkSession, root, {k: v for k, v in t.items() if "repository_id" in v.columns}, repositories.select(F.col("id").alias("repository_id")))
     t["summary"] = run_summary({k: t[k] for k in ("dependencies", "services", "tools", "code_elements", "tests", "ports", "endpoints", "security_entities", "vulnerabilities")})
     return t

@@ -1,4 +1,4 @@
-"""Writing: a repository's rows replace its earlier ones by dynamic partition overwrite; other repositories stay."""
+"""Writing single tables: a repository's rows replace its earlier ones by dynamic partition overwrite; other repositories stay. Tables that belong together go through `versions`."""
 
 from __future__ import annotations
 
@@ -12,7 +12,8 @@ def replace_rows(df: DataFrame, path: str, repository_ids: list | None = None) -
     """Partitions (repositories) of df are replaced at path, all in one job; of repository_ids those without rows in df are emptied."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository_id").parquet(path)
     if repository_ids:
-        there = {r["repository_id"] for r in df.where(F.col("repository_id").isin(repository_ids)).select("repository_id").distinct().collect()}  # as many as the caller listed
+        listed = F.col("repository_id").isin([x for x in repository_ids if x is not None]) | F.col("repository_id").isNull()
+        there = {r["repository_id"] for r in df.where(listed).select("repository_id").distinct().collect()}  # as many as the caller listed
         root, name = path.rstrip("/").rsplit("/", 1)
         for x in repository_ids:
             if x not in there:
@@ -52,11 +53,12 @@ def load_table(spark: SparkSession, root: str, name: str, repository_id=None) ->
     return df if repository_id is None else df.where(F.col("repository_id") == repository_id)
 
 
-def delete_repository(spark: SparkSession, root: str, names: list[str], repository_id: str) -> int:
-    """Drops the repository's partition of each table; how many there were."""
+def delete_repository(spark: SparkSession, root: str, names: list[str], repository_id: str | None) -> int:
+    """Drops the repository's partition of each table; how many there were. The id is escaped as Spark's writer does, so that it names one folder of the table."""
+    folder = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("repository_id", None if repository_id is None else str(repository_id))
     gone = 0
     for name in names:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}/repository_id={repository_id}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}/{folder}")
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         gone += bool(fs.exists(path) and fs.delete(path, True))
     return gone

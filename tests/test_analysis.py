@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallgrass.operators import analysis, details, graph, joins, relate, security, sinks
+from tallgrass.operators import analysis, details, graph, joins, relate, security, sinks, versions
 from tallgrass.plans.fixtures import PACKAGE
 from tallgrass.sources import corpus
 from tallgrass.streaming import live
@@ -39,11 +39,14 @@ def test_from_files_to_graph(spark, tmp_path):
     edges = t["edges"].collect()
     assert edges and all((e.source_node_id, e.repository_id) in ids and (e.target_node_id, e.repository_id) in ids for e in edges)
     assert {"uses_package_manager", "uses_service", "has_port", "has_endpoint", "endpoint_uses_port"} <= {e.edge_type for e in edges}
-    assert sinks.load_table(spark, root, "dependencies", "one").count() == 6 and sinks.load_table(spark, root, "edges").count() == len(edges)
+    first = versions.snapshot(spark, root)
+    assert first.table("dependencies", "one").count() == 6 and first.table("edges").count() == len(edges)
     # a later run without dependencies empties its own rows and leaves the others'
     analysis.analyse(corpus_of(spark, {"one": {"a.py": "def f():\n    pass\n"}}), repos.where("id = 'one'"), root=root)
-    assert {r.repository_id for r in sinks.load_table(spark, root, "dependencies").collect()} == {"two"}
-    assert {r.name for r in sinks.load_table(spark, root, "code_elements", "one").collect()} == {"f"}
+    second = versions.snapshot(spark, root)
+    assert {r.repository_id for r in second.table("dependencies").collect()} == {"two"}
+    assert {r.name for r in second.table("code_elements", "one").collect()} == {"f"}
+    assert first.table("dependencies", "one").count() == 6  # a snapshot stays as it is
 
 
 def test_an_empty_set_replaces_rows(spark, tmp_path):
@@ -247,6 +250,60 @@ def test_configs_and_page_routes(spark):
     assert {r.n: r.c for r in df.collect()} == dict(names)
 
 
+def test_partitions_of_odd_ids(spark, tmp_path):
+    ids = ["a:b", "x=y", "p/q", "..", "z/../../precious", " ", "é", "100%", "07", "ok"]
+    root, path = str(tmp_path / "catalog"), str(tmp_path / "catalog" / "t")
+    (tmp_path / "precious").mkdir()
+    df = spark.createDataFrame([(x, 1) for x in [*ids, None]], "repository_id string, n int")
+    sinks.replace_rows(df, path)
+    sinks.replace_rows(df.limit(0), path, ids[:3])
+    names = lambda: sorted(str(r.repository_id) for r in spark.read.option("basePath", path).schema(df.schema).parquet(path).collect())
+    assert names() == sorted(map(str, [*ids[3:], None]))
+    assert [sinks.delete_repository(spark, root, ["t"], x) for x in ("z/../../precious", "..", "a:b", None)] == [1, 1, 0, 1]
+    assert names() == sorted(ids[5:]) and (tmp_path / "precious").is_dir()
+
+
+def _graph(spark, rows, edges):
+    nodes = spark.createDataFrame(rows, "id string, repository_id string, auth_value string")
+    return {"nodes": nodes, "edges": spark.createDataFrame(edges, "repository_id string, source_node_id string, target_node_id string")}
+
+
+def test_versions_of_the_catalog(spark, tmp_path):
+    root = str(tmp_path)
+    seen = lambda v=None: {n: sorted(tuple(r) for r in versions.snapshot(spark, root, v).table(n).select(*c).collect()) for n, c in (("nodes", ["id", "repository_id"]), ("edges", ["source_node_id", "target_node_id"]))}
+    odd = "../a:b=c/%2F"
+    assert versions.snapshot(spark, root).version == 0 and versions.snapshot(spark, root).tables() == []
+    assert versions.commit(spark, root, _graph(spark, [("a1", "a", "s"), ("a2", "a", "s"), ("b1", odd, "s")], [("a", "a1", "a2"), (odd, "b1", "a1"), ("a", "a2", "b1"), ("a", "a1", "gone")]), ["a", odd]) == 1
+    first = {"nodes": [("a1", "a"), ("a2", "a"), ("b1", odd)], "edges": [("a1", "a2"), ("a2", "b1"), ("b1", "a1")]}
+    assert seen() == first and "auth_value" not in versions.snapshot(spark, root).table("nodes").columns
+    # replaced: the edges of other repositories that end there go by either end; rows of repositories that aren't named don't count
+    assert versions.commit(spark, root, _graph(spark, [("a1", "a", ""), ("n", "other", "")], [("a", "a1", "a1"), ("a", "a1", "b1")]), ["a"]) == 2
+    second = {"nodes": [("a1", "a"), ("b1", odd)], "edges": [("a1", "a1"), ("a1", "b1")]}
+    assert seen() == second and seen(1) == first
+    # a run that dies on its way leaves what was there
+    fails = F.udf(lambda x: 1 / 0, "string")
+    tables = _graph(spark, [("x", "a", "")], [("a", "x", "x")])
+    with pytest.raises(Exception, match="division"):
+        versions.commit(spark, root, {"nodes": tables["nodes"], "edges": tables["edges"], "tests": tables["nodes"].withColumn("bad", fails("id"))}, ["a"])
+    assert seen() == second and versions.snapshot(spark, root).version == 2
+    # of two runs from one version the second may not overwrite the first
+    base = versions.snapshot(spark, root)
+    assert versions.commit(spark, root, _graph(spark, [("c1", "c", "")], [("c", "c1", "b1")]), ["c"], base) == 3
+    with pytest.raises(versions.Conflict):
+        versions.commit(spark, root, _graph(spark, [("d1", "d", "")], [("d", "d1", "c1")]), ["d"], base)
+    third = {"nodes": [("a1", "a"), ("b1", odd), ("c1", "c")], "edges": [("a1", "a1"), ("a1", "b1"), ("c1", "b1")]}
+    assert seen() == third
+    assert versions.compact(spark, root) == 4 and seen() == third and seen(2) == second
+    assert versions.vacuum(spark, root, keep=1, idle_seconds=3600) == 0 and versions.vacuum(spark, root, keep=1, idle_seconds=0) > 3
+    assert seen() == third and [int(n) for n in versions.Files(spark, root).names("versions")] == [4] and len(versions.Files(spark, root).names("runs")) == 1
+    assert versions.delete(spark, root, [odd, "never"]) == 5
+    assert seen() == {"nodes": [("a1", "a"), ("c1", "c")], "edges": [("a1", "a1")]}
+    with pytest.raises(KeyError):
+        versions.snapshot(spark, root).table("ports")
+    with pytest.raises(KeyError):
+        versions.snapshot(spark, root, 1)
+
+
 def test_long_files_do_not_overflow_the_matcher(spark):
     from tallgrass.operators.endpoints import JAVA_HANDLER
     from tallgrass.sources.parsers import parsed_files

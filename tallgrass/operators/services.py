@@ -1,23 +1,16 @@
-"""External services: rules unrolled into one array of candidates in each file's row.
-
-Only the position test (is this place inside a comment or a string?) needs a scanner; files that hold some SDK pattern at
-all are filtered by built-in predicates first, and only those reach it, in Arrow batches.
-"""
+"""External services: which files are looked at and as what, what package names suggest, and the merged table; the rules themselves are found by `rule_scan`."""
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_right
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.functions.text import any_of, ends_with_any, first_case, stable_id, strip
+from tallgrass.functions.text import any_of, ends_with_any, first_case, stable_id
 from tallgrass.operators.aggregates import merged_services
+from tallgrass.operators.rule_scan import rule_hits
 from tallgrass.sources.corpus import skipped_by_services
 from tallgrass.sources.rules import Rules, builtin
 
-SERVICE = "array<struct<provider:string,service_type:string,name:string,line_number:int,confidence:double>>"
 CODE_ENDS = (".js", ".ts", ".jsx", ".tsx", ".py", ".rs", ".go", ".swift", ".m", ".mm", ".java")
 # Package name parts by manager, the first that is held decides.
 PACKAGES = {
@@ -29,17 +22,6 @@ PACKAGES = {
 SERVICE_WORDS = ("-sdk", "-client", "-api", "-service", "sdk-", "client-", "api-", "service-")
 
 
-def candidate(condition: Column, provider, service_type, name, line: Column, confidence: float) -> Column:
-    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.when(condition, F.struct(lit(provider).alias("provider"), lit(service_type).alias("service_type"), lit(name).alias("name"), line.cast("int").alias("line_number"), F.lit(float(confidence)).alias("confidence")))
-
-
-def first_line_with(lines: Column, text: str) -> Column:
-    """The number of the first line that holds text; null if none does."""
-    at = F.array_position(F.transform(lines, lambda x: x.contains(text)), True)
-    return F.when(at > 0, at)
-
-
 def file_class(low_name: Column) -> Column:
     return first_case(
         [
@@ -50,122 +32,6 @@ def file_class(low_name: Column) -> Column:
     ).cast("string")
 
 
-def from_environment(lines: Column, rules: Rules) -> Column:
-    """Variables that begin with a rule's word, alone or before an underscore; one rule for each line."""
-
-    def each(x: Column, i: Column) -> Column:
-        up = F.upper(x)
-        bare = strip(up)
-        name = F.when(up.contains("="), strip(F.substring_index(up, "=", 1))).otherwise(bare)
-        used = (bare != "") & ~bare.startswith("#") & any_of(up, "API_KEY", "SECRET", "TOKEN", "ID", "KEY")
-        cases = []
-        for r in rules.env:
-            p = r.pattern.upper()
-            cases.append((used & ((name == p) | name.startswith(f"{p}_")), candidate(F.lit(True), r.provider, r.service_type, r.service_name or f"{r.pattern} Service", i + 1, r.confidence)))
-        return first_case(cases, F.lit(None).cast(SERVICE[6:-1]))
-
-    return F.array_compact(F.transform(lines, each))
-
-
-def from_databases(content: Column, lines: Column, rules: Rules) -> Column:
-    low = F.lower(content)
-    return F.array_compact(F.array(*[candidate(low.contains(r.pattern.lower()), r.provider, r.service_type, r.service_name or f"{r.pattern.replace('://', '')} Database", first_line_with(lines, r.pattern), r.confidence) for r in rules.database]))
-
-
-def from_infrastructure(content: Column, lines: Column, low_name: Column, rules: Rules) -> Column:
-    low, none = F.lower(content), F.lit(None)
-    found = [candidate(low.contains(r.pattern.lower()), r.provider, r.service_type, r.service_name or r.pattern, first_line_with(lines, r.pattern), r.confidence) for r in rules.infrastructure]
-    found.append(candidate(low.contains("awstemplateformatversion"), "Aws", "CloudProvider", "AWS CloudFormation", none, 0.9))
-    found += [candidate(low_name.contains(n.lower()), n, "CloudProvider", n, none, 0.9) for n in ("Vercel", "Netlify")]
-    return F.array_compact(F.array(*found))
-
-
-def from_api_hosts(content: Column, lines: Column, rules: Rules) -> Column:
-    return F.array_compact(F.array(*[candidate(content.contains(r.pattern), r.provider, r.service_type, r.service_name or f"{r.pattern} API", first_line_with(lines, r.pattern), r.confidence) for r in rules.api]))
-
-
-def aws_client_name(service: Column, rules: Rules) -> Column:
-    known = F.try_element_at(F.create_map(*[F.lit(x) for pair in rules.aws_names.items() for x in pair]), service)
-    return F.concat(F.lit("AWS "), F.coalesce(known, F.initcap(F.replace(service, F.lit("-"), F.lit(" ")))))
-
-
-def from_aws_v2(content: Column, lines: Column, rules: Rules) -> Column:
-    """Members of the SDK's object; a plain entry where no member is known."""
-    low = F.lower(content)
-    found = [candidate(any_of(low, f"aws.{r.pattern}", f"aws['{r.pattern}']", f'aws["{r.pattern}"]'), r.provider, r.service_type, f"AWS {r.service_name}", first_line_with(F.transform(lines, F.lower), f"aws.{r.pattern}"), r.confidence) for r in rules.aws_v2]
-    some = F.array_compact(F.array(*found))
-    plain = F.array(candidate(F.lit(True), "Aws", "CloudProvider", "AWS SDK (v2)", first_line_with(lines, "aws-sdk"), 0.7))
-    return F.when(~low.contains("aws-sdk"), F.array().cast(SERVICE)).when(F.size(some) > 0, some).otherwise(plain)
-
-
-def _tokens(*tokens: str) -> re.Pattern:
-    return re.compile("|".join(tokens))
-
-
-_STRINGS = (r"'(?:\\[\s\S]?|[^'\\\n])*(?:['\n]|\Z)", r'"(?:\\[\s\S]?|[^"\\\n])*(?:["\n]|\Z)')
-#: Comments (group c) and strings of Python, and of the languages with // and /* */ and backticks.
-PYTHON_TOKENS = _tokens(r"(?P<c>#[^\n]*\n?)", r"(?P<t>\"\"\"|''')[\s\S]*?(?:(?P=t)|\Z)", *_STRINGS)
-OTHER_TOKENS = _tokens(r"(?P<c>//[^\n]*\n?|/\*[\s\S]*?(?:\*/|\Z))", r"(?P<t>`)(?:\\[\s\S]?|[^`\\])*(?:`|\Z)", *_STRINGS)
-
-
-def not_code(text: str, language: str | None) -> list[tuple[int, int]]:
-    """Where comments and strings are, in order. An opening quote still counts as code."""
-    pattern = PYTHON_TOKENS if language == "python" else OTHER_TOKENS
-    return [(m.start() + (0 if m["c"] else len(m["t"] or "'")), m.end()) for m in pattern.finditer(text)]
-
-
-def sdk_hits(content: str, language: str | None, rules: Rules) -> list[tuple]:
-    """(provider, type, name, line, confidence) of SDK rules, and of AWS v3 clients, with a place in code.
-
-    An import's module name is a string by itself: the place that counts is where the import's own words begin.
-    """
-    low, found = content.lower(), []
-    hidden = not_code(low, language)
-    line_of = lambda p: low.count("\n", 0, p) + 1
-
-    def inside(p: int) -> bool:
-        k = bisect_right(hidden, (p, len(low) + 1)) - 1
-        return p < len(low) and not (k >= 0 and p < hidden[k][1])
-
-    for m in re.finditer(r"@aws-sdk/client-([a-z0-9-]+)", low):
-        begun = low.rfind("\n", 0, m.start()) + 1
-        lead = re.search(r"\b(?:import|from|require)\b", low[begun : m.start()])
-        if inside(m.start()) or lead and inside(begun + lead.start()):
-            known = rules.aws_names.get(m[1])
-            name = known or " ".join(w[:1].upper() + w[1:] for w in m[1].split("-"))
-            found.append(("Aws", "CloudProvider", f"AWS {name}", line_of(m.start()), 0.9))
-    for r in rules.sdk:
-        p = r.pattern.lower()
-        if p not in low:
-            continue
-        shapes = [f"from '{p}", f'from "{p}', f"require('{p}", f'require("{p}', f"import {p}"]
-        if not p.startswith("@"):
-            shapes += [f"from {p} ", f'"{p}"', f"'{p}'", f" {p}", f"{p} "]
-        places = [at for s in shapes if (at := low.find(s)) >= 0]
-        if not p.startswith("@"):
-            places += [m.start() for m in re.finditer(rf"(?<!\w){re.escape(p)}(?!\w)", low)]
-        if any(map(inside, places)):
-            name = r.service_name or f"{r.pattern.replace('@', '').replace('/', '')} SDK"
-            found.append((r.provider, r.service_type, name, line_of(low.find(p)), r.confidence))
-    return found
-
-
-def from_sdks(files: DataFrame, rules: Rules) -> DataFrame:
-    """Rows of the scanner, from files that hold a pattern of some rule at all."""
-    low = F.lower("content")
-    held = any_of(low, "@aws-sdk/client-", *{r.pattern.lower() for r in rules.sdk})
-    used = files.where(held).select("repository_id", "path", "content", "language")
-
-    def scanned(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            rows = [(repo, path, *hit) for repo, path, content, lang in pdf.itertuples(index=False) for hit in sdk_hits(content, lang, rules)]
-            yield pd.DataFrame(rows, columns=["repository_id", "file_path", "provider", "service_type", "name", "line_number", "confidence"])
-
-    return used.mapInPandas(scanned, "repository_id string, file_path string, provider string, service_type string, name string, line_number int, confidence double")
-
-
 def package_services(dependencies: DataFrame) -> DataFrame:
     """Services that package names suggest: known parts (0.6), and for npm names that look like a client (0.4)."""
     low = F.lower("name")
@@ -183,17 +49,7 @@ def detect_services(files: DataFrame, dependencies: DataFrame | None = None, rul
     """Rows of the services table, merged by name, provider and type."""
     rules = rules or builtin()
     df = files.where(~skipped_by_services() | F.col("low_name").startswith(".env")).withColumn("class", file_class(F.col("low_name"))).where(F.col("class").isNotNull())
-    content, lines, none = F.col("content"), F.col("lines"), F.array().cast(SERVICE)
-    found = first_case(
-        [
-            (F.col("class") == "infrastructure", from_infrastructure(content, lines, F.col("low_name"), rules)),
-            (F.col("class") == "config", F.concat(from_environment(lines, rules), from_databases(content, lines, rules))),
-            (F.col("class") == "code", F.concat(from_aws_v2(content, lines, rules), from_api_hosts(content, lines, rules))),
-        ],
-        none,
-    )
-    rows = df.select("repository_id", F.col("path").alias("file_path"), F.explode(found).alias("s")).select("repository_id", "file_path", "s.*")
-    rows = rows.unionByName(from_sdks(df.where(F.col("class") == "code"), rules))
+    rows = rule_hits(df, rules).drop("family")
     if dependencies is not None:
         rows = rows.unionByName(package_services(dependencies))
     place = F.concat_ws("\u0001", "file_path", F.lpad(F.coalesce(F.col("line_number").cast("string"), F.lit("0")), 9, "0"), "name")

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallgrass.operators import ask as Q
-from tallgrass.operators import code, docs, endpoints, manifests, ports, relate, secrets, security, services, tools
+from tallgrass.operators import code, docs, endpoints, manifests, ports, relate, rule_scan, secrets, security, services, tools
 from tallgrass.operators import tests as T
 from tallgrass.sources import corpus
+from tallgrass.sources.rules import builtin
 
 FIXTURES: dict[str, tuple[Callable[[SparkSession], DataFrame], str | None]] = {}
 
@@ -64,13 +65,13 @@ fixture("f9_plugin_packages", {"is.packages.json": '{"packages": [{"name": "A",
 
 ENV = "STRIPE_SECRET_KEY=x\n# OPENAI_API_KEY=no\nCLERK_MACHINE_DISCORD_TOKEN=y\nDISCORDANT_KEY=z\nTOGETHER_AI_KEY=q\nDATABASE_URL=postgres://h/db\nPLAIN=1\n"
 SVC = "provider service_type name line_number confidence"
-plain = lambda f, pick: f.select("repository_id", F.explode(pick).alias("s")).select("s.*")
-fixture("f12_env_rules", {".env": ENV}, lambda f: plain(f, services.from_environment(F.col("lines"), services.builtin())), SVC, [("Stripe", "Payment", "STRIPE Service", 1, 0.7), ("Clerk", "Auth", "CLERK Service", 3, 0.7), ("TogetherAI", "AI", "TOGETHER Service", 5, 0.7)])
-fixture("f13_db_urls", {".env": ENV, "b.yaml": "a: REDIS://x\nb: redis://y\n"}, lambda f: plain(f, services.from_databases(F.col("content"), F.col("lines"), services.builtin())), SVC, [("Postgres", "Database", "postgres Database", 6, 0.9), ("Redis", "Database", "redis Database", 2, 0.9)])
-fixture("f14_infrastructure", {"main.tf": 'x\nresource "aws_s3_bucket" "b" {}\nresource "aws_lambda_function" "f" {}\n'}, lambda f: plain(f, services.from_infrastructure(F.col("content"), F.col("lines"), F.col("low_name"), services.builtin())), SVC, [("Aws", "CloudProvider", "S3", 2, 0.8), ("Aws", "CloudProvider", "Lambda", 3, 0.8)])
-fixture("f15_sdk", {"a.js": "import Stripe from 'stripe';\n// import openai\nconst s = 'cohere inside a string';\nimport { S3Client } from '@aws-sdk/client-s3';\nimport x from '@aws-sdk/client-odd-thing';\n", "b.py": "import openai\n# import anthropic\nx = 'import cohere'\n", "c.js": "const t = turbopack_together_x;\n"}, lambda f: services.from_sdks(f, services.builtin()), "file_path " + SVC, [("a.js", "Aws", "CloudProvider", "AWS S3", 4, 0.9), ("a.js", "Aws", "CloudProvider", "AWS Odd Thing", 5, 0.9), ("a.js", "Stripe", "Payment", "stripe SDK", 1, 0.8), ("b.py", "OpenAI", "AI", "openai SDK", 1, 0.8)])
-fixture("f16_aws_v2", {"a.js": "const AWS = require('aws-sdk');\nconst s3 = new AWS.S3();\n", "b.js": "require('aws-sdk')\n"}, lambda f: plain(f, services.from_aws_v2(F.col("content"), F.col("lines"), services.builtin())), SVC, [("Aws", "CloudProvider", "AWS S3", 2, 0.85), ("Aws", "CloudProvider", "AWS SDK (v2)", 1, 0.7)])
-fixture("f17_api_hosts", {"a.py": "u = 'https://api.github.com/x'\nv = 'https://API.OPENAI.COM'\n"}, lambda f: plain(f, services.from_api_hosts(F.col("content"), F.col("lines"), services.builtin())), SVC, [("GitHub", "Api", "api.github.com API", 1, 0.7)])
+by_rules = lambda family: lambda f: rule_scan.rule_hits(f.withColumn("class", services.file_class(F.col("low_name"))), builtin()).where(F.col("family") == family)
+fixture("f12_env_rules", {".env": ENV}, by_rules("env"), SVC, [("Stripe", "Payment", "STRIPE Service", 1, 0.7), ("Clerk", "Auth", "CLERK Service", 3, 0.7), ("TogetherAI", "AI", "TOGETHER Service", 5, 0.7)])
+fixture("f13_db_urls", {".env": ENV, "b.yaml": "a: REDIS://x\nb: redis://y\n"}, by_rules("database"), SVC, [("Postgres", "Database", "postgres Database", 6, 0.9), ("Redis", "Database", "redis Database", 2, 0.9)])
+fixture("f14_infrastructure", {"main.tf": 'x\nresource "aws_s3_bucket" "b" {}\nresource "aws_lambda_function" "f" {}\n'}, by_rules("infrastructure"), SVC, [("Aws", "CloudProvider", "S3", 2, 0.8), ("Aws", "CloudProvider", "Lambda", 3, 0.8)])
+fixture("f15_sdk", {"a.js": "import Stripe from 'stripe';\n// import openai\nconst s = 'cohere inside a string';\nimport { S3Client } from '@aws-sdk/client-s3';\nimport x from '@aws-sdk/client-odd-thing';\n", "b.py": "import openai\n# import anthropic\nx = 'import cohere'\n", "c.js": "const t = turbopack_together_x;\n"}, by_rules("sdk"), "file_path " + SVC, [("a.js", "Aws", "CloudProvider", "AWS S3", 4, 0.9), ("a.js", "Aws", "CloudProvider", "AWS Odd Thing", 5, 0.9), ("a.js", "Stripe", "Payment", "stripe SDK", 1, 0.8), ("b.py", "OpenAI", "AI", "openai SDK", 1, 0.8)])
+fixture("f16_aws_v2", {"a.js": "const AWS = require('aws-sdk');\nconst s3 = new AWS.S3();\n", "b.js": "require('aws-sdk')\n"}, by_rules("aws_v2"), SVC, [("Aws", "CloudProvider", "AWS S3", 2, 0.85), ("Aws", "CloudProvider", "AWS SDK (v2)", 1, 0.7)])
+fixture("f17_api_hosts", {"a.py": "u = 'https://api.github.com/x'\nv = 'https://API.OPENAI.COM'\n"}, by_rules("api"), SVC, [("GitHub", "Api", "api.github.com API", 1, 0.7)])
 fixture("f19_tools", {"package.json": PACKAGE, "run.sh": "#!/bin/bash\necho\n", "old.sh": "#!/bin/sh\n", "Makefile": "all:\n", ".nvmrc": "20\n", "venv/bin/activate": "x"}, lambda f: tools.detect_tools(f, manifests.npm(f)).withColumn("n_scripts", F.size("scripts")), "name tool_type category version_free n_scripts confidence".replace(" version_free", ""), [("npm scripts", "task_runner", "npm_scripts", 4, 0.9), ("webpack", "build_tool", "webpack", 0, 0.9), ("jest", "test_framework", "jest", 0, 0.9), ("eslint", "linter", "eslint", 0, 0.9), ("make", "task_runner", "make", 0, 0.9), ("run.sh (bash script)", "shell_script", "bash", 0, 0.8), ("old.sh (shell script)", "shell_script", "bash", 0, 0.7), ("Python Virtual Environment", "dev_environment", "venv", 0, 0.9), ("Node Version Manager", "dev_environment", "unknown", 0, 0.8)])
 
 ELEMENT = "name element_type line_number language visibility parameters return_type doc_comment"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.operators import relate
+from tallgrass.operators import relate, rule_scan, services
 from tallgrass.sources import corpus
 from tallgrass.sources.hosts import Hosts
 
@@ -75,3 +75,17 @@ _PART = lambda k: f"{_bounded('lower(line_text)', f'split_part(name, {chr(39)}/{
 def j5_file_imports(h: Hosts) -> DataFrame:
     found = relate.dependency_relationships(h.sql(ELEMENTS), files_of(h, "SELECT * FROM h_code_lines"), h.sql(DEPENDENCIES))
     return found.select("code_element_id", "target_id", "confidence", "evidence")
+
+
+@hosted(
+    "j6_rule_hits",
+    """SELECT f.repository_id, path AS file_path, 'api' AS family, p_brand AS provider, p_type AS service_type, concat('host-', word, '.example API') AS name, CAST(min(line) AS INT) AS line_number, CAST(p_size AS DOUBLE) / 100 AS confidence
+  FROM h_service_lines f JOIN h_service_rules r ON r.key = f.key WHERE r.family = 'api' AND f.kind = 'py' GROUP BY ALL
+  UNION ALL SELECT f.repository_id, path, 'env', p_brand, p_type, concat('SKU', word, ' Service'), CAST(line AS INT), CAST(p_size AS DOUBLE) / 100
+  FROM h_service_lines f JOIN h_service_rules r ON r.key = f.key WHERE r.family = 'env' AND f.kind = 'env'""",
+)
+def j6_rule_hits(h: Hosts) -> DataFrame:
+    """Two rules for each part, looked for in a program and a settings file of each customer, of a line for each order."""
+    rows = h.sql("SELECT family, key AS rank, pattern, p_brand AS provider, p_type AS service_type, CAST(p_size AS DOUBLE) / 100 AS confidence, CAST(NULL AS STRING) AS service_name FROM h_service_rules")
+    files = files_of(h, "SELECT repository_id, path, line, line_text FROM h_service_lines")
+    return rule_scan.rule_hits(files.withColumn("class", services.file_class(F.col("low_name"))), rule_scan.rules_of(rows))

@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 VIEWS = {
+    "h_service_rules": """SELECT 'api' AS family, p_partkey AS key, lpad(CAST(p_partkey AS STRING), 9, '0') AS word, concat('host-', lpad(CAST(p_partkey AS STRING), 9, '0'), '.example') AS pattern, p_brand, p_type, p_size FROM part
+  UNION ALL SELECT 'env', p_partkey, lpad(CAST(p_partkey AS STRING), 9, '0'), concat('SKU', lpad(CAST(p_partkey AS STRING), 9, '0')), p_brand, p_type, p_size FROM part""",
+    # a program and a settings file for each customer, with a line for each order
+    "h_service_lines": """SELECT o_custkey % 25 AS repository_id, concat('c', CAST(o_custkey AS STRING), '/', CASE kind WHEN 'py' THEN 'main.py' ELSE '.env' END) AS path, kind, o_orderkey % 3000 AS key,
+  row_number() OVER (PARTITION BY o_custkey, kind ORDER BY o_orderkey) AS line,
+  CASE kind WHEN 'py' THEN concat('u = ', chr(39), 'https://host-', lpad(CAST(o_orderkey % 3000 AS STRING), 9, '0'), '.example/v1', chr(39)) ELSE concat('SKU', lpad(CAST(o_orderkey % 3000 AS STRING), 9, '0'), '_API_KEY=x') END AS line_text
+  FROM (SELECT o_custkey, o_orderkey, 'py' AS kind FROM orders UNION ALL SELECT o_custkey, o_orderkey, 'env' FROM orders) o""",
     "h_suppliers": "SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_suppkey % 3 = 0 THEN concat('@v', CAST(s_nationkey AS STRING), '/', lower(replace(s_name, '#', '-'))) ELSE lower(replace(s_name, '#', '-')) END AS dep FROM supplier",
     # a line for each part, 500 lines a file and a series of files for each of five repositories; a supplier is named on one line
     "h_code_lines": """SELECT (p_partkey - 1) % 5 AS repository_id, concat('src/f', CAST(CAST(floor((p_partkey - 1) / 2500) AS BIGINT) AS STRING), '.js') AS path,

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallgrass.functions.text import lines, word_bounded
-from tallgrass.operators import aggregates, ask, catalog, code, endpoints, graph, joins, manifests, packages, ports, report, security, services, sinks
+from tallgrass.operators import aggregates, ask, catalog, code, endpoints, graph, joins, manifests, packages, ports, report, rule_scan, security, services, sinks
 from tallgrass.plans.fixtures import PACKAGE, files_of
 from tallgrass.sources import corpus, plugins, rules
 from tallgrass.streaming import live
@@ -58,6 +58,78 @@ def test_rule_files_are_merged(spark, tmp_path):
     assert [(r.name, r.provider) for r in found.collect()] == [("MINE Service", "Own")]
 
 
+def plain_hits(rules_, kind, low_name, content, language):
+    """What each rule says of a file, one rule after the other."""
+    import re
+
+    low, lines, out = content.lower(), (content.removesuffix("\n").split("\n") if content else []), set()
+    first = lambda text, p: next((n for n, x in enumerate(text, 1) if p in x), None)
+    if kind == "config":
+        for n, line in enumerate(lines, 1):
+            up = line.upper()
+            name = up.split("=")[0].strip()
+            if up.strip() and not up.strip().startswith("#") and any(x in up for x in ("API_KEY", "SECRET", "TOKEN", "ID", "KEY")):
+                r = next((r for r in rules_.env if name == r.pattern.upper() or name.startswith(r.pattern.upper() + "_")), None)
+                out |= {("env", r.provider, r.service_name or f"{r.pattern} Service", n)} if r else set()
+        out |= {("database", r.provider, r.service_name or f"{r.pattern.replace('://', '')} Database", first(lines, r.pattern)) for r in rules_.database if r.pattern.lower() in low}
+    if kind == "infrastructure":
+        out |= {("infrastructure", r.provider, r.service_name or r.pattern, first(lines, r.pattern)) for r in rules_.infrastructure if r.pattern.lower() in low}
+    if kind == "code":
+        out |= {("api", r.provider, r.service_name or f"{r.pattern} API", first(lines, r.pattern)) for r in rules_.api if r.pattern in content}
+        some = {("aws_v2", r.provider, f"AWS {r.service_name}", first(low.split("\n"), f"aws.{r.pattern}")) for r in rules_.aws_v2 if any(x in low for x in (f"aws.{r.pattern}", f"aws['{r.pattern}']", f'aws["{r.pattern}"]'))}
+        out |= (some or {("aws_v2", "Aws", "AWS SDK (v2)", first(lines, "aws-sdk"))}) if "aws-sdk" in low else set()
+        code = [True] * len(low)
+        for a, b in rule_scan.not_code(low, language):
+            code[a:b] = [False] * (min(b, len(low)) - a)
+        for r in rules_.sdk:
+            p = r.pattern.lower()
+            shapes = [f"from '{p}", f'from "{p}', f"require('{p}", f'require("{p}', f"import {p}"] + [f"from {p} ", f'"{p}"', f"'{p}'", f" {p}", f"{p} "] * (not p.startswith("@"))
+            places = [low.find(s) for s in shapes if s in low] + [m.start() for m in re.finditer(rf"(?<!\w){re.escape(p)}(?!\w)", low) if not p.startswith("@")]
+            if any(code[k] for k in places):
+                out.add(("sdk", r.provider, r.service_name or f"{r.pattern.replace('@', '').replace('/', '')} SDK", low.count("\n", 0, low.find(p)) + 1))
+    return out
+
+
+def test_rules_in_one_pass_by_brute_force():
+    import random
+
+    rng = random.Random(11)
+    plugin = rules.Rules(
+        tuple(rules.Rule(f"own{k}", f"P{k}") for k in range(40)) + (rules.Rule("STRIPE", "Late"), rules.Rule("HF", "Early")),
+        (rules.Rule("together-x", "T"), rules.Rule("Stripe", "Again", service_name="S"), rules.Rule("a-a", "A")),
+        (rules.Rule("API.x.io", "X"), rules.Rule("x.io", "Y")),
+        (rules.Rule("Redis://h", "R"), rules.Rule("redis://", "Twice")),
+        (rules.Rule("aws_s3", "S"),),
+        (rules.Rule("s3x", "Aws", service_name="Own"),),
+    )
+    merged = rules.builtin().merged(plugin)
+    scanner = rule_scan.Scanner(merged)
+    words = ["stripe", "Stripe", "together", "together-x", "@clerk/", "openai", "a-a", "a-a-a", "api.x.io", "API.x.io", "api.github.com", "redis://h", "REDIS://", "aws_s3_bucket", "aws-sdk", "AWS.S3", "aws['sns']", "aws.s3x", "import ", "from '", 'from "', "require('", "'", '"', "#", "//", "/*", "*/", "\n", "\n", " ", " ", "=", "é", "x"]
+    env = ["STRIPE", "HF_", "HF", "own7", "TOGETHER", "AI", "_", "_", "KEY", "TOKEN", "=", " ", "\n", "\n", "#", "x", "redis://"]
+    seen = 0
+    for k in range(3000):
+        kind = rng.choice(["code", "config", "infrastructure"])
+        text = "".join(rng.choice(env if kind == "config" else words) for _ in range(rng.randint(0, 25)))
+        language = rng.choice(["python", "javascript", None])
+        got = {(f, p, n, line) for f, p, _, n, line, _ in scanner.scan(kind, "x", text, language)}
+        want = plain_hits(merged, kind, "x", text, language)
+        assert got == want, (kind, text, got ^ want)
+        seen += len(want)
+    assert seen > 1500
+
+
+def test_ten_thousand_rules(spark):
+    table = spark.createDataFrame([(f, k, f"{f}-word-{k:05}", f"P{k}", "Api", 0.5, None) for f in ("api", "sdk", "database", "env") for k in range(10_000)], "family string, rank int, pattern string, provider string, service_type string, confidence double, service_name string")
+    many = rule_scan.rules_of(table)
+    assert len(many.api) == 10_000 and many.sdk[7].pattern == "sdk-word-00007"
+    files = {f"f{k}.py": "".join(f"x = 1  # filler {i}\nu = 'https://api-word-{(k * 37 + i) % 20_000:05}/'\n" for i in range(2000)) for k in range(4)}
+    prepared = files_of(spark, files).withColumn("class", services.file_class(F.col("low_name")))
+    got = {(r.file_path, r.provider, r.line_number) for r in rule_scan.rule_hits(prepared, many).where("family = 'api'").collect()}
+    assert got == {(f"f{k}.py", f"P{(k * 37 + i) % 20_000}", 2 * i + 2) for k in range(4) for i in range(2000) if (k * 37 + i) % 20_000 < 10_000}
+    with pytest.raises(ValueError):
+        rule_scan.rules_of(table, most=5)
+
+
 def test_detected_services_are_merged(spark):
     files = files_of(spark, {"a.js": "import Stripe from 'stripe';\n", "b.js": "import Stripe from 'stripe';\n", "venv/lib/site-packages/c.py": "import openai\n"})
     rows = services.detect_services(files).collect()
@@ -118,7 +190,7 @@ def test_comments_and_strings():
         for _ in range(3000):
             text = "".join(rng.choice(["a", " ", "\n", "'", '"', "`", "#", "//", "/*", "*/", "\\", '"""', "'''"]) for _ in range(rng.randint(0, 25)))
             code = [True] * len(text)
-            for a, b in services.not_code(text, language):
+            for a, b in rule_scan.not_code(text, language):
                 code[a:b] = [False] * (min(b, len(text)) - a)
             assert code == code_places(text, language), (language, text)
 

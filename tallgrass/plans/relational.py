@@ -18,6 +18,7 @@ from tallgrass.operators import joins as J
 from tallgrass.operators import packages as P
 from tallgrass.sources.hosts import Hosts
 from tallgrass.streaming import live as T
+from tallgrass.streaming import stateful as ST
 
 #: name: (query of the hosts, SQL or None)
 PLANS: dict[str, tuple[Callable[[Hosts], DataFrame], str | None]] = {}
@@ -187,6 +188,53 @@ def _streamed(h: Hosts) -> DataFrame:
     return h.spark.read.parquet(out)
 
 
+def _event_stream(h: Hosts) -> DataFrame:
+    return h.spark.readStream.schema(h.table("events").schema).option("maxFilesPerTrigger", 4).parquet(f"{h.dir}/events*.parquet")
+
+
+#: The columns of h_progress_events over the rows of events.
+PROGRESS = (
+    "user_id AS repository_id", "event_id", "CASE event_id % 11 WHEN 0 THEN 'start' WHEN 5 THEN 'clear' WHEN 7 THEN 'complete' WHEN 8 THEN 'fail' WHEN 9 THEN 'message' ELSE 'update' END AS kind",
+    "CAST(CASE WHEN event_id % 11 = 0 THEN 0 ELSE event_id % 12 END AS INT) AS step", "CAST(CASE WHEN event_id % 11 = 0 THEN 11 END AS INT) AS total_steps", "event_type AS step_name", "concat('m', CAST(event_id AS STRING)) AS message", "ts AS at",
+)
+
+
+def _run_state_stream(h: Hosts) -> DataFrame:
+    """Run states by the same aggregate over a stream: its state is a few last events of each run."""
+    out = P.shared_path(h.spark, "stream")
+    states = T.progress_state(_event_stream(h).selectExpr(*PROGRESS))
+    states.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", P.shared_path(h.spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+    return h.spark.read.parquet(out)
+
+
+@plan("t2_expired_stream", PLANS["t2_expired"][1])
+def _expired_stream(h: Hosts) -> DataFrame:
+    """What a timer for each key has told to be expired, where events may be late by an hour."""
+    e = _event_stream(h).select(F.col("user_id").alias("repository_id"), "event_id", F.col("ts").alias("last_updated"), F.when(F.col("event_type").isin("purchase", "logout"), "complete").otherwise("running").alias("status"))
+    told = ST.last_said(ST.expiry_stream(e, 3600, 3600), P.shared_path(h.spark, "expired"), P.shared_path(h.spark, "expired-state"))
+    return told.where("expired").select(F.col("repository_id").cast("long").alias("repository_id"), "event_id")
+
+
+JOB_STATUS = "CASE event_id % 7 WHEN 0 THEN 'pending' WHEN 1 THEN 'completed' WHEN 2 THEN 'running' WHEN 3 THEN 'pending' WHEN 4 THEN 'failed' WHEN 5 THEN 'cancelled' ELSE 'running' END"
+JOB_SQL = f"""WITH e AS (SELECT user_id AS job_id, event_id AS seq, {JOB_STATUS} AS status FROM events),
+  a AS (SELECT job_id, min(seq) AS seq FROM e WHERE status = 'pending' GROUP BY job_id),
+  b AS (SELECT job_id, arg_min(e.status, e.seq) AS status, min(e.seq) AS seq FROM e JOIN a USING (job_id) WHERE e.seq > a.seq AND e.status IN ('running', 'cancelled') GROUP BY job_id),
+  c AS (SELECT job_id, arg_min(e.status, e.seq) AS status FROM e JOIN b USING (job_id) WHERE b.status = 'running' AND e.seq > b.seq AND e.status IN ('completed', 'failed', 'cancelled') GROUP BY job_id)
+SELECT job_id, coalesce(c.status, b.status, 'pending') AS status FROM a LEFT JOIN b USING (job_id) LEFT JOIN c USING (job_id)"""
+
+
+@plan("t3_job_states", JOB_SQL)
+def _job_states(h: Hosts) -> DataFrame:
+    return T.job_states(h.table("events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.expr(JOB_STATUS).alias("status")))
+
+
+@plan("t3_job_stream", JOB_SQL)
+def _job_stream(h: Hosts) -> DataFrame:
+    e = _event_stream(h).select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.expr(JOB_STATUS).alias("status"), F.col("ts").alias("at"))
+    told = ST.last_said(ST.job_stream(e, "365 days"), P.shared_path(h.spark, "jobs"), P.shared_path(h.spark, "jobs-state"))
+    return told.select(F.col("job_id").cast("long").alias("job_id"), "status")
+
+
 @plan("s9_plugin_elements", "SELECT file_path, name, line_number FROM (VALUES ('a.flow', 'start', 1), ('b.flow', 'stop', 1)) t(file_path, name, line_number)")
 def _plugin(h: Hosts) -> DataFrame:
     from tallgrass.plans.fixtures import files_of
@@ -234,5 +282,6 @@ SELECT repository_id, CASE WHEN said = 'complete' THEN total_steps ELSE step END
   CASE WHEN said = 'complete' THEN 100.0 ELSE least(100.0, greatest(0.0, CAST(step AS DOUBLE) / total_steps * 100)) END AS progress_percent, status_message, started_at, last_updated,
   CASE said WHEN 'complete' THEN 'complete' WHEN 'fail' THEN 'failed' ELSE 'running' END AS status FROM g WHERE open = 'start'"""
 plan("t1_run_states", STATE_SQL)(lambda h: T.progress_state(h.progress_events))
+plan("t1_run_states_stream", STATE_SQL)(_run_state_stream)
 plan("o12_dashboard", "SELECT id, name FROM h_repositories ORDER BY created_at DESC, id LIMIT 10")(lambda h: C.dashboard(h.repositories).select("id", "name"))
 plan("g7_most_connected", "WITH e AS (SELECT source_node_id AS id FROM h_edges UNION ALL SELECT target_node_id FROM h_edges), d AS (SELECT id, count(*) AS degree FROM e GROUP BY id) SELECT d.id, degree, name FROM d LEFT JOIN h_nodes n ON d.id = n.id ORDER BY degree DESC, d.id LIMIT 10")(lambda h: G.most_connected(h.nodes, h.edges))

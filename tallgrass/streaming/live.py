@@ -86,15 +86,24 @@ def progress_state(events: DataFrame, key: str = "repository_id") -> DataFrame:
 
 
 def job_states(events: DataFrame) -> DataFrame:
-    """The state of each job from events (job_id, seq, status): those that its state doesn't allow are passed over. Sorted within one job."""
-    order = F.array_sort(F.collect_list(F.struct("seq", "status")))
+    """The state of each job from events (job_id, seq, status), in order of seq: those that its state doesn't allow are passed over.
+
+    A job is in the first state that it can be in, then in the first that this one allows, and so on: an aggregate for each of these
+    steps, so that a job of many events is never gathered.
+    """
+    at = F.struct("seq", "status")
+    now = events.where("status = 'pending'").groupBy("job_id").agg(F.min(at).alias("now"))
     allowed = F.create_map(*[x for k, v in TRANSITIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    for _ in range(_longest("pending")):
+        may = F.array_contains(F.coalesce(F.try_element_at(allowed, F.col("now.status")), F.array().cast("array<string>")), F.col("status"))
+        then = events.join(now, "job_id").where(may & (at > F.col("now"))).groupBy("job_id").agg(F.min(at).alias("then"))
+        now = now.join(then, "job_id", "left").select("job_id", F.coalesce("then", "now").alias("now"))
+    return now.select("job_id", "now.status")
 
-    def step(now: Column, e: Column) -> Column:
-        first = now.isNull() & (e["status"] == "pending")
-        return F.when(first | F.array_contains(F.coalesce(F.try_element_at(allowed, now), F.array().cast("array<string>")), e["status"]), e["status"]).otherwise(now)
 
-    return events.groupBy("job_id").agg(order.alias("e")).select("job_id", F.aggregate("e", F.lit(None).cast("string"), step).alias("status")).where("status IS NOT NULL")
+def _longest(status: str) -> int:
+    """Transitions at most from a status on."""
+    return max((1 + _longest(x) for x in TRANSITIONS.get(status, ())), default=0)
 
 
 def progress_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:

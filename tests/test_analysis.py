@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallgrass.operators import analysis, details, graph, joins, relate, security, sinks, versions
 from tallgrass.plans.fixtures import PACKAGE
 from tallgrass.sources import corpus
-from tallgrass.streaming import live
+from tallgrass.streaming import live, stateful
 
 FILES = {
     "package.json": PACKAGE,
@@ -250,6 +250,73 @@ def test_configs_and_page_routes(spark):
     assert {r.n: r.c for r in df.collect()} == dict(names)
 
 
+def plain_job(events):
+    now = None
+    for _, status in sorted(events):
+        if now is None and status == "pending" or status in live.TRANSITIONS.get(now, ()):
+            now = status
+    return now
+
+
+def shuffled_files(spark, df, rows, n, path, seed):
+    """rows in n files, in no order and some twice; each file comes as a batch."""
+    rng = random.Random(seed)
+    dealt = [[] for _ in range(n)]
+    for r in rows:
+        for k in rng.sample(range(n), min(n, 1 + (rng.random() < 0.2))):
+            dealt[k].append(r)
+    for k, part in enumerate(dealt):
+        spark.createDataFrame(part, df.schema).coalesce(1).write.parquet(f"{path}/{k}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
+def test_job_states_by_stream_and_batch(spark, tmp_path):
+    rng, begun = random.Random(3), datetime.datetime(2026, 1, 1)
+    rows = [(f"j{rng.randint(0, 30)}", k, rng.choice(["pending", "running", "running", "completed", "failed", "cancelled", "odd"]), begun + datetime.timedelta(seconds=20 * k)) for k in range(300)]
+    df = spark.createDataFrame(rows, "job_id string, seq int, status string, at timestamp")
+    want = {j: s for j in {r[0] for r in rows} if (s := plain_job({(r[1], r[2]) for r in rows if r[0] == j}))}
+    assert {r.job_id: r.status for r in live.job_states(df.union(df)).collect()} == want
+    stream = stateful.job_stream(shuffled_files(spark, df, rows, 4, str(tmp_path / "in"), 5), "2 hours")
+    assert {r.job_id: r.status for r in stateful.last_said(stream, str(tmp_path / "out"), str(tmp_path / "ck")).collect()} == want
+
+
+def test_jobs_in_order_of_time_give_up_their_events(spark, tmp_path):
+    begun = datetime.datetime(2026, 1, 1)
+    steps = ["pending", "running", "pending", "completed", "running"]
+    rows = [("j", k, s, begun + datetime.timedelta(hours=k)) for k, s in enumerate(steps)]
+    df = spark.createDataFrame(rows, "job_id string, seq int, status string, at timestamp")
+    for k, r in enumerate(rows):
+        spark.createDataFrame([r], df.schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    out = stateful.last_said(stateful.job_stream(stream, "10 minutes"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    assert [(r.job_id, r.status, r.seq) for r in out.collect()] == [("j", "completed", 3)]
+
+
+def test_expiry_by_stream_and_batch(spark, tmp_path):
+    rng, begun = random.Random(4), datetime.datetime(2026, 1, 1)
+    rows = [(f"r{rng.randint(0, 40)}", k, rng.choice(["running", "complete", "failed"]), begun + datetime.timedelta(milliseconds=rng.randint(0, 3 * 3_600_000))) for k in range(250)]
+    rows += [("edge", 900, "complete", max(r[3] for r in rows) - datetime.timedelta(seconds=3600)), ("over", 901, "complete", max(r[3] for r in rows) - datetime.timedelta(seconds=3601))]
+    df = spark.createDataFrame(rows, "repository_id string, event_id long, status string, last_updated timestamp")
+    now = max(r[3] for r in rows)
+    want = {(r.repository_id, r.event_id) for r in live.expired(df, F.lit(now), 3600).collect()}
+    assert ("over", 901) in want and ("edge", 900) not in want and len(want) > 5
+    for late, files in ((3600, 1), (3600, 4)):
+        # all may come late by an hour: the first file holds the last event, the others what is at most an hour older, then the rest on time
+        part = rows if files == 1 else [r for r in rows if r[3] >= now - datetime.timedelta(seconds=3600)]
+        early = [r for r in rows if r not in part]
+        path = tmp_path / f"in{files}"
+        if early:
+            spark.createDataFrame(early, df.schema).coalesce(1).write.parquet(str(path / "a"))
+            import time
+
+            time.sleep(1.1)  # files come by their time
+        stream = shuffled_files(spark, df, part, files, str(path), 6)
+        got = stateful.last_said(stateful.expiry_stream(stream, 3600, late), str(tmp_path / f"out{files}"), str(tmp_path / f"ck{files}"))
+        assert {(r.repository_id, r.event_id) for r in got.where("expired").collect()} == want
+    with pytest.raises(ValueError):
+        stateful.expiry_stream(df, 10, 20)
+
+
 def test_partitions_of_odd_ids(spark, tmp_path):
     ids = ["a:b", "x=y", "p/q", "..", "z/../../precious", " ", "é", "100%", "07", "ok"]
     root, path = str(tmp_path / "catalog"), str(tmp_path / "catalog" / "t")

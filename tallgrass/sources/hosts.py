@@ -16,10 +16,12 @@ VIEWS = {
   row_number() OVER (PARTITION BY o_custkey, kind ORDER BY o_orderkey) AS line,
   CASE kind WHEN 'py' THEN concat('u = ', chr(39), 'https://host-', lpad(CAST(o_orderkey % 3000 AS STRING), 9, '0'), '.example/v1', chr(39)) ELSE concat('SKU', lpad(CAST(o_orderkey % 3000 AS STRING), 9, '0'), '_API_KEY=x') END AS line_text
   FROM (SELECT o_custkey, o_orderkey, 'py' AS kind FROM orders UNION ALL SELECT o_custkey, o_orderkey, 'env' FROM orders) o""",
+    "h_routes": """SELECT o_custkey % 25 AS repository_id, concat('c', CAST(o_custkey AS STRING), '/routes.js') AS path, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS line,
+  CASE o_orderkey % 4 WHEN 0 THEN 'get' WHEN 1 THEN 'post' WHEN 2 THEN 'put' ELSE 'delete' END AS method FROM orders""",
     "h_suppliers": "SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_suppkey % 3 = 0 THEN concat('@v', CAST(s_nationkey AS STRING), '/', lower(replace(s_name, '#', '-'))) ELSE lower(replace(s_name, '#', '-')) END AS dep FROM supplier",
     # a line for each part, 500 lines a file and a series of files for each of five repositories; a supplier is named on one line
-    "h_code_lines": """SELECT (p_partkey - 1) % 5 AS repository_id, concat('src/f', CAST(CAST(floor((p_partkey - 1) / 2500) AS BIGINT) AS STRING), '.js') AS path,
-  CAST(floor((p_partkey - 1) / 5) AS BIGINT) % 500 + 1 AS line, p_partkey AS element_id,
+    "h_code_lines": """SELECT p_partkey % 5 AS repository_id, concat('src/f', CAST(CAST(floor(p_partkey / 2500) AS BIGINT) AS STRING), '.js') AS path,
+  CAST(floor(p_partkey / 5) AS BIGINT) % 500 + 1 AS line, p_partkey AS element_id,
   CASE WHEN s_suppkey IS NULL THEN concat('function f', CAST(p_partkey AS STRING), '()')
     WHEN s_suppkey % 4 = 0 THEN concat('import x from ', chr(39), dep, chr(39), ';')
     ELSE concat('run(', chr(39), s_name, chr(39), ', ', dep, ')', CASE WHEN s_suppkey % 2 = 0 THEN concat(' // vendor-', CAST(s_nationkey AS STRING)) ELSE '' END) END AS line_text

@@ -27,6 +27,7 @@ FILE_TYPES = {
 SKIPPED_PARTS = ("node_modules", "target", ".git", "/dist/", "/build/", "/.next/", "/out/", "/.nuxt/", "/.cache/", "/coverage/")
 SKIPPED_ENDS = (".min.js", ".min.css", ".bundle.js", ".chunk.js", ".class", ".pyc", ".pyo", ".so", ".dll", ".dylib", ".a", ".o", ".rlib")
 VENV_PARTS = ("venv/", "/venv/", "site-packages", ".venv/")
+SECURITY_PARTS = ("node_modules", "target", ".git/", *VENV_PARTS, "/dist/", "/build/")
 CONFIG_ENDS = (".env", ".config", ".json", ".yaml", ".yml", ".toml", ".properties")
 
 
@@ -72,7 +73,7 @@ def skipped_by_services() -> Column:
 
 def skipped_by_security() -> Column:
     """Environment templates are read, although hidden."""
-    return (F.col("low_name").startswith(".") & ~F.col("low_name").startswith(".env")) | any_of(F.col("low_path"), "node_modules", "target", ".git/", *VENV_PARTS, "/dist/", "/build/")
+    return (F.col("low_name").startswith(".") & ~F.col("low_name").startswith(".env")) | any_of(F.col("low_path"), *SECURITY_PARTS)
 
 
 def is_config_file(*more: str) -> Column:

@@ -15,9 +15,11 @@ within: of two lines with probability CUTS / OF, of k lines with 1 - (1 - CUTS /
 repeated passages of over 50 words: README. Every line that goes has an equal one at an earlier place, which stays or has
 an earlier one in turn, so that no line's last copy goes.
 
-Everything is DataFrame functions. Hashes alone are shuffled to find what repeats. The few hashes that do, and at the end the
-spans that go, are broadcast while they are at most `BROADCAST_ROWS`, counted in the written table, and joined by a shuffle
-beyond. Spans of a document are merged in a window over that document.
+Everything is DataFrame functions. Hashes and line numbers alone are shuffled to find what repeats and where; texts are looked at again
+only in documents that hold such a place, and lines are cut out for these places alone. The hashes that repeat, the
+places and at the end the spans that go are broadcast while they are at most `BROADCAST_ROWS`, counted in the written table, and
+joined by a shuffle beyond: then hashes move once more, and texts of documents with repeats once. Spans of a document are merged in a
+window over that document.
 
 Null texts stay null, empty ones empty; a text of one line has nothing of several lines and stays. A very long text is split
 once; boundaries are found in blocks of lines, each rolled in anew, in time near its length. A null doc_id comes after all
@@ -59,19 +61,23 @@ def boundaries(hashes: str, roll: int = ROLL, cuts: int = CUTS, of: int = OF) ->
     return f"flatten(transform(sequence(0, cast((size({hashes}) - 1) div {BLOCK} as int)), c -> {block}))"
 
 
-def marks(bodies: bool = False, text: str = "text") -> Column:
-    """What may repeat in a text: (kind 0, hash, at) for a boundary after line at, (kind 1, hash, at) for a chunk from line at. With bodies: `back`, what
-    stands before a boundary, or the whole chunk, and `fore`, the chunk after a boundary."""
-    part = lambda first, end: f"slice(l, {first} + 1, {end} - {first})"
+def marks(text: str = "text") -> Column:
+    """What may repeat in a text: (kind 0, hash, at) for a boundary after line at, (kind 1, hash, at) for a chunk from line at; and as line numbers `lo` to
+    `mid` what stands before a boundary, or the whole chunk, and `mid` to `hi` the chunk after a boundary."""
     chunk = "if(k = 0, 0, b[k - 1] + 1)"
     window = f"x - {ROLL - 1}"
-    back = f", {part(f'greatest(least({chunk}, {window}) - {ROLL - 1}, 0)', '(x + 1)')} as back, {part('(x + 1)', 'if(k = size(b) - 1, size(l), b[k + 1] + 1)')} as fore" * bodies
-    cuts = f"transform(b, (x, k) -> struct(0 as kind, xxhash64(0, slice(h, {window} + 1, {ROLL})) as hash, x as at{back}))"
-    ends = "if(size(b) > 0 and b[size(b) - 1] = size(l) - 1, b, concat(b, array(size(l) - 1)))"
-    whole = f", {part('s.first', 's.end')} as back, cast(array() as array<string>) as fore" * bodies
+    cuts = (
+        f"transform(b, (x, k) -> struct(0 as kind, xxhash64(0, slice(h, {window} + 1, {ROLL})) as hash, x as at,"
+        f" greatest(least({chunk}, {window}) - {ROLL - 1}, 0) as lo, x + 1 as mid, if(k = size(b) - 1, size(h), b[k + 1] + 1) as hi))"
+    )
+    ends = "if(size(b) > 0 and b[size(b) - 1] = size(h) - 1, b, concat(b, array(size(h) - 1)))"
     spans = f"filter(transform({ends}, (x, k) -> named_struct('first', {chunk}, 'end', x + 1, 'last', k = size(b))), s -> s.end - s.first > if(s.last, {LEAST_LINES - 1}, {ROLL}))"
-    several = f"transform({spans}, s -> struct(1 as kind, xxhash64(1, slice(h, s.first + 1, s.end - s.first)) as hash, s.first as at{whole}))"
-    return F.expr(_let("l", f"split({text}, '\n')", _let("h", "transform(l, x -> xxhash64(x))", _let("b", boundaries("h"), f"concat({cuts}, {several})"))))
+    several = f"transform({spans}, s -> struct(1 as kind, xxhash64(1, slice(h, s.first + 1, s.end - s.first)) as hash, s.first as at, s.first as lo, s.end as mid, s.end as hi))"
+    return F.expr(_let("h", f"transform(split({text}, '\n'), x -> xxhash64(x))", _let("b", boundaries("h"), f"concat({cuts}, {several})")))
+
+
+#: SQL: the lines lo to mid and mid to hi of each place.
+_BODIES = _let("l", "split(text, '\n')", "transform(places, p -> struct(p.kind as kind, p.hash as hash, p.at as at, p.earliest as earliest, slice(l, p.lo + 1, p.mid - p.lo) as back, slice(l, p.mid + 1, p.hi - p.mid) as fore))")
 
 
 def _shared(a: str, b: str) -> str:
@@ -83,15 +89,17 @@ def repeated_lines(docs: DataFrame, *keys: str) -> DataFrame:
     """keys, first and end of the runs of lines that go, of each document disjoint; written."""
     used = docs.where(F.instr("text", "\n") > 0)
     names = [*keys, "at"]
-    narrow = used.select(*keys, F.explode(F.transform(marks(), lambda m: F.struct(m["hash"].alias("hash"), m["at"].alias("at")))).alias("m")).select(*keys, "m.*")
+    narrow = used.select(*keys, F.explode(marks()).alias("m")).select(*keys, "m.*")
     first = F.min(F.struct(*names)).alias("f")
     twice = narrow.groupBy("hash").agg(F.count("*").alias("n"), first).where("n > 1")
     twice = materialise(twice.select("hash", *[F.col(f"f.{c}").alias(f"f_{c}") for c in names]), "twice")
-    each = used.select(*keys, F.explode(marks(bodies=True)).alias("m")).select(*keys, "m.*")
     earliest = F.struct(*[F.col(c) for c in names]) == F.struct(*[F.col(f"f_{c}").alias(c) for c in names])
-    # written once: few are left, and the first of each hash and the others are read from here
-    found = each.join(bounded(twice), "hash").withColumn("earliest", earliest).drop(*[f"f_{c}" for c in names])
-    found = materialise(found, "marks")
+    places = narrow.join(bounded(twice), "hash").withColumn("earliest", earliest)
+    places = places.groupBy(*keys).agg(F.collect_set(F.struct("kind", "hash", "at", "lo", "mid", "hi", "earliest")).alias("places"))  # of one document
+    places = materialise(places, "places")
+    # bodies come last: only from documents that hold something repeated, once for each of its places
+    found = used.join(bounded(places), list(keys)).select(*keys, F.explode(F.expr(_BODIES)).alias("m")).select(*keys, "m.*")
+    found = materialise(found, "marks")  # few are left, and the first of each hash and the others are read from here
     firsts = found.where("earliest").select("hash", F.col("kind").alias("f_kind"), F.col("back").alias("f_back"), F.col("fore").alias("f_fore")).dropDuplicates(["hash"])
     firsts = materialise(firsts, "firsts")
     same = found.where("not earliest").join(firsts, "hash").where("kind = f_kind")

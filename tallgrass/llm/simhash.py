@@ -17,7 +17,7 @@ Groups are found by large-star and small-star steps over the links until nothing
 shared folder.
 
 Null and empty texts have fingerprint zero and form a group. A null doc_id stays null and its row's group is that of its
-text. Rows that share a doc_id are judged each by its text. Empty tables give an empty result. Further columns are not
+text. A very long text is read whole where it stands and leaves 8 bytes. Rows that share a doc_id are judged each by its text. Empty tables give an empty result. Further columns are not
 read by `near_duplicates` and are kept by `without_near_duplicates`.
 """
 

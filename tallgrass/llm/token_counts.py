@@ -9,7 +9,8 @@ earlier one. The counts of a document's sections come to its tokens.
 `line_counts` takes lines as sections (the newline belongs to the line that it ends; an empty last line is a section),
 `field_counts` the fields of a row, joined by newlines.
 
-A null text is an empty one: one empty section, no tokens; null fields are empty. Rows are independent: repeated rows
+A null text is an empty one: one empty section, no tokens; null fields are empty. A very long text is encoded whole, one row by itself in an Arrow
+batch, in memory of a few times its size. Rows are independent: repeated rows
 repeat, a null doc_id stays, empty tables give empty results, and further columns are not read.
 """
 

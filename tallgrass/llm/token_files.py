@@ -10,7 +10,8 @@ A document's `start` is its shard's start (a running sum over shards, one row ea
 words and needs neither text nor tokenizer.
 
 A null text is an empty one: it has the end id alone. A null doc_id comes first. Rows that share a doc_id are ordered by
-a hash of their texts, so that reruns agree. Empty tables give an empty file set. Further columns are not read.
+a hash of their texts, so that reruns agree. A very long text is encoded and decoded whole, one row by itself in an Arrow batch, in memory
+of a few times its size. Empty tables give an empty file set. Further columns are not read.
 """
 
 from __future__ import annotations

@@ -16,9 +16,9 @@ repeated passages of over 50 words: README. Every line that goes has an equal on
 an earlier one in turn, so that no line's last copy goes.
 
 Everything is DataFrame functions. Hashes and line numbers alone are shuffled to find what repeats and where; texts are looked at again
-only in documents that hold such a place, and lines are cut out for these places alone. The hashes that repeat, the
-places and at the end the spans that go are broadcast while they are at most `BROADCAST_ROWS`, counted in the written table, and
-joined by a shuffle beyond: then hashes move once more, and texts once. Spans of a document are merged in a
+only in documents that hold such a place, which they meet in a sort-merge join at every size (texts move once), and lines are cut out for these
+places alone. The hashes that repeat and at the end the spans that go are broadcast while they are at most `BROADCAST_ROWS`, counted
+in the written table, and joined by a shuffle beyond: then hashes move once more. Spans of a document are merged in a
 window over that document.
 
 Null texts stay null, empty ones empty; a text of one line has nothing of several lines and stays. A very long text is split
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import BROADCAST_ROWS, bounded, documents, fresh, materialise, row_digest
+from tallgrass.llm.common import bounded, documents, fresh, materialise, row_digest
 
 ROLL = 2
 CUTS, OF = 2, 3
@@ -97,9 +97,8 @@ def repeated_lines(docs: DataFrame, *keys: str) -> DataFrame:
     places = narrow.join(bounded(twice), "hash").withColumn("earliest", earliest)
     places = places.groupBy(*keys).agg(F.collect_set(F.struct("kind", "hash", "at", "lo", "mid", "hi", "earliest")).alias("places"))  # of one document
     places = materialise(places, "places")
-    few = (places.agg(F.sum(F.size("places").cast("long"))).first()[0] or 0) <= BROADCAST_ROWS  # a document may have many
     # bodies come last: only from documents that hold something repeated, once for each of its places
-    found = used.join(F.broadcast(places) if few else places, list(keys)).select(*keys, F.explode(F.expr(_BODIES)).alias("m")).select(*keys, "m.*")
+    found = used.join(places.hint("merge"), list(keys)).select(*keys, F.explode(F.expr(_BODIES)).alias("m")).select(*keys, "m.*")
     found = materialise(found, "marks")  # few are left, and the first of each hash and the others are read from here
     firsts = found.where("earliest").select("hash", F.col("kind").alias("f_kind"), F.col("back").alias("f_back"), F.col("fore").alias("f_fore")).dropDuplicates(["hash"])
     firsts = materialise(firsts, "firsts")

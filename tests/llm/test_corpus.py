@@ -335,7 +335,6 @@ def test_line_dedup(spark, seed):
 
 def test_line_dedup_without_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "bounded", lambda df, written=None: df)
-    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", -1)
     lines = "one two three four five six seven eight".split()
     df = spark.createDataFrame([(i, "\n".join([f"a{i}", *lines, f"b{i}"])) for i in range(5)], "doc_id long, text string")
     assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(df).collect()} == {0: 0, 1: 8, 2: 8, 3: 8, 4: 8}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -129,6 +129,6 @@ def is_local_path(url: Column) -> Column:
     return starts_with_any(url, "/", "./", "../", "~", "file://") | url.rlike(r"^[A-Za-z]:[\\/]") | ~(url.contains("://") | url.rlike(r"^[^/]+@[^/]+:"))
 
 
-def grams(name: str) -> Column:
-    """The parts of a text of one to three characters: one that it holds begins with one of them."""
-    return F.expr(f"array_distinct(flatten(transform(sequence(1, least(3, length({name}))), n -> transform(sequence(1, length({name}) - n + 1), i -> substring({name}, i, n)))))")
+def grams(name: str, sizes: Sequence[int] = (1, 2, 3)) -> Column:
+    """The parts of a text of so many characters: of one to three, one that it holds begins with one of them."""
+    return F.expr(f"array_distinct(flatten(transform(filter(array({', '.join(map(str, sizes))}), n -> n <= length({name})), n -> transform(sequence(1, length({name}) - n + 1), i -> substring({name}, i, n)))))")

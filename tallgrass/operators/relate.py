@@ -33,6 +33,8 @@ SDK_WORDS = {
     "openai": ("openai", "@openai/"),
     "anthropic": ("anthropic", "@anthropic-ai/"),
 }
+#: Lengths of grams by which words are looked up: a stem's are the longest that it has, so that few words share its rarest one, however many words there are.
+SIZES = (1, 2, 3, 6, 12)
 URL_KEYS = ("endpoint", "api_url", "url", "base_url")
 WORD = r"(?U)[^\p{Alnum}_]+"
 
@@ -65,10 +67,12 @@ def word_index(files: DataFrame) -> DataFrame:
 
 def held_stems(index: DataFrame, stems: DataFrame) -> DataFrame:
     """(repository_id, word, stem): words of a repository's files that hold a stem. A stem need not stand at a word's start (`stripe` in `mystripe`)."""
-    vocabulary = index.select("repository_id", "word").distinct().select("repository_id", "word", F.explode(grams("word")).alias("gram"))
+    long = F.expr(f"array_max(filter(array({', '.join(map(str, SIZES))}), n -> n <= length(stem)))")
+    stems = saved(stems.withColumn("size", long))
+    sizes = sorted(r["size"] for r in stems.select("size").distinct().collect())  # of SIZES
+    vocabulary = index.select("repository_id", "word").distinct().select("repository_id", "word", F.explode(grams("word", sizes or SIZES[:1])).alias("gram"))
     vocabulary = saved(vocabulary)
-    size = F.least(F.lit(3), F.length("stem"))
-    parts = stems.select("repository_id", "stem", F.explode(F.filter(grams("stem"), lambda g: F.length(g) == size)).alias("gram"))
+    parts = stems.select("repository_id", "stem", F.explode(F.filter(grams("stem", sizes or SIZES[:1]), lambda g: F.length(g) == F.col("size"))).alias("gram"))
     # the stem's gram that fewest words hold; one that no word holds says that no word holds the stem
     counts = vocabulary.groupBy("repository_id", "gram").agg(F.count("*").alias("n"))
     rarest = parts.join(counts, ["repository_id", "gram"], "left").groupBy("repository_id", "stem").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
@@ -127,7 +131,7 @@ def service_relationships(elements: DataFrame, files: DataFrame, services: DataF
     word = lambda k: F.get("sdk", F.lit(k))
     probes = listed_parts(s, (0, F.lower("name"), False), (1, F.lower("provider"), False), *[(2 + k, word(k), True) for k in range(PLACES)], (8, F.lower("url"), False), (9, F.lower("env_var"), False))
     index = word_index(files) if index is None else index
-    found = in_windows(elements, probe_spans(index, files, probes.withColumn("root", F.col("probe"))))
+    found = saved(in_windows(elements, probe_spans(index, files, probes.withColumn("root", F.col("probe")))))
     has = lambda k: F.array_contains("parts", k)
     parts = [
         (has(0), 0.3, F.concat(F.lit("Service name '"), "name", F.lit("' found in code"))),
@@ -136,7 +140,12 @@ def service_relationships(elements: DataFrame, files: DataFrame, services: DataF
         (has(8), 0.5, F.concat(F.lit("API endpoint '"), "url", F.lit("' detected"))),
         (has(9), 0.3, F.concat(F.lit("Environment variable '"), "env_var", F.lit("' used"))),
     ]
-    return _scored(_with_parts(found, probes).join(s, ["repository_id", "target_id"]), parts, "service", "uses")
+    # a provider by itself doesn't reach LEAST and is shared by many services: it is added to the pairs that have more
+    strong = _with_parts(found, probes.where("part != 1"))
+    provided = found.where("not whole").join(probes.where("part = 1").select("repository_id", "probe").distinct(), ["repository_id", "probe"]).select("repository_id", "code_element_id", F.col("probe").alias("low_provider"), F.lit(1).alias("provided"))
+    pairs = strong.join(s, ["repository_id", "target_id"]).withColumn("low_provider", F.lower("provider")).join(provided, ["repository_id", "code_element_id", "low_provider"], "left")
+    pairs = pairs.withColumn("parts", F.when(F.col("provided").isNotNull(), F.array_append("parts", F.lit(1))).otherwise(F.col("parts")))
+    return _scored(pairs, parts, "service", "uses")
 
 
 def dependency_relationships(elements: DataFrame, files: DataFrame, dependencies: DataFrame, index: DataFrame | None = None) -> DataFrame:

@@ -158,12 +158,25 @@ def dependency_relationships(elements: DataFrame, files: DataFrame, dependencies
     roots = imports.join(d.select("repository_id", "target_id", F.col("low").alias("root")), ["repository_id", "target_id"])
     index = word_index(files) if index is None else index
     spans = saved(probe_spans(index, files, named.withColumn("root", F.col("probe")).unionByName(roots)))
-    near = _with_parts(in_windows(elements, spans.where("whole")), named)
+    found = saved(in_windows(elements, spans.where("whole")))
+    near = found.join(named.where("part != 1"), ["repository_id", "probe", "whole"]).select("repository_id", "code_element_id", "target_id", "part")
     # imports: by file, not by element
     by_file = spans.where("not whole").select("repository_id", "file_path", "probe").distinct().join(imports, ["repository_id", "probe"])
-    by_file = by_file.groupBy("repository_id", "file_path", "target_id").agg(F.min("part").alias("shape"))
-    imported = elements_of(elements).join(by_file, ["repository_id", "file_path"]).select("repository_id", "code_element_id", "target_id", F.array("shape").alias("parts"))
-    both = near.unionByName(imported).groupBy("repository_id", "code_element_id", "target_id").agg(F.array_distinct(F.flatten(F.collect_list("parts"))).alias("parts"))  # two arrays
+    by_file = by_file.groupBy("repository_id", "file_path", "target_id").agg(F.min("part").alias("part"))
+    imported = elements_of(elements).join(by_file, ["repository_id", "file_path"]).select("repository_id", "code_element_id", "target_id", "part")
+    own = near.unionByName(imported).groupBy("repository_id", "code_element_id", "target_id").agg(F.collect_set("part").alias("parts"))
+    own = own.join(d, ["repository_id", "target_id"])
+    # A scope is shared by many dependencies, and an element near it is tied to each: these pairs are made last and not moved, less those that have more.
+    scopes = named.where("part = 1").select("repository_id", F.col("probe").alias("scope"), "target_id").distinct()
+    within = found.withColumnRenamed("probe", "scope").join(scopes.select("repository_id", "scope").distinct(), ["repository_id", "scope"], "left_semi").select("repository_id", "code_element_id", "scope")
+    own = own.withColumn("scope", scoped(0)).join(within.withColumn("inside", F.lit(1)), ["repository_id", "code_element_id", "scope"], "left")
+    own = saved(own.withColumn("parts", F.when(F.col("inside").isNotNull(), F.array_append("parts", F.lit(1))).otherwise(F.col("parts"))))
+    more = own.where("inside is not null").groupBy("repository_id", "code_element_id", "scope").agg(F.collect_set("target_id").alias("more"))  # of one window or file
+    members = scopes.join(d, ["repository_id", "target_id"])
+    rest = within.join(more, ["repository_id", "code_element_id", "scope"], "left").join(members, ["repository_id", "scope"])
+    rest = rest.where(~F.coalesce(F.array_contains("more", F.col("target_id")), F.lit(False))).withColumn("parts", F.array(F.lit(1)))
+    columns = ["repository_id", "code_element_id", "target_id", "name", "low", "parts"]
+    both = own.select(*columns).unionByName(rest.select(*columns))
     has = lambda k: F.array_contains("parts", k)
     shape = F.array_max("parts")
     text = first_case([(shape == 10 + k, shaped(k)) for k in range(len(SHAPES))], F.lit(None).cast("string"))
@@ -172,7 +185,7 @@ def dependency_relationships(elements: DataFrame, files: DataFrame, dependencies
         (has(0), 0.4, F.concat(F.lit("Package '"), "name", F.lit("' used in code"))),
         *[(has(1 + k), 0.3, F.concat(F.lit("Scoped package part '"), F.get(F.split("name", "/"), F.lit(k)), F.lit("' found"))) for k in range(PLACES)],
     ]
-    return _scored(both.join(d, ["repository_id", "target_id"]), parts, "dependency", "imports")
+    return _scored(both, parts, "dependency", "imports")
 
 
 def _with_parts(found: DataFrame, probes: DataFrame) -> DataFrame:

@@ -33,3 +33,14 @@ def test_a_shared_provider_is_not_multiplied(spark):
     assert sorted((r.code_element_id, r.target_id, r.confidence) for r in rows) == [(k, 7, 0.9) for k in range(1, 201)]
     assert rows[0].evidence == "Service name 'name-00007' found in code; Provider 'Vendor-X' found in code; SDK pattern 'name-00007' detected"
     assert size < 200_000
+
+
+def test_a_shared_scope_is_not_moved(spark):
+    """Each of 200 elements is tied to 400 dependencies by their scope; one of them is imported and named too."""
+    files = files_of(spark, {"a.js": "\n".join(["import x from '@s/dep-00007';"] * 240)})
+    elements = spark.createDataFrame([(1, k, "a.js", k) for k in range(1, 201)], "repository_id int, id int, file_path string, line_number int")
+    deps = spark.createDataFrame([(1, k, f"@s/dep-{k:05}") for k in range(400)], "repository_id int, id int, name string")
+    rows, size = moved(spark, lambda: relate.dependency_relationships(elements, files, deps))
+    assert sorted((r.code_element_id, r.target_id, r.confidence) for r in rows) == sorted((e, k, 1.0 if k == 7 else 0.3) for e in range(1, 201) for k in range(400))
+    assert {r.evidence for r in rows if r.target_id == 8} == {"Scoped package part '@s' found"}
+    assert size < 200_000

@@ -44,3 +44,12 @@ def test_a_shared_scope_is_not_moved(spark):
     assert sorted((r.code_element_id, r.target_id, r.confidence) for r in rows) == sorted((e, k, 1.0 if k == 7 else 0.3) for e in range(1, 201) for k in range(400))
     assert {r.evidence for r in rows if r.target_id == 8} == {"Scoped package part '@s' found"}
     assert size < 200_000
+
+
+def test_a_band_of_one_line_is_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PACK", 64, raising=False)
+    keys = spark.range(600).select(F.col("id"), F.lit("f").alias("file_path"), F.lit(7).alias("line_number"))
+    per = joins.key_band(keys, keys).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in per) == 360_000 and max(r["count"] for r in per) < 200_000
+    none = spark.createDataFrame([(None, "f", 7), (1, None, 7), (2, "f", None)], "id long, file_path string, line_number int")
+    assert [tuple(r) for r in joins.key_band(none, none).collect()] == [(None, None)]

@@ -89,7 +89,7 @@ def j6_rule_hits(h: Hosts) -> DataFrame:
     """Two rules for each part, looked for in a program and a settings file of each customer, of a line for each order."""
     rows = h.sql("SELECT family, key AS rank, pattern, p_brand AS provider, p_type AS service_type, CAST(p_size AS DOUBLE) / 100 AS confidence, CAST(NULL AS STRING) AS service_name FROM h_service_rules")
     files = files_of(h, "SELECT repository_id, path, line, line_text FROM h_service_lines")
-    return rule_scan.rule_hits(files.withColumn("class", services.file_class(F.col("low_name"))), rule_scan.rules_of(rows))
+    return rule_scan.table_hits(files.withColumn("class", services.file_class(F.col("low_name"))), rows)
 
 
 def rendered(h: Hosts, rows: str, name: str, content: Callable[[Callable[..., Column]], Column]) -> DataFrame:

@@ -53,3 +53,23 @@ def test_a_band_of_one_line_is_many_tasks(spark, monkeypatch):
     assert sum(r["count"] for r in per) == 360_000 and max(r["count"] for r in per) < 200_000
     none = spark.createDataFrame([(None, "f", 7), (1, None, 7), (2, "f", None)], "id long, file_path string, line_number int")
     assert [tuple(r) for r in joins.key_band(none, none).collect()] == [(None, None)]
+
+
+def test_rules_of_a_table_as_a_few_rules(spark):
+    rng = random.Random(3)
+    patterns = {
+        "api": ["api.x.io", "API.x.io", "x.io", "h-7.example", "h-70.example", "é.x.io"],
+        "sdk": ["stripe", "@clerk/", "@clerk/next", "a-b-c"],
+        "database": ["redis://", "Redis://h", "db:own:"],
+        "infrastructure": ["aws_s3", "res.own.kind"],
+        "env": ["SKU7", "SKU7_API", "HF_", "straße", "SKU"],
+        "aws_v2": ["s3", "sns"],
+    }
+    rows = [(f, k, p, f"P{k}", None, 0.1 * k, "Own" if k % 2 else None) for f, ps in patterns.items() for k, p in enumerate(ps)]
+    table = spark.createDataFrame([*rows, rows[0]], "family string, rank int, pattern string, provider string, service_type string, confidence double, service_name string")
+    words = [p for ps in patterns.values() for p in ps] + ["aws-sdk", "aws.s3", "AWS['sns']", "import ", "from '", "'", '"', "#", "\n", "\n", " ", "_KEY", "=", "x", "SKU7_API_KEY=x\n", "STRASSE_TOKEN=1\n"]
+    files = {f"{'d' * (k % 3)}{k}{rng.choice(['.js', '.py', '.env', '.tf'])}": "".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for k in range(200)}
+    prepared = files_of(spark, files).withColumn("class", services.file_class(F.col("low_name")))
+    plain = lambda df: sorted(map(str, df.collect()))
+    want = plain(rule_scan.rule_hits(prepared, rule_scan.rules_of(table)))
+    assert len(want) > 300 and plain(rule_scan.table_hits(prepared, table, block=3)) == want

@@ -86,40 +86,53 @@ def expiry_stream(events: DataFrame, seconds: int, late_seconds: int = 0) -> Dat
 
 
 class Jobs(StatefulProcessor):
-    """A job's state: events up to the watermark are folded into one status, later ones are kept by seq and folded on top in order."""
+    """A job's state: events up to the watermark are folded into one status, later ones are kept in a list and folded on top by seq.
+
+    Each call of a state goes to Spark and back, so a job's events are read and added all at once, whatever their number.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.base = handle.getValueState("base", "status string, seq long")
-        self.open = handle.getMapState("open", "seq long, status string", "at_ms long")
+        self.open = handle.getListState("events", "seq long, status string, at_ms long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        first = None
+        known, first, fresh = self._open(), None, {}
         for f in rows:
             for seq, status, at in zip(f["seq"].tolist(), f["status"].tolist(), f["at_ms"].tolist(), strict=True):
-                self.open.updateValue((seq, status), (at,))
+                fresh[seq, status] = at
                 first = at if first is None else min(first, at)
         if first is not None:
             self.handle.registerTimer(max(first, timerValues.getCurrentWatermarkInMs()) + 1)
-        now = self._fold(self._base(), sorted(tuple(k) for k in self.open.keys()))
+        if added := [(*k, at) for k, at in fresh.items() if known.get(k) != at]:
+            self.open.appendList(added)
+        now = self._fold(self._base(), sorted(known | fresh))
         if now[0] is not None:
             yield pd.DataFrame({"job_id": [key[0]], "status": [now[0]], "seq": [now[1]]})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         """What the watermark has passed can't get company any more: the events up to the first that it hasn't."""
-        mark, done, rest = timerValues.getCurrentWatermarkInMs(), [], None
-        for (seq, status), (at,) in sorted((tuple(k), tuple(v)) for k, v in self.open.iterator()):
+        mark, done, kept, rest = timerValues.getCurrentWatermarkInMs(), [], [], None
+        for (seq, status), at in sorted(self._open().items()):
             if at > mark:
                 rest = at if rest is None else min(rest, at)
-            elif rest is None:
+            if rest is None:
                 done.append((seq, status))
+            else:
+                kept.append((seq, status, at))
         self.base.update(self._fold(self._base(), done))
-        for k in done:
-            self.open.removeKey(k)
+        if kept:
+            self.open.put(kept)
+        else:
+            self.open.clear()
         if rest is not None:
             self.handle.registerTimer(rest + 1)
         return iter(())
 
+    def _open(self) -> dict[tuple, int]:
+        """Events that are kept: when each was; of one that came again, what came last."""
+        return {(seq, status): at for seq, status, at in self.open.get()} if self.open.exists() else {}
+
     def _base(self) -> tuple:
         return tuple(self.base.get()) if self.base.exists() else (None, None)
 

@@ -73,3 +73,32 @@ def test_rules_of_a_table_as_a_few_rules(spark):
     plain = lambda df: sorted(map(str, df.collect()))
     want = plain(rule_scan.rule_hits(prepared, rule_scan.rules_of(table)))
     assert len(want) > 300 and plain(rule_scan.table_hits(prepared, table, block=3)) == want
+
+
+def test_a_jobs_events_are_one_call(spark):
+    calls, kept = [], []
+
+    def state(store):
+        def call(name, *args):
+            calls.append(name)
+            if name == "get":
+                return iter(list(store))
+            if name in ("put", "clear"):
+                store.clear()
+            if name in ("put", "appendList"):
+                store.extend(args[0])
+            return bool(store)
+
+        return SimpleNamespace(**{n: (lambda *a, n=n: call(n, *a)) for n in ("get", "put", "clear", "appendList", "exists", "update", "updateValue", "keys", "iterator", "removeKey")})
+
+    handle = SimpleNamespace(getValueState=lambda *a: state([]), getListState=lambda *a: state(kept), getMapState=lambda *a: state([]), registerTimer=lambda t: None)
+    jobs, timer = stateful.Jobs(), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    jobs.init(handle)
+    events = pd.DataFrame({"seq": range(1000), "status": ["pending"] + ["running"] * 999, "at_ms": range(1000)})
+    assert list(jobs.handleInputRows(("j",), iter([events]), timer))[0]["seq"].tolist() == [1]
+    assert len(calls) < 10 and len(kept) == 1000
+    assert list(jobs.handleInputRows(("j",), iter([events[:1]]), timer))[0]["seq"].tolist() == [1]
+    assert len(kept) == 1000
+    timer.getCurrentWatermarkInMs = lambda: 499
+    list(jobs.handleExpiredTimer(("j",), timer, None))
+    assert len(kept) == 500

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes in one Arrow batch (one row at least). Texts are read whole, so that these bound a Python worker's memory.
@@ -57,16 +57,27 @@ def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def counted(df: DataFrame, tag: str, **more: Column) -> tuple[DataFrame, str, dict]:
+    """As `written`, with n, the rows written, and the aggregates `more`: all found by the write itself, with no job of their own."""
+    seen = Observation()
+    df, path = written(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in more.items()]), tag)
+    return df, path, {"n": 0} | seen.get
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """df written to the shared folder and read again: computed once, and safe when executors are lost."""
     return written(df, tag)[0]
 
 
 def release(spark: SparkSession, *paths: str) -> None:
-    """Deletes written tables that nothing reads any more, before the driver ends."""
+    """Deletes written tables that nothing reads any more, before the driver ends.
+
+    Spark drops what was broadcast and shuffled for them when the driver's garbage is collected, which a loop must not leave to chance.
+    """
     for path in paths:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    spark._jvm.System.gc()
 
 
 def bounded(df: DataFrame, written: DataFrame | None = None, most: int = BROADCAST_ROWS) -> DataFrame:

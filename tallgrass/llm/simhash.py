@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import bounded, documents, fresh, materialise, partitions, release, row_digest, small_batches, written
+from tallgrass.llm.common import BROADCAST_ROWS, bounded, counted, documents, fresh, materialise, partitions, release, row_digest, small_batches, written
 
 RADIUS = 3
 BLOCKS = 5
@@ -245,25 +245,26 @@ def components(edges: DataFrame) -> DataFrame:
     """For each node of edges (a, b) other than its group's smallest: node, root (the smallest node that it reaches)."""
     spark = edges.sparkSession
 
-    def once(links: DataFrame, minima: DataFrame) -> DataFrame:
+    def once(links: DataFrame, few: bool) -> DataFrame:
         """Each link once. Where the minima were too many to broadcast, links lie by one node, and are spread again first."""
-        return (links if bounded(minima) is not minima else links.repartition(partitions(spark), "u", "v")).distinct()
+        return (links if few else links.repartition(partitions(spark), "u", "v")).distinct()
 
     now, path = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        least, p1 = written(least, "least")  # written, so that Spark can split the rows of a node with many links
-        large = once(both.where("v > u").join(bounded(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v"), least)
-        large, p2 = written(large, "large")
-        lower, p3 = written(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
-        small = large.join(bounded(lower), "u")
-        step = once(small.select("u", F.col("m").alias("v")).union(small.select("v", "m").where("v > m")), lower)
+        least, p1, found = counted(least, "least")  # written, so that Spark can split the rows of a node with many links
+        few = found["n"] <= BROADCAST_ROWS
+        large = both.where("v > u").join(F.broadcast(least) if few else least, "u")
+        large, p2 = written(once(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v"), few), "large")
+        lower, p3, found = counted(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
+        few = found["n"] <= BROADCAST_ROWS
+        small = large.join(F.broadcast(lower) if few else lower, "u")
+        step = once(small.select("u", F.col("m").alias("v")).union(small.select("v", "m").where("v > m")), few)
         before = (path, p1, p2, p3)
-        now, path = written(step, "links")
+        now, path, seen = counted(step, "links", h=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
         release(spark, *before)
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = seen

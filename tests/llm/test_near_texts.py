@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallgrass.llm import near_texts, simhash
@@ -115,3 +116,14 @@ def test_recall_of_pairs_near_the_threshold(spark):
     assert all(2 * k + 1 in kept for k, j in similar.items() if j < 0.8)
     near = [k for k, j in similar.items() if j >= 0.8]
     assert len(near) > 150 and sum(2 * k + 1 not in kept for k in near) >= 0.95 * len(near)
+
+
+def test_a_round_of_components_counts_nothing_apart(spark):
+    """What a round needs to know is seen while it writes: each further job leaves its plan and its broadcasts to the driver."""
+    links = spark.range(1, 60).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    before = store.jobsList(None).size()
+    tree = simhash.components(links)
+    assert store.jobsList(None).size() - before < 100
+    assert {(r.node, r.root) for r in tree.collect()} == {(k, 0) for k in range(1, 60)}
+    assert simhash.components(links.where("a < 0")).count() == 0

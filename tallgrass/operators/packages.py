@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -53,6 +54,65 @@ def closure(pairs: DataFrame, starts: DataFrame, most: int | None = None) -> Dat
     return seen if seen is not None else frontier.limit(0).withColumnRenamed("at", "reached")
 
 
+#: Pairs for each piece that a set of names is cut into, so that a set may be of any size.
+PIECE = 1 << 22
+
+
+def closures(pairs: DataFrame, piece: int = PIECE) -> DataFrame:
+    """As `closure`, for all names as starts: start and every name reached from it.
+
+    A name's set is the union of its dependencies and of their sets, so that each set is made once, from whole sets, and
+    nothing found before is looked at again. Names are taken in layers: first those with no dependency that has some itself,
+    then those whose dependencies are in layers before. What never gets into a layer is on a cycle or leads to one; these
+    names go breadth first among themselves, and then take the sets of the layers below.
+    """
+    ends = pairs.select("name", "dependency").where(F.col("name").isNotNull()).distinct()
+    rest, gone, before, depth = saved(ends), [], -1, 0
+    while (left := rest.count()) not in (0, before):
+        known = rest.select(F.col("name").alias("dependency"), F.lit(True).alias("open")).distinct()
+        step = saved(rest.join(known, "dependency", "left").select("name", "dependency", "open"))
+        gone.append(step.where("open IS NULL").select("name", "dependency", F.lit(depth).alias("lower")))
+        rest, before, depth = step.where("open").select("name", "dependency"), left, depth + 1
+    never = depth + 1
+    edges = rest.withColumn("lower", F.lit(never))
+    for x in gone:
+        edges = edges.unionByName(x)
+    edges = saved(edges.withColumn("layer", F.max("lower").over(Window.partitionBy("name"))))
+    wanted: dict[int, list[int]] = {}
+    for layer, lower in edges.where(F.col("layer") != never).select("layer", "lower").distinct().collect():
+        wanted.setdefault(layer, []).append(lower)
+
+    pieces = 1 + edges.count() // piece
+    number = F.when(F.col("dependency").isNull(), -1).otherwise(F.pmod(F.xxhash64("dependency"), F.lit(pieces)).cast("int"))
+    # collect_list leaves out nulls: the null stands alone in its piece
+    items = F.when(F.col("piece") < 0, F.array(F.first("item"))).otherwise(F.collect_list("item"))
+    made: dict[int, DataFrame] = {}
+
+    def united(own: DataFrame, below: list[int]) -> DataFrame:
+        """name, piece and item of the dependencies of own and of their sets, which are in the layers below."""
+        parts = own.select("name", number.alias("piece"), F.array("dependency").alias("items"))
+        sets = [made[x - 1] for x in below if x]
+        if sets:
+            found = reduce(DataFrame.unionByName, sets).withColumnRenamed("name", "dependency")
+            parts = parts.unionByName(own.join(found, "dependency").select("name", "piece", "items"))
+        return parts.repartition("name", "piece").select("name", "piece", F.explode("items").alias("item")).distinct()
+
+    for layer in sorted(wanted):
+        rows = united(edges.where(F.col("layer") == layer).select("name", "dependency"), wanted[layer])
+        made[layer] = saved(rows.groupBy("name", "piece").agg(items.alias("items")))
+    reached = [sets.select(F.col("name").alias("start"), F.explode("items").alias("reached")) for sets in made.values()]
+    if left:
+        inner = saved(closure(rest, rest.select("name")))
+        through = inner.unionByName(rest.select(F.col("name").alias("start"), F.col("name").alias("reached")).distinct())
+        out = edges.where((F.col("layer") == never) & (F.col("lower") != never))
+        leads = through.join(out, F.col("reached") == F.col("name")).select(F.col("start").alias("name"), "dependency").distinct()
+        below = united(leads, [0, *(x + 1 for x in made)])
+        reached += [inner, below.select(F.col("name").alias("start"), F.col("item").alias("reached"))]
+    if not reached:
+        return ends.select(F.col("name").alias("start"), F.col("dependency").alias("reached"))
+    return reduce(DataFrame.unionByName, reached)
+
+
 def dependency_pairs(packages: DataFrame) -> DataFrame:
     return packages.select("name", F.explode("dependencies").alias("dependency"))
 

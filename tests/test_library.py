@@ -1,6 +1,7 @@
 """Operators that no query covers: sinks, rules, plugins, streams, reports, and properties of graphs."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -232,6 +233,19 @@ def test_closure_with_a_cycle(spark):
     assert {(r.start, r.reached) for r in got} == {("a", "b"), ("a", "c"), ("b", "c"), ("b", "b")}
 
 
+def test_closures_of_all_names(spark):
+    rng = random.Random(5)
+    plain = [("a", "b"), ("b", "c"), ("c", "b"), ("x", "a"), ("c", "end"), ("end", "leaf"), ("own", "own"), ("x", None), (None, "a"), ("end", "leaf")]
+    layered = [(f"n{a}", f"n{b}") for a in range(60) for b in rng.sample(range(60), 2) if b > a]
+    mixed = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(45)]
+    for pairs in (plain, layered, mixed, []):
+        want = {(a, b) for a, b in pairs if a is not None}
+        while more := {(a, d) for a, b in want for c, d in pairs if b is not None and b == c} - want:
+            want |= more
+        got = packages.closures(spark.createDataFrame(pairs, "name string, dependency string"), piece=16).collect()
+        assert len(got) == len(want) and {(r.start, r.reached) for r in got} == want
+
+
 def test_tools_merge_scripts_and_settings(spark):
     rows = [("r", "t", "c", "x", "1", 0.5, [("s", "one")], {"k": "a"}, "1"), ("r", "t", "c", "x", "2", 0.9, [("s", "two"), ("u", "three")], {"k": "b", "l": "c"}, "2")]
     df = spark.createDataFrame(rows, "repository_id string, name string, category string, tool_type string, id string, confidence double, scripts array<struct<name:string,command:string>>, configuration map<string,string>, ord string")

@@ -7,8 +7,8 @@ A document scores the sum of weight times impact over a query's terms, repeats i
 
 The index: one pass counts N and L, a second tokenises the documents where they are read. Each task cuts what it reads into
 shards of about `SHARD_BYTES` of text; a shard is one row: its documents in order of doc_id, its terms in order, and for
-each term (between two of `starts`) the places of its documents and their impacts. Shards are written once, no posting is
-shuffled, and every document that has a term is in one.
+each term (between two of `starts`) the places of its documents and their impacts. Shards are written once, in row groups of
+a few shards, as Spark writes and reads a row group whole; no posting is shuffled, and every document that has a term is in one.
 
 Search takes queries in blocks of at most `BLOCK_TERMS` terms, which are broadcast; a block takes two scans of the shards.
 The first adds up df of its terms. The second goes term by term through a shard and adds to one dense accumulator for each
@@ -39,10 +39,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tallgrass.llm.common import LOWER, UPPER, documents, shared_path, small_batches
-from tallgrass.llm.decontaminate import split_words
+from tallgrass.llm.decontaminate import _FOLD, split_words
 
 #: Bytes of text in a shard, of which a text that is longer has more.
 SHARD_BYTES = 4 << 20
+#: Bytes of a row group of shards, which a task holds in memory to write or read it.
+GROUP_BYTES = 8 << 20
 #: Different terms in a block of queries, each counted once a query; one query may have more.
 BLOCK_TERMS = 200_000
 #: Cells of accumulators at a time.
@@ -55,6 +57,8 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SHARD = "doc_ids array<bigint>, n_terms bigint, terms array<binary>, starts array<bigint>, places binary, impacts binary"
 _SHARD = pa.schema([("doc_ids", pa.list_(pa.int64())), ("n_terms", pa.int64()), ("terms", pa.list_(pa.binary())), ("starts", pa.list_(pa.int64())), ("places", pa.binary()), ("impacts", pa.binary())])
 
+_INSIDE = np.frombuffer(_FOLD, np.uint8) != 32
+
 
 @dataclass
 class Index:
@@ -73,6 +77,16 @@ def _pieces(text: bytes, most: int = SHARD_BYTES) -> Iterator[list[bytes]]:
         at = end
 
 
+def term_count(text: bytes, most: int = SHARD_BYTES) -> int:
+    """The terms of a text, repeats included: the bytes in a term that follow none."""
+    found, before = 0, False
+    for at in range(0, len(text), most):
+        inside = _INSIDE[np.frombuffer(text, np.uint8, min(most, len(text) - at), at)]
+        found += int(inside[0] and not before) + int(np.count_nonzero(inside[1:] > inside[:-1]))
+        before = inside[-1]
+    return found
+
+
 class Postings:
     """The postings of a shard's documents."""
 
@@ -117,8 +131,16 @@ def build_index(docs: DataFrame, path: str | None = None, shard_bytes: int = SHA
     """The index of docs (doc_id, text), written to path or the shared folder."""
     spark = docs.sparkSession
     small_batches(spark)
-    size = F.regexp_count("text", F.lit(TERM))
-    seen = docs.agg(F.count_if(size > 0).alias("n"), F.sum(size.cast("long")).alias("terms")).first()
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, terms = 0, 0
+        for b in batches:
+            for text in b.column(0).cast(pa.binary()):
+                size = term_count(text.as_py() or b"")
+                n, terms = n + (size > 0), terms + size
+        yield pa.RecordBatch.from_pydict({"n": [n], "terms": [terms]})
+
+    seen = docs.select("text").mapInArrow(sizes, "n bigint, terms bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("terms").alias("terms")).first()
     totals = (seen["n"], seen["terms"] or 0)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +157,7 @@ def build_index(docs: DataFrame, path: str | None = None, shard_bytes: int = SHA
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(shards, SHARD)
     path = path or shared_path(spark, "shards")
     # rows are large: the writer is to look at its size after each few, not after hundreds
-    made.write.option("parquet.page.size.row.check.min", 2).option("parquet.block.size.row.check.min", 2).option("compression", "zstd").parquet(path)
+    made.write.option("parquet.block.size", GROUP_BYTES).option("parquet.page.size.row.check.min", 2).option("parquet.block.size.row.check.min", 2).option("compression", "zstd").parquet(path)
     return Index(spark.read.schema(SHARD).parquet(path), totals[0])
 
 

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 
 from tallgrass.llm import ranked_search as search
@@ -73,3 +74,18 @@ def test_nothing_to_find(spark):
     assert search.search(search.build_index(df.limit(0)), asked).count() == 0
     assert search.search(search.build_index(df), asked.limit(0)).count() == 0
     assert search.search(search.build_index(df.where("text is null or text in ('', '... !')")), asked).count() == 0
+
+
+def test_row_groups_are_a_few_shards(spark, monkeypatch, tmp_path):
+    """Spark holds a row group whole to write or read it."""
+    monkeypatch.setattr(search, "GROUP_BYTES", 10_000, raising=False)
+    docs, _ = rows()
+    search.build_index(spark.createDataFrame(docs, DOCS).coalesce(1), str(tmp_path / "index"), shard_bytes=700)
+    groups = [meta.row_group(k) for f in (tmp_path / "index").glob("*.parquet") for meta in [pq.ParquetFile(f).metadata] for k in range(meta.num_row_groups)]
+    assert sum(g.num_rows for g in groups) > 20 and max(g.num_rows for g in groups) < 15
+
+
+@pytest.mark.parametrize("most", [1, 3, 1 << 20])
+def test_terms_are_counted_over_cuts(most):
+    for text in ("", "a", " a", "a ", "ab, cdé 日本-x", "...", "😀😀 1_2"):
+        assert search.term_count(text.encode(), most) == len(terms(text))

@@ -80,9 +80,14 @@ def release(spark: SparkSession, *paths: str) -> None:
     spark._jvm.System.gc()
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df marked for a join that never broadcasts. Spark sizes what comes after an explode as if it had the rows before it."""
+    return df.hint("merge")
+
+
 def bounded(df: DataFrame, written: DataFrame | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if the written table that it is, or comes from, has at most `most` rows; else left to a shuffle."""
-    return F.broadcast(df) if (df if written is None else written).count() <= most else df
+    """df marked for broadcast if the written table that it is, or comes from, has at most `most` rows; else for a shuffle."""
+    return F.broadcast(df) if (df if written is None else written).count() <= most else shuffled(df)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import BROADCAST_ROWS, bounded, counted, documents, fresh, materialise, partitions, release, row_digest, small_batches, written
+from tallgrass.llm.common import BROADCAST_ROWS, bounded, counted, documents, fresh, materialise, partitions, release, row_digest, shuffled, small_batches, written
 
 RADIUS = 3
 BLOCKS = 5
@@ -166,16 +166,17 @@ def dealt(rows: DataFrame, files: DataFrame, file: str, near: Column, heads: Dat
 
     files (file, load) has the sums of load; a file of a load of up to 1 is one task. In a larger one each row is first held
     against the file's head, a row of heads (file, h_fp and what `near` reads). The rows near it are linked to it, so that they
-    need not meet each other: they meet the others only, and the others meet all, piece by piece. Of a file that is one dense
+    need not meet each other: they meet the others only, and the others meet all, piece by piece. Rows may come from an explode,
+    so that their size is not known: they and their files are joined by a shuffle, at every size. Of a file that is one dense
     group each row is thus sent once or twice, however large it is; only the others' number enters by its square.
     """
     spark = rows.sparkSession
     zero = F.lit(0).cast("long")
-    alone = rows.join(files.where("load <= 1").select(file), file).select(file, zero.alias("a"), zero.alias("b"), zero.alias("own"), "fp", *payload)
+    alone = rows.join(shuffled(files.where("load <= 1").select(file)), file).select(file, zero.alias("a"), zero.alias("b"), zero.alias("own"), "fp", *payload)
     big = materialise(files.where("load > 1").select(file), "big-files")
     found = None
     if not big.isEmpty():
-        hot = rows.join(big, file).join(heads, file).withColumn("ball", near)
+        hot = rows.join(bounded(big), file).join(heads, file).withColumn("ball", near)
         hot = materialise(hot.select(file, "fp", "h_fp", "load", "ball", *payload), "hot-files")
         found = hot.where("ball and fp != h_fp").select(F.col("fp").alias("a"), F.col("h_fp").alias("b"))
         part = lambda c: F.ceil(F.coalesce(F.sum(F.when(c, F.col("load"))), F.lit(0.0)))
@@ -256,11 +257,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         least, p1, found = counted(least, "least")  # written, so that Spark can split the rows of a node with many links
         few = found["n"] <= BROADCAST_ROWS
-        large = both.where("v > u").join(F.broadcast(least) if few else least, "u")
+        large = both.where("v > u").join(F.broadcast(least) if few else shuffled(least), "u")
         large, p2 = written(once(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v"), few), "large")
         lower, p3, found = counted(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
         few = found["n"] <= BROADCAST_ROWS
-        small = large.join(F.broadcast(lower) if few else lower, "u")
+        small = large.join(F.broadcast(lower) if few else shuffled(lower), "u")
         step = once(small.select("u", F.col("m").alias("v")).union(small.select("v", "m").where("v > m")), few)
         before = (path, p1, p2, p3)
         now, path, seen = counted(step, "links", h=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))

@@ -127,3 +127,10 @@ def test_a_round_of_components_counts_nothing_apart(spark):
     assert store.jobsList(None).size() - before < 100
     assert {(r.node, r.root) for r in tree.collect()} == {(k, 0) for k in range(1, 60)}
     assert simhash.components(links.where("a < 0")).count() == 0
+
+
+def test_filed_rows_are_never_broadcast(spark):
+    """Spark sizes the rows of an explode as if there were one for each fingerprint, so that it might broadcast them or their keys."""
+    reps = spark.range(5000).select(F.xxhash64("id").alias("fp"), F.xxhash64("id", "id").alias("s0"), F.xxhash64("id", "id", "id").alias("s1"))
+    found = near_texts.candidate_links(reps, near_texts.RADIUS, masks=near_texts.drawn_masks(), bits=near_texts.BITS)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

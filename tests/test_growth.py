@@ -55,6 +55,13 @@ def test_a_band_of_one_line_is_many_tasks(spark, monkeypatch):
     assert [tuple(r) for r in joins.key_band(none, none).collect()] == [(None, None)]
 
 
+def test_pairs_of_two_lists_are_not_held(spark):
+    """Within one compiled loop Spark holds all that a row gives: the loops over keys and over elements are two."""
+    keys = spark.range(600).select(F.col("id"), F.lit("f").alias("file_path"), F.lit(7).alias("line_number"))
+    plan = joins.key_band(keys, keys)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("Generate inline(element_ids") < plan.find("Coalesce") < plan.index("Generate inline(key_ids")
+
+
 def test_rules_of_a_table_as_a_few_rules(spark):
     rng = random.Random(3)
     patterns = {

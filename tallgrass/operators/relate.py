@@ -172,11 +172,6 @@ def dependency_relationships(elements: DataFrame, files: DataFrame, dependencies
     own = own.withColumn("scope", scoped(0)).join(within.withColumn("inside", F.lit(1)), ["repository_id", "code_element_id", "scope"], "left")
     own = saved(own.withColumn("parts", F.when(F.col("inside").isNotNull(), F.array_append("parts", F.lit(1))).otherwise(F.col("parts"))))
     more = own.where("inside is not null").groupBy("repository_id", "code_element_id", "scope").agg(F.collect_set("target_id").alias("more"))  # of one window or file
-    members = scopes.join(d, ["repository_id", "target_id"])
-    rest = within.join(more, ["repository_id", "code_element_id", "scope"], "left").join(members, ["repository_id", "scope"])
-    rest = rest.where(~F.coalesce(F.array_contains("more", F.col("target_id")), F.lit(False))).withColumn("parts", F.array(F.lit(1)))
-    columns = ["repository_id", "code_element_id", "target_id", "name", "low", "parts"]
-    both = own.select(*columns).unionByName(rest.select(*columns))
     has = lambda k: F.array_contains("parts", k)
     shape = F.array_max("parts")
     text = first_case([(shape == 10 + k, shaped(k)) for k in range(len(SHAPES))], F.lit(None).cast("string"))
@@ -185,7 +180,11 @@ def dependency_relationships(elements: DataFrame, files: DataFrame, dependencies
         (has(0), 0.4, F.concat(F.lit("Package '"), "name", F.lit("' used in code"))),
         *[(has(1 + k), 0.3, F.concat(F.lit("Scoped package part '"), F.get(F.split("name", "/"), F.lit(k)), F.lit("' found"))) for k in range(PLACES)],
     ]
-    return _scored(both, parts, "dependency", "imports")
+    # what is said of such a pair is the same for all elements: once for each dependency
+    members = _rated(scopes.join(d, ["repository_id", "target_id"]).withColumn("parts", F.array(F.lit(1))), parts).select("repository_id", "scope", "target_id", "confidence", "evidence")
+    rest = within.join(more, ["repository_id", "code_element_id", "scope"], "left").join(members, ["repository_id", "scope"])
+    rest = rest.where(~F.coalesce(F.array_contains("more", F.col("target_id")), F.lit(False)))
+    return _scored(own, parts, "dependency", "imports").unionByName(_related(rest, "dependency", "imports"))
 
 
 def _with_parts(found: DataFrame, probes: DataFrame) -> DataFrame:
@@ -194,7 +193,15 @@ def _with_parts(found: DataFrame, probes: DataFrame) -> DataFrame:
     return parts.groupBy("repository_id", "code_element_id", "target_id").agg(F.collect_set("part").alias("parts"))
 
 
-def _scored(found: DataFrame, parts, target: str, kind: str) -> DataFrame:
+def _rated(found: DataFrame, parts) -> DataFrame:
     score, text = evidence(parts, LEAST)
-    rows = found.select("repository_id", "code_element_id", F.lit(target).alias("target_type"), "target_id", F.lit(kind).alias("relationship_type"), score.alias("confidence"), text.alias("evidence")).where(F.col("confidence").isNotNull())
+    return found.withColumns({"confidence": score, "evidence": text}).where(F.col("confidence").isNotNull())
+
+
+def _scored(found: DataFrame, parts, target: str, kind: str) -> DataFrame:
+    return _related(_rated(found, parts), target, kind)
+
+
+def _related(rated: DataFrame, target: str, kind: str) -> DataFrame:
+    rows = rated.select("repository_id", "code_element_id", F.lit(target).alias("target_type"), "target_id", F.lit(kind).alias("relationship_type"), "confidence", "evidence")
     return rows.select(stable_id(F.lit(target), F.col("code_element_id"), F.col("target_id")).alias("id"), "*")

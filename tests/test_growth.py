@@ -46,6 +46,18 @@ def test_a_shared_scope_is_not_moved(spark):
     assert size < 200_000
 
 
+def test_a_shared_scope_is_scored_once(spark):
+    """What is said of a dependency by its scope is made before it meets the elements."""
+    files = files_of(spark, {"a.js": "import x from '@s/dep-1';"})
+    elements = spark.createDataFrame([(1, 1, "a.js", 1)], "repository_id int, id int, file_path string, line_number int")
+    deps = spark.createDataFrame([(1, k, f"@s/dep-{k}") for k in range(4)], "repository_id int, id int, name string")
+    plan = relate.dependency_relationships(elements, files, deps)._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Union":
+        plan = plan.children().apply(0)
+    above, below = plan.children().apply(1).toString().split("Join", 1)
+    assert "array_join" in below and "array_join" not in above
+
+
 def test_a_band_of_one_line_is_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(joins, "PACK", 64, raising=False)
     keys = spark.range(600).select(F.col("id"), F.lit("f").alias("file_path"), F.lit(7).alias("line_number"))
